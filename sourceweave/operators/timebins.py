@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the day that a corpus without any date counts as.
 FALLBACK_DAY = dt.datetime(2026, 5, 22)
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "EEE, dd MMM yyyy HH:mm:ss z", "dd MMM yyyy", "MMMM d, yyyy", "MM/dd/yyyy")
+FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss xx", "d MMM yyyy", "MMMM d, yyyy", "MM/dd/yyyy")
 
 
-def parse_date(column: str):
-    """A timestamp from any of the usual forms, null from others."""
-    return F.coalesce(*[F.try_to_timestamp(F.col(column), F.lit(f)) for f in FORMATS])
+def parse_date(said: Column) -> Column:
+    """A timestamp from any of the usual forms, a weekday before it or not; null from others."""
+    bare = F.regexp_replace(F.trim(said), r"^[A-Za-z]{3,9}, (?=\d)", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS])
 
 
 def bin_count(days: int) -> int:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceweave.plans import clusters, texts
+from sourceweave.plans import clusters, evaluation, events, texts
 
-MODULES = (clusters, texts)
+MODULES = (clusters, texts, evaluation, events)
 
 
 def queries() -> dict:

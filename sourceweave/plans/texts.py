@@ -99,7 +99,7 @@ SELECT doc_id, CAST(length(clean) AS INTEGER) AS n_chars, md5(clean) AS digest F
 def stance_and_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stance and topic of each benchmark item put before each document's beginning: a cue now and then."""
     docs = _docs(spark, sf_dir).withColumn("title", F.element_at(F.array(*map(F.lit, CUES)), (F.col("doc_id") % len(CUES) + 1).cast("int")))
-    return docs.select("doc_id", text.stance(F.col("title"), F.col("text"), F.col("source")).alias("stance"), text.topic_of(F.concat("title", F.lit(" "), F.substring("text", 1, 200))).alias("topic"))
+    return docs.select("doc_id", text.stance(F.col("title"), F.col("text"), F.col("source")).alias("stance"), text.topic_of(F.concat("title", F.lit(" "), "text")).alias("topic"))
 
 
 # RE2 takes word borders for ASCII ones; these are for all letters
@@ -110,7 +110,7 @@ def _bordered(pattern: str) -> str:
 CUES = ("Officials deny it", "The claim is false", "Vote in the Senate", "A new study of species", "Markets and prices", "No evidence for a vaccine", "AI and robots", "Missile strike", "Photo was ai-generated")
 
 SQL_STANCE = rf"""
-WITH t AS (SELECT doc_id, source, text, [{_quoted(CUES)}][doc_id % {len(CUES)} + 1] AS title FROM documents), u AS (SELECT *, lower(title || ' ' || substr(text, 1, 200)) AS low FROM t)
+WITH t AS (SELECT doc_id, source, text, [{_quoted(CUES)}][doc_id % {len(CUES)} + 1] AS title FROM documents), u AS (SELECT *, lower(title || ' ' || text) AS low FROM t)
 SELECT doc_id,
   CASE WHEN list_contains([{_quoted(fixed.FACT_CHECK_DOMAINS)}], source) OR regexp_matches(title || ' ' || substr(text, 1, 400), '(?i){fixed.DENIAL.replace("'", "''")}') THEN 'debunk' ELSE 'neutral' END AS stance,
   CASE {' '.join(f"WHEN regexp_matches(low, '{_bordered(p)}') THEN '{n}'" for n, p in fixed.TOPIC_PATTERNS.items())} ELSE 'general' END AS topic
@@ -150,15 +150,15 @@ SQL_SEEN = "SELECT min(doc_id) AS doc_id, md5(text) AS title FROM documents GROU
 
 
 def class_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of one- and two-word terms by language, for terms that occur five times or more."""
-    return topics.term_counts(_docs(spark, sf_dir), "lang", "text", topics.stop_words()).where("tf >= 5")
+    """Counts of one- and two-word terms by language."""
+    return topics.term_counts(_docs(spark, sf_dir), "lang", "text", topics.stop_words())
 
 
 _TOKENS = rf"""
 tok AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\pL\pN\pM_]+'), lambda t: length(t) > 1 AND NOT list_contains([{_quoted(topics.stop_words())}], t)) AS t FROM documents),
 terms AS (SELECT lang, unnest(t) AS term FROM tok UNION ALL SELECT lang, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok),
 counts AS (SELECT lang, term, count(*) AS tf FROM terms GROUP BY lang, term)"""
-SQL_TERMS = f"WITH {_TOKENS} SELECT lang, term, tf FROM counts WHERE tf >= 5"
+SQL_TERMS = f"WITH {_TOKENS} SELECT lang, term, tf FROM counts"
 
 
 def ctfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
