@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise, shuffle_partitions
+from sourceweave.llm.common import materialise, shuffle_partitions, small_batches
 
 ROLES = ("system", "user", "assistant")
 FOLDS = 5
@@ -142,6 +142,7 @@ def units(turns: DataFrame) -> DataFrame:
                 names=["conv_id", "turn", "row", "role", "unit", "marker", "content", "seen"],
             )
 
+    small_batches(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.monotonically_increasing_id().alias("row"),
         F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.col("text").cast("string").alias("text"),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Cells into which the rows of one key are dealt by :func:`lookup`.
 CELLS = 64
+#: Bytes of an Arrow batch that a Python worker gets; a single longer row makes a batch by itself.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return write_scratch(df, name)[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: Arrow batches of a few MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

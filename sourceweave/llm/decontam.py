@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise
+from sourceweave.llm.common import materialise, small_batches
 
 WINDOW = 10
 BLOCK = 2
@@ -91,6 +90,7 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _passes(benchmark: DataFrame, pass_bytes: int):
     """A function for each pass that fetches its items: no two passes are on the driver together."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    small_batches(benchmark.sparkSession)
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     passes = 1 if total <= pass_bytes else -(-2 * total // pass_bytes)
 
@@ -107,8 +107,8 @@ def _scanner(spark: SparkSession, items: list[tuple[str | None, str | None]]):
         search = sent.value.search
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "items": []}
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
                 spans, hit = search(words)
                 out["n_words"].append(len(words))
                 out["n_hit"].append(sum(stop - start for start, stop in spans))
@@ -161,9 +161,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PAS
 def _hit_udf(spark: SparkSession, items: list[tuple[str | None, str | None]]):
     sent = spark.sparkContext.broadcast(WuManber(items))
 
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(sent.value.search(words_of(t))[0]) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(sent.value.search(words_of(t.as_py()))[0]) for t in texts], pa.bool_())
 
     return hit
 

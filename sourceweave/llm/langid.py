@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import id_crc
+from sourceweave.llm.common import id_crc, small_batches
 
 PROFILE = 400
 #: Documents a language that its profile is learnt from, in expectation: a hash of the identifier chooses them.
@@ -116,8 +115,8 @@ class Profiles:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by_language: dict[str, list] = {}
-        for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by_language.setdefault(language, []).append(ngrams(text))
+        for language, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            by_language.setdefault(language, []).append(ngrams(text.as_py()))
         for language, parts in by_language.items():
             keys, counts = _runs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             if len(keys):
@@ -130,6 +129,7 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     A language with more than ``fit_rows`` of them is learnt from about so many, chosen by a hash of the identifier
     and the text. Only PROFILE n-grams a language come to the driver.
     """
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").where(id_crc() % FOLDS != 0)
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     chosen = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.octet_length("text"), F.lit(8)).alias("draw"))
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = sent.value
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column("text").to_pylist()]
+            found = [profiles.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"]
             )
@@ -172,8 +172,8 @@ def identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns; no shuffle of the rows."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, fit_rows))
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.predict(t)[0] != UNDETERMINED for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([sent.value.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_())
 
     return docs.where(known(F.col("text").cast("string")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import id_crc, materialise
+from sourceweave.llm.common import id_crc, materialise, small_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "distinct_words", "top_word", "repeated_next", "upper", "lower", "digit", "space", "beyond_ascii",
@@ -126,12 +126,13 @@ class BoostedTrees:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        table = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
+        table = np.array([statistics(t.as_py()) for t in batch.column("text")], dtype=np.float64).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *[pa.array(table[:, k]) for k in range(len(FEATURES))]], names=["doc_id", "held_out", *FEATURES])
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, held_out (crc32(doc_id as text) mod FOLDS is 1) and the statistics of each row, written once."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_crc() % FOLDS == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return materialise(rows.mapInArrow(_measure, ", ".join(["doc_id bigint", "held_out boolean", *[f"{f} double" for f in FEATURES]])), "statistics")
 

@@ -13,12 +13,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import components, keep_rows, lookup, materialise, text_hash
+from sourceweave.llm.common import components, keep_rows, lookup, materialise, small_batches, text_hash
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -107,23 +107,22 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches):
-    import pyarrow as pa
-
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(values)], names=["doc_id", "text_hash", "fp"])
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = batch["fp"].to_numpy(dtype=np.int64)
+        values = batch.column("fp").to_numpy()
         row, key = golay_keys(values.view(np.uint64))
-        yield pd.DataFrame({"key": key, "fp": values[row]})
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(values[row])], names=["key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp: bigint) for each row, written to the shared folder: texts are read once."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     return materialise(rows.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint"), "simhash")
 
@@ -136,7 +135,7 @@ def links(classes: DataFrame, most: int = 64) -> DataFrame:
     are within two bits exactly if they name a common word, and all that name a word are linked to the smallest of
     them. That is exact as well, reaches the same components, and is linear in the bucket.
     """
-    keys = materialise(classes.select("fp").mapInPandas(_keys, "key bigint, fp bigint"), "golay")
+    keys = materialise(classes.select("fp").mapInArrow(_keys, "key bigint, fp bigint"), "golay")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = keys.join(sizes, "key")
     small = shared.where(F.col("size") <= most).select("key", "fp")
