@@ -12,23 +12,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise, shuffle_partitions
+from sourceweave.llm.common import materialise, shuffle_partitions, small_batches
+from sourceweave.llm.tokens import byte_symbols
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks whose ids a worker keeps.
 CACHE_ENTRIES = 300_000
-#: Characters of text that are tokenised together.
-GROUP_CHARS = 4 << 20
 
 _UNSAFE = re.compile(r"\s \s|  ")
 
@@ -37,39 +38,49 @@ class Encoder:
     """Token ids of whole texts as the library gives them, by way of a cache of chunks.
 
     A blank with no white space on one side always begins a token of this family of patterns, so a text may be cut
-    before it. Texts in which a blank stands between other white space, or with a special string, go to the library whole.
+    before it. Texts in which a blank stands between other white space, or with a special string, go to the library
+    whole. A chunk new to the cache is split by the vocabulary's pattern and merged piece by piece.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        to_byte = {c: b for b, c in byte_symbols().items()}
+        ranks = {bytes(map(to_byte.__getitem__, token)): n for token, n in self.library.get_vocab(with_added_tokens=False).items()}
+        self.merge = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.cache: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        group, size = [], 0
         for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [None if _UNSAFE.search(t) or any(s in t for s in self.special) else self._chunks(t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        missing = list(set().union(*[c for c in chunks if c]).difference(self.cache))
-        self.cache.update(zip(missing, self._whole(missing)))
-        for text, own in zip(texts, chunks):
-            yield self._whole([text])[0] if own is None else b"".join(map(self.cache.__getitem__, own))
+            if _UNSAFE.search(text) or any(s in text for s in self.special):
+                yield self._whole(text)
+                continue
+            chunks = self._chunks(text)
+            if missing := set(chunks).difference(self.cache):
+                if len(self.cache) > CACHE_ENTRIES:
+                    self.cache.clear()
+                    missing = set(chunks)
+                self._learn(missing)
+            yield b"".join(map(self.cache.__getitem__, chunks))
+
+    def _learn(self, chunks: set[str]) -> None:
+        merge, find, cache = self.merge, self.pattern.findall, self.cache
+        for chunk in chunks:
+            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                ids = merge(chunk.encode("utf-8", "replace"))
+            else:
+                ids = [n for piece in find(chunk) for n in merge(piece.encode("utf-8", "replace"))]
+            cache[chunk] = array("I", ids).tobytes()
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -77,6 +88,18 @@ class Encoder:
         return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """The encoder of this process for a vocabulary: a worker keeps its cache from task to task."""
+    if tokenizer not in _ENCODERS:
+        import public_tokenizers
+
+        _ENCODERS[tokenizer] = Encoder(tokenizer if os.sep in tokenizer else public_tokenizers.path(tokenizer))
+    return _ENCODERS[tokenizer]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: full ones, after a first piece that may be shorter."""
     first = n - capacity * (-(-n // capacity) - 1)
@@ -155,13 +178,11 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """Rows doc_id, row, piece, start, length, ids_crc32: the tokenised documents, cut to ``capacity``."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encoder = Encoder(public_tokenizers.path(tokenizer) if os.sep not in tokenizer else tokenizer)
+        encode = encoder(tokenizer).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
-            for at, ids in enumerate(encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for at, ids in enumerate(encode(t.as_py() or "" for t in batch.column("text"))):
                 view = memoryview(ids + end)
                 out += [(at, k, start, length, zlib.crc32(view[4 * start : 4 * (start + length)])) for k, (start, length) in enumerate(cut(len(view) // 4, capacity))]
             table = np.array(out, dtype=np.int64).reshape(-1, 5)
@@ -171,6 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 names=["doc_id", "row", "piece", "start", "length", "ids_crc32"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tokenise, "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourceweave.llm.common import small_batches
+
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 CACHE_ENTRIES = 300_000
@@ -141,6 +143,18 @@ class TokenCounter:
         return [n + sum(map(self.cache.__getitem__, c)) for n, c in zip(specials, split)]
 
 
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def token_counter(tokenizer: str) -> TokenCounter:
+    """The counter of this process for a vocabulary: a worker keeps its cache from task to task."""
+    if tokenizer not in _COUNTERS:
+        import public_tokenizers
+
+        _COUNTERS[tokenizer] = TokenCounter(tokenizer if os.sep in tokenizer else public_tokenizers.path(tokenizer))
+    return _COUNTERS[tokenizer]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``: whole texts, no special tokens added.
 
@@ -149,13 +163,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        counter = TokenCounter(tokenizer if os.sep in tokenizer else public_tokenizers.path(tokenizer))
+        counter = token_counter(tokenizer)
         for batch in batches:
-            n = counter.count([t or "" for t in batch.column("text").to_pylist()])
+            n = counter.count([t.as_py() or "" for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), text.alias("text"))
     counted = rows.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint")
