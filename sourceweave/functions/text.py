@@ -188,8 +188,7 @@ def terms(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     tokens = F.regexp_extract_all(F.lower(_text(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     if not stop_words:
         return tokens
-    stop = F.array(*map(F.lit, stop_words))
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: ~t.isin(*stop_words))
 
 
 def with_bigrams(tokens: Column) -> Column:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import scores, vectors
 from sourceweave.operators import clusters, dedup, metrics, sweep
+from sourceweave.sources.tables import scan
 
 EDGE_THRESHOLD = 0.3
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding", F.concat(F.lit("src"), (F.col("vec_id") % 7).cast("string")).alias("source"))
+    return scan(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").select("vec_id", "label", "embedding", F.concat(F.lit("src"), (F.col("vec_id") % 7).cast("string")).alias("source"))
 
 
 def corroboration_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sourceweave.functions import text
 from sourceweave.operators import metrics, resampling
 from sourceweave.plans.texts import SENSATIONAL
+from sourceweave.sources.tables import scan
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, score, label): freedom from sensational language against the quality label."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.round(100 * (1 - text.sensational_share(None, F.col("text"))), 6).alias("score"))
+    docs = scan(spark, sf_dir, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.round(100 * (1 - text.sensational_share(None, F.col("text"))), 6).alias("score"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     return docs.join(labels, "doc_id")
 

@@ -99,12 +99,12 @@ SELECT needle, topic FROM m WHERE k = 1
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of each page."""
-    return html.extract_bodies(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html.extract_bodies(tables.scan(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each page."""
-    return html.extract_links(spark.read.parquet(f"{sf_dir}/pages.parquet"), "^https?://")
+    return html.extract_links(tables.scan(spark, sf_dir, "pages", "page_id", "url", "html"), "^https?://")
 
 
 def claim_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import fixed, text, urls
 from sourceweave.operators import claims, dedup, quality, topics
+from sourceweave.sources.tables import scan
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return scan(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
 
 
 def _quoted(values: tuple[str, ...]) -> str:
@@ -55,8 +56,8 @@ FROM t
 
 def informative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document, and how many of them report."""
-    every = text.sentences(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(every).alias("n_sentences"), F.size(F.filter(every, lambda s: text.is_informative_sentence(s))).alias("n_informative"))
+    rows = _docs(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("every"))
+    return rows.select("doc_id", F.size("every").alias("n_sentences"), F.size(F.filter("every", lambda s: text.is_informative_sentence(s))).alias("n_informative"))
 
 
 _SENTENCES = f"""

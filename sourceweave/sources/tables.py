@@ -25,6 +25,20 @@ REPORT = "struct<documents: bigint, resolvedDomainShare: double, knownSourceShar
 ENVELOPE = f"struct<schemaVersion: int, generatedAt: string, generatedBy: string, qualityReport: {REPORT}, topics: array<{TOPIC}>>"
 
 
+#: Bytes up to which a table is spread over all cores when it is read.
+SPREAD_BYTES = 256 << 20
+
+
+def scan(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a Parquet table. A table of a few row groups is dealt over all cores; a large one is read as it lies.
+
+    The size is that of the files, known before the scan: no more than SPREAD_BYTES are ever shuffled for this.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    size = int(str(rows._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else rows
+
+
 def read_csv(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """A table with a header, quoted line breaks and doubled quotes."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
