@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.llm.common import materialise, shuffle_partitions, small_batches
@@ -123,8 +123,12 @@ def transfer(model: Model, emissions: list[list[int]]) -> np.ndarray:
     return whole
 
 
-def units(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, row, unit, role, marker, content, seen: the units of all rows, in range parts (column part)."""
+def units(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The units of all rows: with their content (row, unit, conv_id, turn, content), and in order, without it.
+
+    The second table has conv_id, turn, row, unit, role, marker and seen, in range parts (column part). Contents are
+    written once and stay where they are until the roles are known.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +153,8 @@ def units(turns: DataFrame) -> DataFrame:
     )
     split_rows = materialise(rows.mapInArrow(split, "conv_id bigint, turn bigint, row bigint, role string, unit int, marker string, content string, seen int"), "units")
     order = ["conv_id", "turn", "row", "unit"]
-    dealt = split_rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *order).withColumn("part", F.spark_partition_id())
-    return materialise(dealt.sortWithinPartitions(*order), "transcripts")
+    dealt = split_rows.drop("content").repartitionByRange(shuffle_partitions(turns.sparkSession), *order).withColumn("part", F.spark_partition_id())
+    return split_rows.select("row", "unit", "conv_id", "turn", "content"), materialise(dealt.sortWithinPartitions(*order), "transcripts")
 
 
 def learn(dealt: DataFrame) -> Model:
@@ -204,9 +208,9 @@ def parse(turns: DataFrame) -> DataFrame:
     empty result; other columns are not read.
     """
     spark = turns.sparkSession
-    dealt = units(turns)
+    contents, dealt = units(turns)
     model = spark.sparkContext.broadcast(learn(dealt))
-    in_order = lambda columns: dealt.select(*columns).repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "conv_id", "turn", "row", "unit")
+    in_order = dealt.select(*_UNIT_FIELDS).repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "conv_id", "turn", "row", "unit")
     ends = dealt.groupBy("part").agg(F.min(F.struct("conv_id", "turn", "row", "unit")).alias("low"), F.max(F.struct("conv_id", "turn", "row", "unit")).alias("high")).collect()  # a row a part
     ends = sorted(((r.part, r.low.conv_id, r.high.conv_id) for r in ends), key=lambda r: r[0])
     shared = {(part, conv) for a, b in zip(ends, ends[1:]) if a[2] == b[1] for part, conv in ((a[0], a[2]), (b[0], b[1]))}
@@ -223,23 +227,19 @@ def parse(turns: DataFrame) -> DataFrame:
 
     plans: dict[tuple, tuple[list[int] | None, int | None]] = {}
     if shared:
-        told = in_order(_UNIT_FIELDS).mapInArrow(summarise, "part int, conv_id bigint, matrix array<bigint>, first array<bigint>, rest array<bigint>").collect()  # two rows a part at most
+        told = in_order.mapInArrow(summarise, "part int, conv_id bigint, matrix array<bigint>, first array<bigint>, rest array<bigint>").collect()  # two rows a part at most
         plans = _chain(model.value, sorted(((r.part, r.conv_id, r.matrix, r.first, r.rest) for r in told), key=lambda r: r[0]))
     fixed = spark.sparkContext.broadcast(plans)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, run in _stretches(batches, (*_UNIT_FIELDS, "content")):
+        for key, run in _stretches(batches, _UNIT_FIELDS):
             entry, last = fixed.value.get(key, (None, None))
-            path = viterbi(model.value, _emissions(model.value, run), entry, last)
-            roles = [ROLES[k] for k in path]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in run], pa.int64()), pa.array([r[2] for r in run], pa.int64()), pa.array([r[4] for r in run], pa.int32()), pa.array(roles), pa.array([r[7] for r in run], pa.string()), pa.array([render(a, r[7]) for a, r in zip(roles, run)])],
-                names=["conv_id", "turn", "unit", "role_pred", "content", "rendered"],
-            )
+            roles = [ROLES[k] for k in viterbi(model.value, _emissions(model.value, run), entry, last)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in run], pa.int64()), pa.array([r[4] for r in run], pa.int32()), pa.array(roles)], names=["row", "unit", "role_pred"])
 
-    parsed = in_order((*_UNIT_FIELDS, "content")).mapInArrow(follow, "conv_id bigint, turn bigint, unit int, role_pred string, content string, rendered string")
+    found = contents.join(in_order.mapInArrow(follow, "row bigint, unit int, role_pred string"), ["row", "unit"])
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")
-    return parsed.select("conv_id", "turn", "unit", (F.crc32(conv) % FOLDS == 0).alias("held_out"), "role_pred", "content", "rendered")
+    return found.select("conv_id", "turn", "unit", (F.crc32(conv) % FOLDS == 0).alias("held_out"), "role_pred", "content", rendered().alias("rendered"))
 
 
 def _chain(model: Model, told: list[tuple]) -> dict[tuple, tuple[list[int] | None, int | None]]:
@@ -268,6 +268,6 @@ def _chain(model: Model, told: list[tuple]) -> dict[tuple, tuple[list[int] | Non
     return plans
 
 
-def render(role: str, content: str) -> str:
-    """The canonical form of a turn."""
-    return f"<|im_start|>{role}\n{content}<|im_end|>\n"
+def rendered() -> Column:
+    """The canonical form of a turn from its role_pred and content."""
+    return F.concat(F.lit("<|im_start|>"), "role_pred", F.lit("\n"), "content", F.lit("<|im_end|>\n"))
