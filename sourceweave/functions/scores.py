@@ -98,6 +98,16 @@ def sentiment(label: Column, value: Column, score: Column) -> tuple[Column, Colu
     return F.when(given.isin("POSITIVE", "NEGATIVE", "NEUTRAL"), given).otherwise(sign), number
 
 
+def signed_sentiment(label: Column, score: Column) -> Column:
+    """A classifier's score with its sign: negative unless the label is POSITIVE."""
+    return F.when(F.upper(label) == "POSITIVE", F.round(score, 4)).otherwise(-F.round(score, 4))
+
+
+def headline_only(articles: Column) -> Column:
+    """Articles of an export that are known to lack a body."""
+    return F.size(F.filter(articles, lambda a: a["bodyAvailable"] == F.lit(False)))
+
+
 def mean_sentiment_label(mean: Column) -> Column:
     return F.when(mean > 0.2, "Positive").when(mean < -0.2, "Negative").otherwise("Neutral")
 

@@ -161,6 +161,11 @@ def sensational_share(title: Column | None, text: Column) -> Column:
     return F.least(F.lit(1.0), sensational_hits(s) / F.greatest(F.lit(1.0), F.size(words(s)) / 100) / 6.0)
 
 
+def is_topic_request(topic: Column) -> Column:
+    """A topic that a job may be asked for: 2 to 60 word characters, blanks and plain punctuation."""
+    return F.coalesce(topic.rlike(r"^[\w .,'&()\-]{2,60}$"), F.lit(False))
+
+
 def without_controls(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, "")
 

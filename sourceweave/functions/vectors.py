@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what a lambda takes from outside it would be anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -15,19 +22,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(doubles(a), F.lit(0.0), lambda s, x: s + x * x))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 if one of them is zero."""
-    length = norm(a) * norm(b)
-    return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
+    return let(F.struct(dot(a, b).alias("d"), (norm(a) * norm(b)).alias("n")), lambda p: F.when(p["n"] > 0, p["d"] / p["n"]).otherwise(0.0))
 
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays."""
-    n = norm(a)
-    return F.transform(doubles(a), lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(doubles(a), lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sourceweave.functions.vectors import unit
+from sourceweave.functions.vectors import let, unit
 
 #: Text to vector as an expression; text to text; anything to rows.
 Embedder = Callable[[Column], Column]
@@ -18,9 +22,11 @@ def hash_words(size: int = 512) -> Embedder:
     """Bags of words: lower-case words without marks at their ends, counted by crc32 modulo ``size``, at length one."""
 
     def embed(text: Column) -> Column:
-        words = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"""^[.,;:!?()"']+|[.,;:!?()"']+$""", "")), lambda w: w != "")
+        bare = lambda w: F.regexp_replace(w, r"""^[.,;:!?()"']+|[.,;:!?()"']+$""", "")
+        words = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), bare), lambda w: w != "")
         slots = F.transform(words, lambda w: (F.crc32(w.cast("binary")) % size).cast("int"))
-        return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
+        counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+        return unit(let(slots, counted))
 
     return embed
 
@@ -43,3 +49,46 @@ def decoded(url: Column, decoder: Callable[[str], dict | None]) -> Column:
         return str(told["decoded_url"]) if fine else value
 
     return decode(url)
+
+
+class Refused(Exception):
+    """Raised by a getter for an answer that is worth another try."""
+
+
+def patiently(get: Callable[[str], str], tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """``get`` with further tries after 2, 4, 8 seconds when it refuses; None if it still does."""
+
+    def patient(url: str) -> str | None:
+        for attempt in range(tries + 1):
+            try:
+                return get(url)
+            except (Refused, OSError):
+                if attempt < tries:
+                    sleep(wait * 2**attempt)
+        return None
+
+    return patient
+
+
+def fetched(urls: DataFrame, get: Callable[[str], str | None], url: str = "url", threads: int = 6) -> DataFrame:
+    """``urls`` with ``html``: each partition fetches with a few threads; rows keep their order and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                bodies = list(pool.map(lambda u: get(u) if u else None, batch.column(url).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.string())], names=[*batch.schema.names, "html"])
+
+    schema = T.StructType([*urls.schema.fields, T.StructField("html", T.StringType())])
+    return urls.mapInArrow(run, schema)
+
+
+def through_cache(urls: DataFrame, path: str, get: Callable[[str], str | None], url: str = "url") -> DataFrame:
+    """(url, html) of all distinct ``urls``: those that the table at ``path`` lacks are fetched and added to it."""
+    spark = urls.sparkSession
+    wanted = urls.select(url).where(F.col(url).isNotNull()).distinct()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    missing = wanted.join(spark.read.parquet(path), url, "left_anti") if there else wanted
+    fetched(missing, get, url).where("html is not null").write.mode("append").parquet(path)
+    return wanted.join(spark.read.parquet(path), url, "left")

@@ -7,6 +7,12 @@ cluster of any size costs one row a task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +92,43 @@ def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame, key: str) -
     return df.withColumn("_best", best).withColumns({"nearest": F.col("_best.nearest"), "distance": F.col("_best.distance")}).drop("_best")
 
 
+def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with topic, (topic, centroid)): k-means on the vectors as they are, distributed over the rows."""
+    ready = df.withColumn("_features", array_to_vector(vectors.doubles(F.col(vector))))
+    fitted = KMeans(featuresCol="_features", predictionCol="topic", k=k, seed=seed, maxIter=50).fit(ready)
+    centres = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.clusterCenters())], "topic int, centroid array<double>")
+    return fitted.transform(ready).drop("_features"), centres
+
+
+def projection(df: DataFrame, vector: str, dims: int = 2) -> DataFrame:
+    """``df`` with ``xy``: the vectors along the first right singular directions of all of them, not centred.
+
+    Each task sums the products of its rows; the sums, one row an entry, are added up over the cluster, and the driver
+    decomposes a matrix of the vectors' width. A direction's largest entry is positive.
+    """
+    size = dimension(df, vector)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            rows = np.array([v for v in batch.column(0).to_pylist() if v is not None], dtype=float).reshape(-1, size)
+            total += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["g"])
+
+    if not size:
+        return df.withColumn("xy", F.array().cast("array<double>"))
+    summed = df.select(vector).mapInArrow(products, "g array<double>").select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    gram = np.zeros(size * size)
+    for r in summed.collect():  # the square of the width
+        gram[r["at"]] = r.x
+    _, directions = np.linalg.eigh(gram.reshape(size, size))
+    axes = []
+    for k in range(1, min(dims, size) + 1):
+        axis = directions[:, -k]
+        axes.append((axis * np.sign(axis[np.abs(axis).argmax()])).tolist())
+    return df.withColumn("xy", F.array(*[vectors.dot(F.col(vector), F.array(*map(F.lit, a))) for a in axes]))
+
+
 def topic_counts(df: DataFrame, key: str, k: int) -> DataFrame:
     """Documents of each of the topics 0 to k - 1, zero where there are none."""
     spark = df.sparkSession

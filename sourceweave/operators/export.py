@@ -42,21 +42,23 @@ def listed(column: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != "")))
 
 
-def topic_nodes(rows: DataFrame, key: str, order: str, summaries: DataFrame) -> DataFrame:
+def topic_nodes(rows: DataFrame, key: str, order: str, summaries: DataFrame, coherence: str | None = None) -> DataFrame:
     """A row a topic (-1 and null left out): topic, topicName, intelligenceSummary, keywords, locations, articles, formulaBreakdown.
 
-    rows as for :func:`article_nodes`, with topic_name, keyphrases and locations; summaries: (key, summary). A topic becomes
-    one document, so export-sized topics are meant, not corpora.
+    rows as for :func:`article_nodes`, with topic_name, keyphrases and locations; summaries: (key, summary). coherence names a
+    column with the topic's mean agreement for topics without rows of agreement. A topic becomes one document, so
+    export-sized topics are meant, not corpora.
     """
     own = rows.where(F.col(key).isNotNull() & (F.col(key) != -1))
     nodes = article_nodes(own, key, order).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "article", "domain"))), lambda x: F.struct(x["article"].alias("article"), x["domain"].alias("domain"))).alias("all"))
-    facts = own.groupBy(key).agg(F.min_by("topic_name", order).alias("topicName"), listed(F.col("keyphrases")).alias("keys"), listed(F.col("locations")).alias("places"))
+    mean = F.max(coherence) if coherence else F.lit(None).cast("double")
+    facts = own.groupBy(key).agg(mean.alias("agreed"), F.min_by("topic_name", order).alias("topicName"), listed(F.col("keyphrases")).alias("keys"), listed(F.col("locations")).alias("places"))
     joined = nodes.join(facts, key).join(summaries, key, "left")
     articles = F.transform("all", lambda x: x["article"])
     domains = F.transform("all", lambda x: x["domain"])
     upper = vectors.triangle_of_others(F.transform("all", lambda x: x["article"]["coherenceScores"]))
     sims = F.filter(F.transform("all", lambda x: x["article"]["similarityToSummary"]), lambda s: s.isNotNull())
-    parts = scores.score_arrays(sims, domains, upper)
+    parts = scores.score_arrays(sims, domains, F.when((F.size(upper) == 0) & F.col("agreed").isNotNull(), F.array("agreed")).otherwise(upper))
     words = F.filter(F.slice(F.split("topicName", "_"), 2, 1000), lambda w: w != "")
     keywords = F.when(F.size("keys") > 0, F.col("keys")).when(F.size(words) > 0, words).otherwise(F.array(F.lit("OSINT")))
     breakdown = F.struct(
@@ -92,3 +94,27 @@ def dossier(topics: DataFrame, key: str) -> DataFrame:
         F.lit("-" * 50), F.col("summary"), F.lit(""), F.concat(F.lit("KEYWORDS: "), F.col("keywords")), F.concat(F.lit("PLACES: "), F.col("places")), F.concat(F.lit("SOURCES: "), named), F.lit("=" * 50),
     ]
     return topics.where("n >= 2").select(key, F.concat_ws("\n", *lines).alias("entry"))
+
+
+def report_html(topics: DataFrame) -> DataFrame:
+    """(topic, reference, html): a printable report of each topic of an export.
+
+    Everything that comes from outside is escaped, addresses other than http(s) become `#`, snippets of more than 200
+    characters are cut.
+    """
+    safe = lambda c: text.escape_html(c.cast("string"))
+    score = F.col("formulaBreakdown")
+    band = F.when(score.isNull(), "not scored").otherwise(scores.confidence(score["finalScore"]))
+
+    def article(a: Column) -> Column:
+        snippet = F.when(F.length(a["snippet"]) > 200, F.concat(F.substring(a["snippet"], 1, 197), F.lit("..."))).otherwise(a["snippet"])
+        address = safe(urls.safe_href(a["url"]))
+        return F.concat(F.lit('<li><a href="'), address, F.lit('">'), safe(a["title"]), F.lit("</a> <i>"), safe(a["source"]), F.lit("</i> "), safe(a["pubDate"]), F.lit("<p>"), safe(snippet), F.lit("</p></li>"))
+
+    reference = text.report_reference(F.col("topic"))
+    body = F.concat(
+        F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), safe(F.col("topic")), F.lit("</title></head><body><h1>"), safe(F.col("topic")), F.lit("</h1><p>"), safe(reference),
+        F.lit("</p><p>Score "), F.coalesce(score["finalScore"].cast("string"), F.lit("-")), F.lit(" ("), band, F.lit("), "), scores.consensus(F.coalesce(score["nDomains"], F.lit(0))), F.lit("</p><p>"),
+        safe(F.col("intelligenceSummary")), F.lit("</p><p>"), safe(F.array_join("keywords", ", ")), F.lit("</p><ol>"), F.array_join(F.transform("articles", article), ""), F.lit("</ol></body></html>"),
+    )
+    return topics.select("topic", reference.alias("reference"), body.alias("html"))

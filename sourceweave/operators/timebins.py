@@ -44,3 +44,9 @@ def topics_over_time(rows: DataFrame, when: str, topic: str) -> DataFrame:
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(clean.select("topic").distinct()))
     middle = F.timestamp_micros((F.lit(low) + (F.col("bin") + 0.5) * F.lit(width)).cast("bigint"))
     return grid.join(counts, ["bin", "topic"], "left").select("topic", "bin", middle.alias("timestamp"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
+
+
+def date_range(rows: DataFrame, when: str) -> DataFrame:
+    """One row (first, last, days) of the times that can be read."""
+    t = F.col(when).cast("timestamp")
+    return rows.agg(F.min(t).alias("first"), F.max(t).alias("last")).withColumn("days", F.datediff("last", "first"))

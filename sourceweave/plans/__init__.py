@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceweave.plans import clusters, evaluation, events, texts
+from sourceweave.plans import batch, clusters, evaluation, events, texts
 
-MODULES = (clusters, texts, evaluation, events)
+MODULES = (clusters, texts, evaluation, events, batch)
 
 
 def queries() -> dict:

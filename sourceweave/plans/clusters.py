@@ -121,6 +121,12 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.semantic_dedup(rows, "vec_id", "text", dedup.cosine_edges(rows, "vec_id", "embedding", EDGE_THRESHOLD)).select("vec_id", "label")
 
 
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector in the plane of the two strongest directions."""
+    found = clusters.projection(_rows(spark, sf_dir), "embedding")
+    return found.select("vec_id", "label", F.round(F.col("xy")[0], 6).alias("x"), F.round(F.col("xy")[1], 6).alias("y"))
+
+
 def evidence(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame:
     """Bundles for the studies: the vectors of a label in groups of ``size``, with similarities, sources and agreement.
 
@@ -216,7 +222,7 @@ SELECT split, round((sum(mr) FILTER (label = 1) - sum(label) * (sum(label) + 1)
 
 QUERIES = {
     f.__name__: f
-    for f in (corroboration_by_label, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, param_sweep, best_variant, parameter_transfer, split_auc)
+    for f in (corroboration_by_label, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, projection, param_sweep, best_variant, parameter_transfer, split_auc)
 }
 SQL = {
     "corroboration_by_label": SQL_CORROBORATION, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,

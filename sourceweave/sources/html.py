@@ -28,6 +28,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = [""]
         self.hrefs: list[str] = []
+        self.anchors: list[str] = []
+        self.in_anchor = False
         self.scripts: list[str] = []
         self.skip: list[str] = []
         self.data = False
@@ -36,6 +38,8 @@ class _Reader(HTMLParser):
         given = dict(attrs)
         if tag == "a" and given.get("href") is not None:
             self.hrefs.append(given["href"])
+            self.anchors.append("")
+            self.in_anchor = True
         if tag == "script" and (given.get("type") or "").strip().lower() == "application/ld+json":
             self.data = True
             self.scripts.append("")
@@ -50,14 +54,19 @@ class _Reader(HTMLParser):
                 pass
         if tag == "script":
             self.data = False
+        if tag == "a":
+            self.in_anchor = False
         if tag in BLOCKS:
             self.lines.append("")
 
     def handle_data(self, data: str) -> None:
         if self.data:
             self.scripts[-1] += data
-        elif not self.skip:
-            self.lines[-1] += data
+        else:
+            if self.in_anchor:
+                self.anchors[-1] += data
+            if not self.skip:
+                self.lines[-1] += data
 
 
 def read(html: str | None) -> _Reader:
@@ -79,6 +88,12 @@ def article_links(html: str | None, pattern: str, base: str) -> list[str]:
     return list(dict.fromkeys(x for x in links if re.search(pattern, x)))
 
 
+def titled_links(html: str | None, base: str) -> list[tuple[str, str]]:
+    """(title, absolute address) of all links, in order."""
+    page = read(html)
+    return [(" ".join(t.split()), urljoin(base, h)) for t, h in zip(page.anchors, page.hrefs)]
+
+
 def claim_review(html: str | None, url: str) -> dict[str, str] | None:
     """The first ClaimReview of a page: claim, rating, date, url and author."""
     for script in read(html).scripts:
@@ -129,6 +144,18 @@ def extract_links(pages: DataFrame, pattern: str, key: str = "page_id") -> DataF
     return _mapped(pages, [key, "url", "html"], links, f"{key} bigint, links array<string>").select(key, F.posexplode("links").alias("nth", "link"))
 
 
+def extract_titled_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, nth, title, url): all links of each page with their text."""
+
+    def links(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("title", pa.string()), ("url", pa.string())]))
+        found = [[{"title": t, "url": a} for t, a in titled_links(h.as_py(), u.as_py() or "")] for h, u in zip(batch.column("html"), batch.column("url"))]
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, kind)], names=[key, "links"])
+
+    rows = _mapped(pages, [key, "url", "html"], links, f"{key} bigint, links array<struct<title: string, url: string>>")
+    return rows.select(key, F.posexplode("links").alias("nth", "link")).select(key, "nth", "link.title", "link.url")
+
+
 def extract_reviews(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, claim, rating, date, url, author) of the pages that review a claim."""
     fields = ("claim", "rating", "date", "url", "author")

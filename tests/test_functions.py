@@ -185,3 +185,11 @@ def test_sentiment(spark):
     rows = spark.createDataFrame([(0, "positive", None, None), (1, None, 0.2, None), (2, "odd", None, -0.3), (3, None, 0.21, -1.0)], "n int, l string, v double, s double")
     label, value = scores.sentiment(F.col("l"), F.col("v"), F.col("s"))
     assert [(r.l2, r.v2) for r in rows.select("n", label.alias("l2"), value.alias("v2")).orderBy("n").collect()] == [("POSITIVE", 0.0), ("NEUTRAL", 0.2), ("NEGATIVE", -0.3), ("POSITIVE", 0.21)]
+
+
+def test_small_rules(spark):
+    assert column(spark, ["US economy, 2024", "x", "<script>", None, "a" * 61], "string", text.is_topic_request) == [True, False, False, False, False]
+    rows = spark.createDataFrame([("POSITIVE", 0.98765), ("NEGATIVE", 0.5), ("x", 0.5)], "l string, s double")
+    assert [r.v for r in rows.select(scores.signed_sentiment(F.col("l"), F.col("s")).alias("v")).collect()] == [0.9877, -0.5, -0.5]
+    assert column(spark, [[(True,), (False,), (None,)]], "array<struct<bodyAvailable: boolean>>", scores.headline_only) == [1]
+    assert column(spark, ["https://consent.google.com/x", "https://x.com", None], "string", text.is_consent_url) == [True, False, False]

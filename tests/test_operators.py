@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -269,3 +270,42 @@ def test_dossier(spark):
     rows = spark.createDataFrame([(0, "T", 3, 0.3, 80, ["a", "b"], "sum", "k", "p"), (1, "U", 1, 0.0, 50, ["a"], "s", "k", "p")], "id int, topic string, n int, mean_sentiment double, final_score int, sources array<string>, summary string, keywords string, places string")
     entries = export.dossier(rows, "id").collect()
     assert len(entries) == 1 and "CONSENSUS: WEAK (2 sources: a, b)" in entries[0].entry and "80/100 ok" in entries[0].entry
+
+
+def test_projection_is_the_truncated_svd(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(30, 5)) * np.array([5, 3, 1, 1, 1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id int, v array<double>").repartition(3)
+    found = np.array([r.xy for r in clusters.projection(rows, "v").orderBy("id").collect()])
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    assert np.abs(found) == pytest.approx(np.abs(u[:, :2] * s[:2]))
+    assert clusters.projection(rows.limit(0), "v").count() == 0
+
+
+def test_kmeans_puts_each_row_at_its_nearest_centre(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, (np.eye(3)[i % 3] * 5 + rng.normal(size=3)).tolist()) for i in range(60)], "id int, v array<double>")
+    found, centres = clusters.kmeans(rows, "v", 3)
+    again = clusters.nearest_centroid(found, "v", centres, "topic")
+    assert again.where("nearest <> topic").count() == 0 and centres.count() == 3
+
+
+def test_keyphrases(spark):
+    from sourceweave.hooks import hash_words
+
+    docs = spark.createDataFrame([(0, "apple apple pear plum")], "id int, t string").withColumn("v", hash_words(256)(F.col("t")))
+    found = topics.keyphrases(docs, "id", "t", "v", hash_words(256), 2).first()
+    assert "apple pear" in found.phrases or "apple" in found.phrases and len(found.phrases) == 2
+
+
+def test_tfidf_overlap_of_edges(spark):
+    own = spark.createDataFrame([("a", "rates rise again"), ("b", ""), ("c", "alone here")], "k string, summary string")
+    docs = spark.createDataFrame([("a", 1, "rates rise again"), ("a", 2, "cats sleep"), ("b", 3, "x y")], "k string, id int, text string")
+    found = {r.k: r.score for r in topics.tfidf_overlap(own, docs, "k", "id").collect()}
+    assert found["b"] == found["c"] == 0 and 49 < found["a"] < 51
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([(json.dumps([{"topic": "<b>", "articles": [{"title": "t&", "url": "javascript:x", "snippet": "s" * 300, "source": "a"}]}]),)], "json string")
+    page = export.report_html(tables.read_export(rows)).first()
+    assert "&lt;b&gt;" in page.html and 'href="#"' in page.html and "s" * 197 + "..." in page.html and "s" * 198 not in page.html and "not scored" in page.html

@@ -97,3 +97,28 @@ def test_tables_out(spark):
     wide = tables.result_table(scored).orderBy("method")
     assert wide.columns == ["method", "C1", "C2"]
     assert tables.markdown(wide).splitlines()[2:] == ["| m | 1.0 | 2.0 |", "| n |  |  |"]
+
+
+def test_titled_links(spark):
+    assert html.titled_links(PAGE, "https://a.com")[0] == ("x", "https://a.com/x?utm=1")
+    pages = spark.createDataFrame([(0, "https://a.com", PAGE), (1, None, None)], "page_id bigint, url string, html string")
+    assert [(r.title, r.url) for r in html.extract_titled_links(pages).where("nth = 2").collect()] == [("y", "https://b.org/y#z")]
+
+
+def test_fetching(spark, tmp_path):
+    calls = []
+
+    def get(url):
+        calls.append(url)
+        if len(calls) < 3:
+            raise hooks.Refused
+        return "body"
+
+    waits = []
+    assert hooks.patiently(get, sleep=waits.append)("u") == "body" and waits == [2.0, 4.0]
+    assert hooks.patiently(lambda _: (_ for _ in ()).throw(OSError()), tries=1, sleep=waits.append)("u") is None
+    urls = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "url string, n int")
+    assert sorted((r.n, r.html) for r in hooks.fetched(urls, lambda u: u * 2).collect()) == [(1, "aa"), (2, None), (3, "bb")]
+    path = f"file://{tmp_path}/cache"
+    first = {r.url: r.html for r in hooks.through_cache(urls, path, lambda u: u * 2).collect()}
+    assert first == {"a": "aa", "b": "bb"} == {r.url: r.html for r in hooks.through_cache(urls, path, lambda u: "new").collect()}
