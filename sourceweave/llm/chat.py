@@ -151,7 +151,7 @@ def units(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.monotonically_increasing_id().alias("row"),
         F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.col("text").cast("string").alias("text"),
     )
-    split_rows = materialise(rows.mapInArrow(split, "conv_id bigint, turn bigint, row bigint, role string, unit int, marker string, content string, seen int"), "units")
+    split_rows = materialise(rows.mapInArrow(split, "conv_id bigint, turn bigint, row bigint, role string, unit int, marker string, content string, seen int"), "units", "zstd")
     order = ["conv_id", "turn", "row", "unit"]
     dealt = split_rows.drop("content").repartitionByRange(shuffle_partitions(turns.sparkSession), *order).withColumn("part", F.spark_partition_id())
     return split_rows.select("row", "unit", "conv_id", "turn", "content"), materialise(dealt.sortWithinPartitions(*order), "transcripts")

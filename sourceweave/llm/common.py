@@ -44,17 +44,17 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_scratch(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """:func:`write_scratch` for tables that stay until the application ends."""
-    return write_scratch(df, name)[0]
+    return write_scratch(df, name, compression)[0]
 
 
 def small_batches(spark: SparkSession) -> None:
