@@ -101,5 +101,16 @@ FROM f
 """
 
 
+# crc32 byte by byte over a table of its 256 remainders; rows of equal doc_ids are ordered by size and crc
+_OP9 = """
+WITH remainders AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) ORDER BY k) AS t FROM range(256) r(k)),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM hexed),
+sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, CAST(xor(list_reduce(b, lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32 FROM bytes, remainders),
+placed AS (SELECT *, CAST((2 * sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 16 // (2 * sum(size) OVER ()) AS INTEGER) AS shard FROM sized)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7}
+    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7, "op9_shards": _OP9}
