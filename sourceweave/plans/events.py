@@ -107,6 +107,14 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_links(tables.scan(spark, sf_dir, "pages", "page_id", "url", "html"), "^https?://")
 
 
+SQL_LINKS = r"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS site, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) AS links FROM pages),
+l AS (SELECT page_id, pos, string_split(CASE WHEN starts_with(link, '/') THEN site || link ELSE link END, '?')[1] AS link FROM (SELECT page_id, site, unnest(links) AS link, generate_subscripts(links, 1) AS pos FROM h)),
+f AS (SELECT page_id, link, min(pos) AS pos FROM l WHERE regexp_matches(link, '^https?://') GROUP BY page_id, link)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS nth, link FROM f
+"""
+
+
 def claim_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews found in pages to which one has been added."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -176,5 +184,5 @@ QUERIES = {
 }
 SQL = {
     "topics_over_time": SQL_OVER_TIME, "tumbling_counts": SQL_TUMBLING, "session_counts": SQL_SESSIONS, "sentiment_split": SQL_SENTIMENT, "drift_status": SQL_DRIFT, "topic_lookup": SQL_LOOKUP,
-    "claim_reviews": SQL_REVIEWS, "feed_candidates": SQL_FEEDS, "redirects": SQL_REDIRECTS,
+    "page_links": SQL_LINKS, "claim_reviews": SQL_REVIEWS, "feed_candidates": SQL_FEEDS, "redirects": SQL_REDIRECTS,
 }

@@ -189,6 +189,19 @@ def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.extractive_summaries(_docs(spark, sf_dir), "doc_id", "text")
 
 
+SQL_SUMMARIES = rf"""
+WITH {_SENTENCES}, long AS (SELECT doc_id, pos, sentence, ({_INFORMATIVE}) AS good FROM kept WHERE length(sentence) > 15),
+chosen AS (SELECT doc_id, pos, sentence, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT *, bool_or(good) OVER (PARTITION BY doc_id) AS any_good FROM long) WHERE good OR NOT any_good),
+tf AS (SELECT doc_id, pos, term, any_value(n) AS n, count(*) AS tf FROM (SELECT doc_id, pos, n, unnest(list_filter(regexp_extract_all(lower(sentence), '[\pL\pN_]+'), lambda t: length(t) > 1 AND NOT list_contains([{_quoted(fixed.ENGLISH_STOP_WORDS)}], t))) AS term FROM chosen) GROUP BY doc_id, pos, term),
+df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY doc_id, term),
+w AS (SELECT doc_id, pos, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (doc_id, term)),
+sums AS (SELECT doc_id, pos, round(sum(w) / sqrt(sum(w * w)), 9) AS score FROM w GROUP BY doc_id, pos),
+best AS (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id ORDER BY coalesce(score, 0) DESC, c.pos DESC) AS k FROM chosen c LEFT JOIN sums USING (doc_id, pos)),
+joined AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM best WHERE k <= 3 GROUP BY doc_id)
+SELECT doc_id, coalesce(summary, substr(text, 1, 400) || '...') AS summary FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
+
 def tfidf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source's first document is borne out by its others."""
     docs = _docs(spark, sf_dir)
@@ -337,6 +350,28 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEADS = ("In August 2026, ", "According to the office, ", "A video circulating online shows ", "Senator Smith said that ", "", "“Reportedly ")
 
+# what each headline and name must become; reference and escaping are worked out
+SQL_TITLES = """
+WITH t(n, headline, title, given) AS (VALUES
+  (0, 'Rates rise again', 'Election Primary 2026 Midterm', 'Rates rise again - Reuters'), (1, 'Rates rise - again', 'Outliers', 'Rates rise - again'), (2, 'A', 'Rate Rates Cut', 'A — The Guardian'), (3, 'Plain', 'No Number', 'Plain'),
+  (4, 'Big deal', 'NATO Summit', 'Big deal | Daily Planet'), (5, 'Two - parts', '_', 'Two - parts - Bloomberg'), (6, '', '', ''))
+SELECT CAST(n AS INTEGER) AS n, headline, title, 'REF-' || lpad(CAST(coalesce(list_sum(list_transform(string_split(title, ''), lambda x: ascii(x))), 0) % 100000 AS VARCHAR), 5, '0') || '-' || upper(substr(title, 1, 3)) AS reference,
+  replace(replace(replace(replace(replace(given || '<''"&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped
+FROM t
+"""
+
+_SAID = r"(?i)^(.{3,60}?)\s+(?:said|claimed|stated|wrote|posted|announced|told)\s+(?:that\s+)?(.+)$"
+SQL_SEARCH = rf"""
+WITH c AS (SELECT item_id, [{_quoted(LEADS)}][item_id % {len(LEADS)} + 1] || text AS claim FROM benchmark),
+a AS (SELECT item_id, claim, regexp_replace(trim(regexp_replace(claim, '\s+', ' ', 'g')), '^["“”]+|["“”]+$', '', 'g') AS q FROM c),
+b AS (SELECT item_id, claim, regexp_replace(regexp_replace(q, '^(in|as of|during|on|by|after|before|amid|following)[^,]{{0,60}},\s*', '', 'i'), '^according to [^,]{{1,60}},\s*', '', 'i') AS q FROM a),
+s AS (SELECT *, regexp_extract(q, '{_SAID}', 1) AS speaker, regexp_extract(q, '{_SAID}', 2) AS rest FROM b),
+d AS (SELECT item_id, claim, CASE WHEN len(string_split(rest, ' ')) >= 5 THEN array_to_string(string_split(speaker, ' ')[-4:], ' ') || ' ' || rest ELSE q END AS q FROM s),
+e AS (SELECT item_id, claim, regexp_replace(q, '^(a |an |the )?(video|photo|image|post|screenshot|meme|clip)[^,]{{0,40}}(showed|shows|depicts|circulating[^,]{{0,30}})\s*', '', 'i') AS q FROM d),
+f AS (SELECT item_id, claim, regexp_replace(regexp_replace(regexp_replace(q, '(authentically|genuinely|reportedly|allegedly)', ' ', 'gi'), '["“”''’]', '', 'g'), '[^\pL\pN\pM_\s%$.-]', ' ', 'g') AS q FROM e)
+SELECT item_id, regexp_replace(array_to_string(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')[:12], ' '), '[ .,-]+$', '') AS query FROM f
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -347,5 +382,5 @@ QUERIES = {
 SQL = {
     "looks_like_text": SQL_LOOKS, "english_guard": SQL_ENGLISH, "informative_sentences": SQL_INFORMATIVE, "clean_text": SQL_CLEAN, "stance_and_topic": SQL_STANCE, "sensational_score": SQL_SENSATIONAL,
     "title_dedup": SQL_TITLE_DEDUP, "seen_anti_join": SQL_SEEN, "class_term_counts": SQL_TERMS, "ctfidf_top_terms": SQL_CTFIDF, "tfidf_overlap": SQL_OVERLAP, "claim_source_similarity": SQL_CLAIMS,
-    "evidence_verdict": SQL_VERDICT, "registrable_domain": SQL_DOMAIN, "aggregator_flag": SQL_AGGREGATOR, "quality_report": SQL_QUALITY, "verdicts": SQL_VERDICTS,
+    "extractive_summaries": SQL_SUMMARIES, "titles": SQL_TITLES, "search_queries": SQL_SEARCH, "evidence_verdict": SQL_VERDICT, "registrable_domain": SQL_DOMAIN, "aggregator_flag": SQL_AGGREGATOR, "quality_report": SQL_QUALITY, "verdicts": SQL_VERDICTS,
 }
