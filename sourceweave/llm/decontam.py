@@ -8,17 +8,19 @@ suffix block selects a bucket, the prefix block the few patterns in it, and a di
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise, small_batches
+from sourceweave.llm.common import materialise, small_batches, text_hash
 
 WINDOW = 10
 BLOCK = 2
-#: Bytes of benchmark text in one broadcast; a larger benchmark is searched in as many passes as it takes.
-PASS_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast, whose tables take about a hundred times that in a worker; a larger
+#: benchmark is searched in as many passes as it takes.
+PASS_BYTES = 1 << 20
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RESULT = "n_words bigint, n_hit bigint, spans array<struct<start: bigint, stop: bigint>>, items array<string>"
@@ -151,11 +153,18 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_B
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of ``docs`` that no benchmark window occurs in, with all their columns; no shuffle."""
-    kept = docs
-    for items in _passes(benchmark, pass_bytes):
-        kept = kept.where(~_hit_udf(docs.sparkSession, items())(F.col("text").cast("string")))
-    return kept
+    """The rows of ``docs`` that no benchmark window occurs in, with all their columns.
+
+    With one pass the rows are not shuffled; with several, each pass writes the keys that it has hit, so that no two
+    passes' tables are in memory together, and the rows are shuffled once.
+    """
+    spark, passes = docs.sparkSession, _passes(benchmark, pass_bytes)
+    if len(passes) == 1:
+        return docs.where(~_hit_udf(spark, passes[0]())(F.col("text").cast("string")))
+    wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    keyed = wrapped.select(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("\0")).alias("_id"), text_hash("_row.text").alias("_hash"), "_row")
+    hit = [materialise(keyed.where(_hit_udf(spark, items())(F.col("_row.text").cast("string"))).select("_id", "_hash").distinct(), "hits") for items in passes]
+    return keyed.join(reduce(DataFrame.union, hit).distinct(), ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def _hit_udf(spark: SparkSession, items: list[tuple[str | None, str | None]]):
