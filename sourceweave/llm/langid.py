@@ -133,9 +133,10 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     known = docs.where("lang is not null and text is not null").where(id_crc() % FOLDS != 0)
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     chosen = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.octet_length("text"), F.lit(8)).alias("draw"))
-    share = F.create_map(*[x for r in sizes.collect() for x in (F.lit(r.lang), F.lit(min(1.0, fit_rows / r.size)))]) if sizes.take(1) else None
-    if share is None:
+    shares = {r.lang: min(1.0, fit_rows / r.size) for r in sizes.collect()}  # a row a language
+    if not shares:
         return Profiles({})
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     chosen = chosen.where(F.pmod("draw", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
     counted = chosen.mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
