@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceweave.plans import batch, clusters, evaluation, events, texts
+from sourceweave.plans import batch, clusters, evaluation, events, study, texts
 
-MODULES = (clusters, texts, evaluation, events, batch)
+MODULES = (clusters, texts, evaluation, events, batch, study)
 
 
 def queries() -> dict:
