@@ -146,7 +146,7 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", fit_rows
     known = known.where(id_crc() % FOLDS != 1)
     share = min(1.0, fit_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = measured.where("not held_out").dropDuplicates(["doc_id", *FEATURES]).join(known, "doc_id").select("doc_id", "label", *FEATURES).toPandas()
+    rows = measured.where("not held_out").join(known, "doc_id").select("doc_id", "label", *FEATURES).distinct().toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES])
     return BoostedTrees().fit(rows[list(FEATURES)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 
