@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 CELLS = 64
 #: Bytes of an Arrow batch that a Python worker gets; a single longer row makes a batch by itself.
 BATCH_BYTES = 4 << 20
+#: Characters of a text whose words are held at once.
+SLICE = 2 << 20
+_BLANK, _BLANK_BYTE = re.compile("[ \t-\r]"), re.compile(rb"[ \t-\r]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +66,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def slices(text, size: int = SLICE):
+    """A text (str or bytes) in stretches of about ``size`` that end before white space, so that no word is cut.
+
+    What is made of a text's words is then bounded by the stretch, however long the text is.
+    """
+    blank = _BLANK if isinstance(text, str) else _BLANK_BYTE
+    at = 0
+    while at < len(text):
+        found = blank.search(text, at + size) if len(text) > at + size else None
+        stop = found.start() if found else len(text)
+        yield text if stop - at == len(text) else text[at:stop]
+        at = stop
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise, small_batches, text_hash
+from sourceweave.llm.common import materialise, slices, small_batches, text_hash
 
 WINDOW = 10
 BLOCK = 2
@@ -28,7 +28,11 @@ RESULT = "n_words bigint, n_hit bigint, spans array<struct<start: bigint, stop:
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words: digits, letters and all characters beyond ASCII."""
-    return (text or "").encode("utf-8", "replace").translate(_WORD_BYTES).split()
+    return _lowered(text).split()
+
+
+def _lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").translate(_WORD_BYTES)
 
 
 class WuManber:
@@ -57,6 +61,23 @@ class WuManber:
             buckets.setdefault(pattern[size - block :], {}).setdefault(pattern[:block], {})[pattern] = items
         return size, block, size - block + 1, shift, buckets
 
+    def search_text(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, spans and items of a whole text, a stretch at a time with as many words before it as it takes."""
+        spans: list[tuple[int, int]] = []
+        items: set[str] = set()
+        longest = max((t[0] for t in self.tables), default=1)
+        last: list[bytes] = []
+        n = 0
+        for part in slices(_lowered(text)):
+            fresh = part.split()
+            found, hit = self.search(last + fresh)
+            start = n - len(last)
+            spans += [(a + start, b + start) for a, b in found]
+            items |= hit
+            n += len(fresh)
+            last = (last + fresh)[1 - longest :] if longest > 1 else []
+        return n, _union(spans), items
+
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans [start, stop) of words inside occurrences, and the items whose windows occur."""
         found: list[tuple[int, int]] = []
@@ -106,13 +127,12 @@ def _scanner(spark: SparkSession, items: list[tuple[str | None, str | None]]):
     sent = spark.sparkContext.broadcast(WuManber(items))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = sent.value.search
+        search = sent.value.search_text
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "items": []}
             for text in batch.column("text"):
-                words = words_of(text.as_py())
-                spans, hit = search(words)
-                out["n_words"].append(len(words))
+                n, spans, hit = search(text.as_py())
+                out["n_words"].append(n)
                 out["n_hit"].append(sum(stop - start for start, stop in spans))
                 out["spans"].append([{"start": a, "stop": b} for a, b in spans])
                 out["items"].append(sorted(hit))
@@ -172,7 +192,7 @@ def _hit_udf(spark: SparkSession, items: list[tuple[str | None, str | None]]):
 
     @F.arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:
-        return pa.array([bool(sent.value.search(words_of(t.as_py()))[0]) for t in texts], pa.bool_())
+        return pa.array([bool(sent.value.search_text(t.as_py())[1]) for t in texts], pa.bool_())
 
     return hit
 

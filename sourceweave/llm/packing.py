@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import materialise, shuffle_partitions, small_batches
+from sourceweave.llm.common import SLICE, materialise, shuffle_partitions, small_batches
 from sourceweave.llm.tokens import byte_symbols
 
 CAPACITY = 2048
@@ -31,7 +31,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Chunks whose ids a worker keeps.
 CACHE_ENTRIES = 300_000
 
-_UNSAFE = re.compile(r"\s \s|  ")
+_UNSAFE, _CUT = re.compile(r"\s \s|  "), re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
@@ -62,16 +62,18 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
-            if _UNSAFE.search(text) or any(s in text for s in self.special):
-                yield self._whole(text)
-                continue
-            chunks = self._chunks(text)
-            if missing := set(chunks).difference(self.cache):
-                if len(self.cache) > CACHE_ENTRIES:
-                    self.cache.clear()
-                    missing = set(chunks)
-                self._learn(missing)
-            yield b"".join(map(self.cache.__getitem__, chunks))
+            yield self._stretch(text) if len(text) <= SLICE else b"".join(map(self._stretch, _stretches(text)))
+
+    def _stretch(self, text: str) -> bytes:
+        if _UNSAFE.search(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        chunks = self._chunks(text)
+        if missing := set(chunks).difference(self.cache):
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache.clear()
+                missing = set(chunks)
+            self._learn(missing)
+        return b"".join(map(self.cache.__getitem__, chunks))
 
     def _learn(self, chunks: set[str]) -> None:
         merge, find, cache = self.merge, self.pattern.findall, self.cache
@@ -88,6 +90,16 @@ class Encoder:
         return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
 
+def _stretches(text: str) -> Iterator[str]:
+    """A long text cut before blanks between other characters, where a token begins in any case."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + SLICE) if len(text) > at + SLICE else None
+        stop = found.start() if found else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

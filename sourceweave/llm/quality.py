@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import id_crc, materialise, small_batches
+from sourceweave.llm.common import id_crc, materialise, slices, small_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "distinct_words", "top_word", "repeated_next", "upper", "lower", "digit", "space", "beyond_ascii",
@@ -38,16 +38,27 @@ def statistics(text: str | None) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    words, lines = raw.split(), raw.split(b"\n")
-    often, n_words = Counter(words), max(1, len(words))
+    lines = raw.split(b"\n")
+    often, n_all, letters, same, titled, plain, longest, before = Counter(), 0, 0, 0, 0, 0, 0, []
+    for part in slices(raw):
+        words = part.split()
+        often.update(words)
+        n_all += len(words)
+        letters += sum(map(len, words))
+        same += sum(map(operator.eq, before + words, words if before else words[1:]))
+        titled += sum(map(bytes.istitle, words))
+        plain += sum(map(bytes.isalnum, words))
+        longest = max(longest, max(map(len, words), default=0))
+        before = words[-1:] or before
+    n_words = max(1, n_all)
     shares = counts[counts > 0] / n
     return [
-        float(np.log1p(n)), float(np.log1p(len(words))), sum(map(len, words)) / n_words, len(often) / n_words, max(often.values(), default=0) / n_words,
-        sum(map(operator.eq, words, words[1:])) / n_words, float(counts[65:91].sum()) / n, float(counts[97:123].sum()) / n, float(counts[48:58].sum()) / n,
+        float(np.log1p(n)), float(np.log1p(n_all)), letters / n_words, len(often) / n_words, max(often.values(), default=0) / n_words,
+        same / n_words, float(counts[65:91].sum()) / n, float(counts[97:123].sum()) / n, float(counts[48:58].sum()) / n,
         float(counts[[32, 9, 10, 13]].sum()) / n, float(counts[128:].sum()) / n, _share(counts, b"!?", n), _share(counts, b".,;:", n), _share(counts, b"#$%&*+=~^@", n),
         _share(counts, b"|\\/_<>", n), _share(counts, b"()[]{}", n), _share(counts, b"\"'`", n), float(-(shares * np.log2(shares)).sum()), float(np.log1p(len(lines))),
-        n / len(lines), len(set(lines)) / len(lines), sum(map(bytes.istitle, words)) / n_words, float(np.log1p(max(map(len, words), default=0))),
-        1 - sum(map(bytes.isalnum, words)) / n_words,
+        n / len(lines), len(set(lines)) / len(lines), titled / n_words, float(np.log1p(longest)),
+        1 - plain / n_words,
     ]
 
 

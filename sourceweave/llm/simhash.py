@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import components, keep_rows, lookup, materialise, small_batches, text_hash
+from sourceweave.llm.common import components, keep_rows, lookup, materialise, slices, small_batches, text_hash
 
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -86,25 +86,31 @@ def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(text: str | None) -> int:
     """64-bit SimHash of the word shingles of a text; 0 if it has no word."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
+    ones, n, last = np.zeros(64, dtype=np.int64), 0, []
+    for part in slices((text or "").encode("utf-8", "replace").lower()):
+        words = last + part.split()
+        values = _shingle_hashes(words)
+        for at in range(0, len(values), 1 << 16):  # eight bytes a shingle become 64
+            block = values[at : at + (1 << 16)]
+            ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n, last = n + len(values), words[1 - SHINGLE :]
+    if not n:  # fewer words than a shingle has
+        if not last:
+            return 0
+        return xxhash.xxh64_intdigest(b" ".join(last), SEED)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the runs of SHINGLE words, one for each word that begins one."""
+    if len(words) < SHINGLE:
+        return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        width = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(width + 1) - 1
-        starts = ends - width
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
-    # many blocks of bounded size: eight bytes a shingle become 64
-    ones = np.zeros(64, dtype=np.int64)
-    values = np.array(hashes, dtype=np.uint64)
-    for at in range(0, len(values), 1 << 16):
-        block = values[at : at + (1 << 16)]
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
+    width = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(width + 1) - 1
+    starts = (ends - width)[: len(words) - SHINGLE + 1]
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[SHINGLE - 1 :].tolist())], dtype=np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,14 +11,14 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import small_batches
+from sourceweave.llm.common import slices, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -120,16 +120,26 @@ class TokenCounter:
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ONLY_SPLIT.search(text) else text.split()
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; texts are worked on in groups of bounded size."""
-        out, group, size = [], [], 0
-        for text in [*texts, None]:
-            if text is not None:
-                group.append(text)
-                size += len(text)
-            if text is None or size >= GROUP_CHARS:
-                out += self._group(group)
-                group, size = [], 0
+    def count(self, texts: Iterable[str]) -> list[int]:
+        """Tokens of each text; texts, long ones in stretches, are worked on in groups of bounded size."""
+        out, group, owner, size = [], [], [], 0
+
+        def settle() -> None:
+            for at, n in zip(owner, self._group(group)):
+                out[at] += n
+            group.clear()
+            owner.clear()
+
+        for text in texts:
+            out.append(0)
+            for part in slices(text):
+                group.append(part)
+                owner.append(len(out) - 1)
+                size += len(part)
+                if size >= GROUP_CHARS:
+                    settle()
+                    size = 0
+        settle()
         return out
 
     def _group(self, texts: list[str]) -> list[int]:
@@ -165,7 +175,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(tokenizer)
         for batch in batches:
-            n = counter.count([t.as_py() or "" for t in batch.column("text")])
+            n = counter.count(t.as_py() or "" for t in batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     small_batches(docs.sparkSession)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sourceweave.llm import decontam
+from sourceweave.llm import common, decontam
 from tests.llm.conftest import documents, words
 
 
@@ -65,6 +65,14 @@ def test_clean_documents(spark, items, edge_rows):
         assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == documents(spark, []).columns
 
 
+def test_stretches_of_long_texts(monkeypatch, items, edge_rows):
+    tables = decontam.WuManber(items)
+    whole = [tables.search_text(t) for t in texts(items, edge_rows)]
+    for size in (1, 9, 60):
+        monkeypatch.setattr(decontam, "slices", lambda raw, size=size: common.slices(raw, size))
+        assert [tables.search_text(t) for t in texts(items, edge_rows)] == whole
+
+
 def test_empty_tables(spark):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
     assert [(r.n_words, r.n_hit, r["items"]) for r in decontam.find_overlap(documents(spark, [(1, "a b")]), benchmark).collect()] == [(2, 0, [])]

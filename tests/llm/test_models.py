@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sourceweave.llm import chat, langid, quality
+from sourceweave.llm import chat, common, langid, quality
 from tests.llm.conftest import documents
 
 
@@ -84,6 +84,14 @@ def test_statistics_of_edges():
         assert len(values) == len(quality.FEATURES) and np.isfinite(values).all()
 
 
+def test_statistics_of_stretches(monkeypatch):
+    text = "The the cat Sat sat sat\non on ON the mat!! x1 " * 9
+    whole = quality.statistics(text)
+    for size in (1, 5, 30):
+        monkeypatch.setattr(quality, "slices", lambda raw, size=size: common.slices(raw, size))
+        assert quality.statistics(text) == pytest.approx(whole)
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sourceweave.llm import simhash
+from sourceweave.llm import common, simhash
 from tests.llm.conftest import documents, words
 
 
@@ -64,6 +64,14 @@ def test_fingerprints():
     assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
 
 
+def test_stretches_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [words(rng, n) + rng.choice(["", " \n"]) for n in (0, 1, 2, 3, 4, 5, 50, 300)]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(simhash, "slices", lambda raw, size=size: common.slices(raw, size))
+        assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def test_edges(spark, edge_rows):
     check(spark, edge_rows)
     check(spark, [(1, "a b c")])

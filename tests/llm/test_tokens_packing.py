@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sourceweave.llm import packing, tokens
+from sourceweave.llm import common, packing, tokens
 from tests.llm.conftest import documents
 
 POOL = [*" \n\t\x0b\x1c\x1f\x85\xa0 　aAbB'stremdlvEÉéÀàßΣσςİıé́̂ñçü中文日本кир١٢3 4!?.,;:<|>#~_-", "  ", "\r\n", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "the", "ing", " the", "Å", "\U0001f642"]
@@ -37,6 +37,15 @@ def test_ids_are_the_library_s(monkeypatch, entries):
     assert list(packing.Encoder(path).encode(given)) == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(given, add_special_tokens=False)]
 
 
+def test_stretches_of_long_texts(monkeypatch):
+    """Texts cut into short stretches have the library's tokens still."""
+    monkeypatch.setattr(packing, "SLICE", 10)
+    monkeypatch.setattr(tokens, "slices", lambda text: common.slices(text, 10))
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 100)
+    test_counts_are_the_library_s(monkeypatch, 300_000)
+    test_ids_are_the_library_s(monkeypatch, 300_000)
+
+
 def test_count_tokens(spark, edge_rows):
     library = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
     found = tokens.count_tokens(documents(spark, edge_rows)).collect()
