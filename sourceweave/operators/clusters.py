@@ -28,8 +28,8 @@ def dimension(df: DataFrame, vector: str) -> int:
 
 def vector_sums(df: DataFrame, keys: list[str], vector: Column, size: int, *others: Column) -> DataFrame:
     """``vsum``: the sum of vectors for each key, next to ``others``."""
-    parts = [F.sum(F.get(vectors.doubles(F.col("_v")), F.lit(i))).alias(f"_s{i}") for i in range(size)]
-    summed = df.withColumn("_v", vector).groupBy(*keys).agg(*others, *parts)
+    parts = [F.sum(F.get("_v", F.lit(i))).alias(f"_s{i}") for i in range(size)]
+    summed = df.withColumn("_v", vectors.doubles(vector)).groupBy(*keys).agg(*others, *parts)
     return summed.withColumn("vsum", F.array(*[F.col(f"_s{i}") for i in range(size)]) if size else F.array().cast("array<double>")).drop(*[f"_s{i}" for i in range(size)])
 
 

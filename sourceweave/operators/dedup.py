@@ -6,6 +6,9 @@ over connected components of the edges. Components are found in DataFrame rounds
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -24,18 +27,17 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    import atexit
-    import shutil
-    import tempfile
-
+    """A fresh path in the folder that driver and executors share; it goes when the application ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = tempfile.mkdtemp(prefix="sourceweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/sourceweave/{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/sourceweave/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -144,7 +144,14 @@ def evidence(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame:
     return own.join(upper, "bundle", "left").select("bundle", "similarities", "sources", "upper", (1 - F.col("bundle") % 2).cast("int").alias("label"), F.when(F.col("bundle") % 5 < 3, "calibration").otherwise("evaluation").alias("split"))
 
 
-_EVIDENCE = """
+_FORMULA = """least(99, greatest(5, CAST(trunc(
+    (sb::DOUBLE + CASE k WHEN 1 THEN t1 WHEN 3 THEN t3 WHEN 5 THEN t5 ELSE t0 END * sr::DOUBLE)
+    * CASE ladder WHEN 'flat' THEN 1.0::DOUBLE
+        WHEN 'mild' THEN CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.98 WHEN ns = 3 THEN 0.95 WHEN ns = 2 THEN 0.9 ELSE 0.85 END::DOUBLE
+        WHEN 'steep' THEN CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.9 WHEN ns = 3 THEN 0.75 WHEN ns = 2 THEN 0.55 ELSE 0.35 END::DOUBLE
+        ELSE CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.95 WHEN ns = 3 THEN 0.85 WHEN ns = 2 THEN 0.72 ELSE 0.6 END::DOUBLE END
+    * (cb::DOUBLE + coh * cr::DOUBLE)) AS INTEGER)))"""
+_EVIDENCE = f"""
 cent AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY label),
 rows AS (SELECT vec_id, vec_id // 8 AS bundle, CAST(embedding AS DOUBLE[]) AS v, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS s FROM embeddings JOIN cent USING (label)),
 up AS (SELECT a.bundle, avg(list_cosine_similarity(a.v, b.v)) AS coh FROM rows a JOIN rows b ON a.bundle = b.bundle AND a.vec_id < b.vec_id GROUP BY a.bundle),
@@ -160,13 +167,7 @@ variants(family, nth, variant, sb, sr, k, ladder, cb, cr, thr) AS (VALUES
   ('coherence mapping', 0, '0.50/0.50', 30, 70, 3, 'current', 0.5, 0.5, 75), ('coherence mapping', 1, '0.70/0.30', 30, 70, 3, 'current', 0.7, 0.3, 75), ('coherence mapping', 2, '0.90/0.10', 30, 70, 3, 'current', 0.9, 0.1, 75), ('coherence mapping', 3, '1.00/0.00', 30, 70, 3, 'current', 1.0, 0.0, 75),
   ('flag threshold', 0, '60', 30, 70, 3, 'current', 0.7, 0.3, 60), ('flag threshold', 1, '70', 30, 70, 3, 'current', 0.7, 0.3, 70), ('flag threshold', 2, '75', 30, 70, 3, 'current', 0.7, 0.3, 75), ('flag threshold', 3, '85', 30, 70, 3, 'current', 0.7, 0.3, 85)),
 scored AS (
-  SELECT family, nth, variant, thr, bundle, label, split, least(99, greatest(5, CAST(trunc(
-    (sb::DOUBLE + CASE k WHEN 1 THEN t1 WHEN 3 THEN t3 WHEN 5 THEN t5 ELSE t0 END * sr::DOUBLE)
-    * CASE ladder WHEN 'flat' THEN 1.0::DOUBLE
-        WHEN 'mild' THEN CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.98 WHEN ns = 3 THEN 0.95 WHEN ns = 2 THEN 0.9 ELSE 0.85 END::DOUBLE
-        WHEN 'steep' THEN CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.9 WHEN ns = 3 THEN 0.75 WHEN ns = 2 THEN 0.55 ELSE 0.35 END::DOUBLE
-        ELSE CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.95 WHEN ns = 3 THEN 0.85 WHEN ns = 2 THEN 0.72 ELSE 0.6 END::DOUBLE END
-    * (cb::DOUBLE + coh * cr::DOUBLE)) AS INTEGER))) AS final_score
+  SELECT family, nth, variant, thr, bundle, label, split, {_FORMULA} AS final_score
   FROM ev, variants),
 mid AS (SELECT *, rank() OVER (PARTITION BY family, nth ORDER BY final_score) + (count(*) OVER (PARTITION BY family, nth, final_score) - 1) / 2.0 AS mr FROM scored),
 rated AS (
@@ -208,6 +209,22 @@ def parameter_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.transfer(own, sweep.tuned(best))
 
 
+SQL_TRANSFER = f"""
+WITH {_EVIDENCE},
+cmid AS (SELECT *, rank() OVER (PARTITION BY family, nth ORDER BY final_score) + (count(*) OVER (PARTITION BY family, nth, final_score) - 1) / 2.0 AS mr FROM scored WHERE split = 'calibration'),
+crated AS (SELECT family, nth, (sum(mr) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)) AS auc, CASE WHEN stddev_pop(final_score) > 0 THEN corr(final_score, label) END AS r FROM cmid GROUP BY family, nth),
+chosen AS (SELECT family, nth, row_number() OVER (PARTITION BY family ORDER BY round(coalesce(auc, 0), 4) DESC, round(coalesce(r, 0), 4) DESC, nth) AS rank FROM crated),
+tuned AS (
+  SELECT max(sb) FILTER (family = 'semantic scale') AS sb, max(sr) FILTER (family = 'semantic scale') AS sr, max(k) FILTER (family = 'top-k sources') AS k, max(ladder) FILTER (family = 'source ladder') AS ladder,
+    max(cb) FILTER (family = 'coherence mapping') AS cb, max(cr) FILTER (family = 'coherence mapping') AS cr FROM chosen JOIN variants USING (family, nth) WHERE rank = 1),
+both_ AS (SELECT 'production' AS which, 30 AS sb, 70 AS sr, 3 AS k, 'current' AS ladder, 0.7 AS cb, 0.3 AS cr UNION ALL SELECT 'tuned', * FROM tuned),
+again AS (SELECT which, split, label, {_FORMULA} AS final_score FROM ev, both_),
+amid AS (SELECT *, rank() OVER (PARTITION BY which, split ORDER BY final_score) + (count(*) OVER (PARTITION BY which, split, final_score) - 1) / 2.0 AS mr FROM again),
+aucs AS (SELECT which, split, count(*) AS n, round((sum(mr) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 4) AS auc FROM amid GROUP BY which, split)
+SELECT split, max(n) AS n, max(auc) FILTER (which = 'production') AS production_auc, max(auc) FILTER (which = 'tuned') AS tuned_auc FROM aucs GROUP BY split
+"""
+
+
 def split_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of the default score on either split."""
     scored = sweep.score_variants(evidence(spark, sf_dir), sweep.params_table(spark), "bundle", "label", "split").where("variant = '30/70'")
@@ -226,5 +243,5 @@ QUERIES = {
 }
 SQL = {
     "corroboration_by_label": SQL_CORROBORATION, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,
-    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC,
+    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
 }
