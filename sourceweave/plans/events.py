@@ -162,6 +162,16 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_export(document).select("ord", "topic", "topicName", F.size("articles").alias("n"), "formulaBreakdown.finalScore", "formulaBreakdown.nDomains", F.array_join("keywords", ",").alias("keywords"))
 
 
+SQL_EXPORT = """
+WITH d AS (SELECT 1000 * ascii(lang) + ascii(substr(lang, 2, 1)) AS topic_id, lang, source, 1.0::DOUBLE / (doc_id + 2) AS s, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+t AS (SELECT topic_id, lang, count(*) AS n, count(DISTINCT source) AS ns, avg(s) FILTER (k <= 3) AS top FROM d GROUP BY topic_id, lang)
+SELECT CAST(row_number() OVER (ORDER BY topic_id) - 1 AS INTEGER) AS ord, 'Language ' || upper(substr(lang, 1, 1)) || substr(lang, 2) AS topic, topic_id || '_language_' || lang AS "topicName", CAST(n AS INTEGER) AS n,
+  CAST(least(99, greatest(5, trunc((30 + 70 * top) * CASE WHEN ns >= 5 THEN 1.0 WHEN ns = 4 THEN 0.95 WHEN ns = 3 THEN 0.85 WHEN ns = 2 THEN 0.72 ELSE 0.6 END::DOUBLE * 0.85::DOUBLE))) AS INTEGER) AS "finalScore",
+  CAST(ns AS INTEGER) AS "nDomains", 'language,' || lang AS keywords
+FROM t
+"""
+
+
 def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the vectors, folded in by a stream of three files."""
     rows = vector_rows(spark, sf_dir)
@@ -184,5 +194,5 @@ QUERIES = {
 }
 SQL = {
     "topics_over_time": SQL_OVER_TIME, "tumbling_counts": SQL_TUMBLING, "session_counts": SQL_SESSIONS, "sentiment_split": SQL_SENTIMENT, "drift_status": SQL_DRIFT, "topic_lookup": SQL_LOOKUP,
-    "page_links": SQL_LINKS, "claim_reviews": SQL_REVIEWS, "feed_candidates": SQL_FEEDS, "redirects": SQL_REDIRECTS,
+    "page_links": SQL_LINKS, "claim_reviews": SQL_REVIEWS, "feed_candidates": SQL_FEEDS, "redirects": SQL_REDIRECTS, "export_json": SQL_EXPORT,
 }
