@@ -217,8 +217,9 @@ tf AS (SELECT source, doc_id, own, term, count(*) AS tf FROM (SELECT source, doc
 n AS (SELECT source, count(*) AS n FROM tok GROUP BY source), df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY source, term),
 w AS (SELECT source, doc_id, own, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (source, term) JOIN n USING (source)),
 norms AS (SELECT source, doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY source, doc_id),
-sims AS (SELECT b.source, b.doc_id, sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)) AS sim FROM w a JOIN w b ON a.source = b.source AND a.term = b.term AND a.own AND NOT b.own
+near AS (SELECT b.source, b.doc_id, sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)) AS sim FROM w a JOIN w b ON a.source = b.source AND a.term = b.term AND a.own AND NOT b.own
   JOIN norms na ON na.source = a.source AND na.doc_id = a.doc_id JOIN norms nb ON nb.source = b.source AND nb.doc_id = b.doc_id GROUP BY b.source, b.doc_id),
+sims AS (SELECT t.source, t.doc_id, coalesce(sim, 0) AS sim FROM tok t LEFT JOIN near n ON n.source = t.source AND n.doc_id = t.doc_id WHERE NOT t.own),
 top AS (SELECT source, sim, row_number() OVER (PARTITION BY source ORDER BY sim DESC, doc_id) AS k FROM sims)
 SELECT source, round(coalesce(100 * avg(sim), 0), 5) AS score FROM first LEFT JOIN (SELECT * FROM top WHERE k <= 3) USING (source) GROUP BY source
 """
