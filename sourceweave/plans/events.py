@@ -183,8 +183,10 @@ def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as rows of a corpus; every tenth repeats the url of the row at half its number, so repeats grow with the table."""
+    own = F.when(F.col("vec_id") % 10 == 1, F.expr("vec_id div 2")).otherwise(F.col("vec_id"))
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").alias("ord"), F.concat(F.lit("u"), F.col("vec_id") % 900).alias("url"), F.concat(F.lit("t"), "vec_id").alias("title"), F.concat(F.lit("word"), F.col("label"), F.lit(" topic"), F.col("vec_id") % 13).alias("text"), "embedding"
+        F.col("vec_id").alias("ord"), F.concat(F.lit("u"), own).alias("url"), F.concat(F.lit("t"), "vec_id").alias("title"), F.concat(F.lit("word"), F.col("label"), F.lit(" topic"), F.col("vec_id") % 13).alias("text"), "embedding"
     )
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sourceweave.plans import events
 from sourceweave.streaming import model, update, windows
 
 
@@ -84,3 +85,17 @@ def test_windows(spark):
     events = spark.createDataFrame([(1, "2024-01-01 00:10:00", 1.0), (1, "2024-01-01 05:00:00", 2.0), (1, "2024-01-02 00:00:00", 3.0)], "u int, t string, value double").withColumn("ts", F.to_timestamp_ntz("t"))
     assert sorted((r.n, r.total) for r in windows.tumbling_counts(events, "ts", "u").collect()) == [(1, 3.0), (2, 3.0)]
     assert sorted(r.n for r in windows.session_counts(events, "ts", "u").collect()) == [1, 2]
+
+
+def test_query_folds_the_whole_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = [(i, i % 4, (np.eye(4)[i % 4] + 0.05 * rng.normal(size=4)).tolist()) for i in range(2400)]
+    spark.createDataFrame(vectors, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    urls, titles, kept = set(), set(), 0
+    for r in sorted(events.vector_rows(spark, str(tmp_path)).collect(), key=lambda r: r.ord):
+        if r.url not in urls and r.title not in titles:
+            urls.add(r.url)
+            titles.add(r.title)
+            kept += 1
+    assert kept == 2160
+    assert events.stream_update(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == kept
