@@ -68,6 +68,27 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(i, j, similarity) of the pairs i < j of one pair of blocks (columns id, v, b, p, q) whose cosine exceeds ``threshold``."""
+    p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+
+    def part(b: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = pdf[pdf["b"] == b]
+        m = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 1))
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return rows["id"].to_numpy(), m / np.where(length > 0, length, 1)
+
+    (ids, a), (others, b) = part(p), part(q)
+    if not len(ids) or not len(others):
+        return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+    found = a @ b.T
+    row, column = np.nonzero(found > threshold)
+    i, j = ids[row], others[column]
+    keep = i < j if p == q else i != j
+    low, high = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+    return pd.DataFrame({"i": low, "j": high, "similarity": found[row, column][keep]})
+
+
 def cosine_edges(df: DataFrame, order: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(i, j, similarity) for the pairs i < j (by ``order``) whose cosine exceeds ``threshold``.
 
@@ -79,26 +100,23 @@ def cosine_edges(df: DataFrame, order: str, vector: str, threshold: float, block
     side = df.select(F.col(order).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("b"))
     meets = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "b", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"))
 
+    return meets.groupBy("p", "q").applyInPandas(lambda pdf: _compare(pdf, threshold), "i bigint, j bigint, similarity double")
+
+
+def cosine_pairs(df: DataFrame, key: str, order: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(key, i, j, cosine) for all pairs i < j (by ``order``) within each ``key``, compared as in :func:`cosine_edges`."""
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    rows = df.select(key, F.col(order).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(sizes), key)
+    side = rows.withColumn("b", F.expr("pmod(xxhash64(id), _blocks)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    meets = side.select(key, "id", "v", "b", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"))
+    kind = df.schema[key].dataType.simpleString()
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-
-        def part(b: int) -> tuple[np.ndarray, np.ndarray]:
-            rows = pdf[pdf["b"] == b]
-            m = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 1))
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            return rows["id"].to_numpy(), m / np.where(length > 0, length, 1)
-
-        (ids, a), (others, b) = part(p), part(q)
-        if not len(ids) or not len(others):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        found = a @ b.T
-        row, column = np.nonzero(found > threshold)
-        i, j = ids[row], others[column]
-        keep = i < j if p == q else i != j
-        low, high = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-        return pd.DataFrame({"i": low, "j": high, "similarity": found[row, column][keep]})
-
-    return meets.groupBy("p", "q").applyInPandas(compare, "i bigint, j bigint, similarity double")
+        found = _compare(pdf, -np.inf).rename(columns={"similarity": "cosine"})
+        found.insert(0, key, pdf[key].iloc[0])
+        return found
+
+    return meets.groupBy(key, "p", "q").applyInPandas(compare, f"{key} {kind}, i bigint, j bigint, cosine double")
 
 
 def greedy_drops(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[int]:

@@ -16,7 +16,7 @@ from sourceweave.streaming.model import adaptive_k
 
 @dataclass(frozen=True)
 class Batch:
-    """What a batch leaves: the corpus with topics, their names and counts, counts over time, the topics' nodes and the export."""
+    """What a batch leaves: the corpus with topics, their names and counts, counts over time, the topics' nodes, the export and the agreement of all pairs of articles."""
 
     corpus: DataFrame
     names: DataFrame
@@ -24,15 +24,17 @@ class Batch:
     over_time: DataFrame
     nodes: DataFrame
     document: DataFrame
+    agreement: DataFrame
 
 
 def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: int | None = None, matrix_rows: int = 200, stop_hosts: int = 1000, generated_at: str = "") -> Batch:
     """A batch over ``corpus`` (tables.CORPUS with ``ord``, a unique bigint).
 
     Titles and near texts are deduplicated, the rest is clustered on the vectors of title and text. A topic's summary takes
-    the best sentences of its first four bodies; similarities are those of its vector. Agreement by article, which the
-    export shows as a matrix, is worked out for topics of at most ``matrix_rows`` articles; larger ones are scored by
-    their mean agreement alone, which needs no pairs. The ``stop_hosts`` most frequent hosts are no topic terms.
+    the best sentences of its first four bodies; similarities are those of its vector. Agreement by article
+    is the long table ``agreement`` (topic_id, i, j, cosine; i < j in ``ord``) for topics of any size, worked out when it is read. The
+    export's document shows it as a matrix in topics of at most ``matrix_rows`` articles; larger ones are scored by their
+    mean agreement, which needs no pairs. The ``stop_hosts`` most frequent hosts are no topic terms.
     """
     spark = corpus.sparkSession
     once = dedup.keep_first(corpus.where("text is not null"), ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
@@ -59,7 +61,7 @@ def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: in
     nodes = export.topic_nodes(articles, "topic_id", "ord", summaries, "mean_coherence")
     over_time = timebins.topics_over_time(assigned.withColumn("_when", timebins.parse_date(F.col("publish_date"))), "_when", "topic_id")
     document = tables.envelope(nodes, quality.quality_report(assigned), "batch", generated_at)
-    return Batch(assigned, named, clusters.topic_counts(assigned, "topic_id", n_topics), over_time, nodes, document)
+    return Batch(assigned, named, clusters.topic_counts(assigned, "topic_id", n_topics), over_time, nodes, document, dedup.cosine_pairs(assigned, "topic_id", "ord", "embedding"))
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sourceweave import hooks
+from sourceweave.operators import dedup
 from sourceweave.plans import batch
 from sourceweave.sources import tables
 
@@ -27,3 +30,14 @@ def test_batch(spark):
     large = tables.read_export(batch.run_batch(corpus(spark, 30), hooks.hash_words(64), threshold=0.999, matrix_rows=1).document).collect()
     assert all(5 <= t.formulaBreakdown.finalScore <= 99 and not a.coherenceScores for t in large for a in t.articles)
     assert all(t.formulaBreakdown.sourceCoherence != 0.5 for t in large if len(t.articles) > 1)
+
+
+def test_agreement_of_large_topics(spark):
+    found = batch.run_batch(corpus(spark, 30), hooks.hash_words(64), threshold=0.999, matrix_rows=1)
+    rows = found.corpus.select("topic_id", "ord", "embedding").collect()
+    unit = {r.ord: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows}
+    want = {(a.topic_id, a.ord, b.ord): float(unit[a.ord] @ unit[b.ord]) for a in rows for b in rows if a.topic_id == b.topic_id and a.ord < b.ord}
+    assert len(want) > len(rows)
+    for table in (found.agreement, dedup.cosine_pairs(found.corpus, "topic_id", "ord", "embedding", block=4)):
+        got = table.collect()
+        assert len(got) == len(want) and {(r.topic_id, r.i, r.j): r.cosine for r in got} == pytest.approx(want)
