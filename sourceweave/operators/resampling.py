@@ -1,7 +1,12 @@
 """Bootstrap intervals and permutation tests of the AUC.
 
-The draws are those of Python's generator for a seed. Each draw is a row, dealt over the cluster, and works on the sample
-itself, which is the one thing sent to all tasks: a sample of a study, its size checked against MOST_ROWS.
+Samples of studies, of at most MOST_DRAWN rows times draws, are drawn as Python's generator draws for a seed: each draw is a
+row, dealt over the cluster, and works on the sample itself, which is sent to all tasks.
+
+Larger samples are drawn by counts. Rows are combined to a row a score with its ones and zeros; these lie in blocks in order
+of score. A draw deals its rows over the blocks (multinomial for the bootstrap; for shuffled labels the ones, without
+replacement) and, in a task a block, over the block's scores. That is the law of drawing rows, from numpy's generator, and
+no task or driver holds more than a block's scores and a count for each draw and block.
 """
 
 from __future__ import annotations
@@ -11,20 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourceweave.operators.dedup import stored
 from sourceweave.operators.metrics import known
 
-#: Rows of a sample that resampling takes: draws times rows of work, rows of memory in each task.
-MOST_ROWS = 1_000_000
+#: Draws times rows up to which rows are drawn one by one by Python's generator, on the driver.
+MOST_DRAWN = 4_000_000
+#: Distinct scores in a block of a larger sample, about, and the tasks over which the draws of a block are dealt.
+LEVELS = 50_000
+PARTS = 16
 
 
-def _sample(df: DataFrame, order: str) -> tuple[np.ndarray, np.ndarray]:
+def _sample(df: DataFrame, order: str, samples: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Scores and labels in order; None for samples that are to be drawn by counts."""
     rows = known(df).select("score", F.col("label").cast("int").alias("label"), order)
-    n = rows.count()
-    if n > MOST_ROWS:
-        raise ValueError(f"{n} rows: resampling takes {MOST_ROWS} at most")
+    if rows.count() * samples > MOST_DRAWN:
+        return None
     table = rows.orderBy(order).toPandas()
     return table["score"].to_numpy(float), table["label"].to_numpy(int)
 
@@ -53,14 +62,99 @@ def permutation_draws(labels: list[int], samples: int, seed: int) -> list[list[i
     return out
 
 
+def _choose(counts: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``k`` rows picked without replacement fall on each count.
+
+    Each row is picked by itself first; rows at random then go or are added until there are ``k``, which leaves all sets of
+    ``k`` rows equally likely. numpy's own law takes fewer than 10^9 rows.
+    """
+    total = int(counts.sum())
+    found = rng.binomial(counts, k / total) if total else np.zeros_like(counts)
+    over = int(found.sum()) - k
+    if over:
+        pool = found if over > 0 else counts - found
+        at = np.searchsorted(np.cumsum(pool), rng.choice(int(pool.sum()), abs(over), replace=False, shuffle=False), side="right")
+        found = found - np.sign(over) * np.bincount(at, minlength=len(counts))
+    return found
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """(block, score, ones, zeros): a row a score, blocks of about LEVELS scores in order of score."""
+    spark = df.sparkSession
+    label = F.col("label").cast("bigint")
+    levels = stored(known(df).groupBy("score").agg(F.sum(label).alias("ones"), F.sum(1 - label).alias("zeros")), "levels")
+    if levels.count() <= LEVELS:
+        return levels.withColumn("block", F.lit(0))
+    some = levels.where(F.pmod(F.xxhash64("score"), F.lit(max(1, LEVELS // 64))) == 0).select("score").toPandas()["score"]  # 64 a block
+    sent = spark.sparkContext.broadcast(np.sort(some.to_numpy(float))[63::64])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(block=np.searchsorted(sent.value, batch["score"].to_numpy(), side="left").astype(np.int32))
+
+    return stored(levels.mapInPandas(place, "score double, ones bigint, zeros bigint, block int"), "blocks")
+
+
+def _drawn_aucs(df: DataFrame, samples: int, seed: int, shuffled: bool) -> DataFrame | None:
+    """(draw, auc) of draws by counts, and of the sample itself as draw -1; None with one class."""
+    spark = df.sparkSession
+    levels = _blocks(df)
+    totals = levels.groupBy("block").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toPandas().sort_values("block")
+    ones, rows = int(totals["ones"].sum()), (totals["ones"] + totals["zeros"]).to_numpy(np.int64)
+    if not 0 < ones < rows.sum():
+        return None
+    rngs = [np.random.default_rng([seed, draw]) for draw in range(samples)]
+    dealt = np.stack([_choose(rows, ones, rng) if shuffled else rng.multinomial(int(rows.sum()), rows / rows.sum()) for rng in rngs])
+    sent = spark.sparkContext.broadcast((totals["block"].tolist(), dealt))
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks, shares = sent.value
+        block, part = int(pdf["block"].iloc[0]), int(pdf["part"].iloc[0])
+        at = blocks.index(block)
+        pdf = pdf.sort_values("score")
+        own = pdf[["ones", "zeros"]].to_numpy(np.int64).T
+        n, cells, out = own.sum(axis=0), own.ravel() / own.sum(), []
+        for draw in [-1, *range(samples)]:
+            if draw % PARTS != part:
+                continue
+            rng = np.random.default_rng([seed, draw + 1, block + 1])
+            if draw < 0:
+                y, z = own
+            elif shuffled:
+                y = _choose(n, int(shares[draw, at]), rng)
+                z = n - y
+            else:
+                y, z = rng.multinomial(int(shares[draw, at]), cells).reshape(2, -1)
+            below = np.cumsum(z) - z
+            out.append((draw, block, int(y.sum()), int(z.sum()), float((y * (below + z / 2)).sum())))
+        return pd.DataFrame(out, columns=["draw", "block", "ones", "zeros", "won"])
+
+    copies = levels.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rated = copies.groupBy("block", "part").applyInPandas(rate, "draw int, block int, ones bigint, zeros bigint, won double")
+    before = F.coalesce(F.sum("zeros").over(Window.partitionBy("draw").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = rated.withColumn("won", F.col("won") + F.col("ones").cast("double") * before).groupBy("draw").agg(F.sum("won").alias("won"), F.sum("ones").cast("double").alias("ones"), F.sum("zeros").cast("double").alias("zeros"))
+    return summed.where("ones > 0 and zeros > 0").select("draw", (F.col("won") / (F.col("ones") * F.col("zeros"))).alias("auc"))
+
+
+def _bounds(rated: DataFrame) -> DataFrame:
+    """(auc_lo, auc_hi) of a table of aucs, as many as draws."""
+    ordered = rated.agg(F.sort_array(F.collect_list("auc")).alias("a"), F.count("auc").alias("n"))
+    at = lambda q: F.round(F.get("a", F.floor(F.lit(q) * F.col("n")).cast("int")), 4)
+    return ordered.select(at(0.025).alias("auc_lo"), at(0.975).alias("auc_hi"))
+
+
 def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
     """(auc_lo, auc_hi): the 2.5 % and 97.5 % draws of the AUC; null below four rows or with one class.
 
     Draws that hold one class are left out.
     """
     spark = df.sparkSession
-    scores, labels = _sample(df, order)
     schema = "auc_lo double, auc_hi double"
+    sample = _sample(df, order, samples)
+    if sample is None:
+        rated = _drawn_aucs(df, samples, seed, shuffled=False)
+        return spark.createDataFrame([(None, None)], schema) if rated is None else _bounds(rated.where("draw >= 0"))
+    scores, labels = sample
     if len(scores) < 4 or len(set(labels.tolist())) < 2:
         return spark.createDataFrame([(None, None)], schema)
     sent = spark.sparkContext.broadcast((scores, labels))
@@ -72,16 +166,20 @@ def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int
             picks = [np.asarray(p) for p in batch["picked"]]
             yield pd.DataFrame({"auc": [auc(s[p], y[p]) if 0 < y[p].sum() < len(p) else None for p in picks]}, dtype="float64")
 
-    aucs = F.sort_array(F.collect_list("auc"))  # as many as draws
-    rated = table.mapInPandas(rate, "auc double").where("auc is not null").agg(aucs.alias("a"), F.count("auc").alias("n"))
-    at = lambda q: F.round(F.get("a", F.floor(F.lit(q) * F.col("n")).cast("int")), 4)
-    return rated.select(at(0.025).alias("auc_lo"), at(0.975).alias("auc_hi"))
+    return _bounds(table.mapInPandas(rate, "auc double").where("auc is not null"))
 
 
 def permutation_test(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
     """(auc_p): the share of shuffled labels whose AUC is as far from one half; null as for the interval."""
     spark = df.sparkSession
-    scores, labels = _sample(df, order)
+    sample = _sample(df, order, samples)
+    if sample is None:
+        rated = _drawn_aucs(df, samples, seed, shuffled=True)
+        if rated is None:
+            return spark.createDataFrame([(None,)], "auc_p double")
+        both = rated.agg(F.collect_list(F.when(F.col("draw") >= 0, F.abs(F.col("auc") - 0.5))).alias("far"), F.max(F.when(F.col("draw") < 0, F.abs(F.col("auc") - 0.5))).alias("seen"))
+        return both.select(F.explode("far").alias("far"), "seen").agg(F.round(F.avg((F.col("far") >= F.col("seen")).cast("double")), 4).alias("auc_p"))
+    scores, labels = sample
     if len(scores) < 4 or len(set(labels.tolist())) < 2:
         return spark.createDataFrame([(None,)], "auc_p double")
     observed = abs(auc(scores, labels) - 0.5)

@@ -81,6 +81,37 @@ def test_resampling_follows_the_generator(spark):
     assert resampling.bootstrap_interval(truth(spark, [1, 2, 3], [1, 0, 1]), "i").first().auc_lo is None
 
 
+def test_resampling_by_counts_has_the_same_law(spark, monkeypatch):
+    rng = random.Random(8)
+    labels = [int(rng.random() < 0.4) for _ in range(300)]
+    rows = truth(spark, [round(rng.gauss(0.12 * y, 1), 1 + i % 2) for i, y in enumerate(labels)], labels)
+    low, p = resampling.bootstrap_interval(rows, "i", 1000).first(), resampling.permutation_test(rows, "i", 1000).first().auc_p
+    monkeypatch.setattr(resampling, "MOST_DRAWN", 0)
+    for levels in (resampling.LEVELS, 64):  # one block and several
+        monkeypatch.setattr(resampling, "LEVELS", levels)
+        counted = resampling.bootstrap_interval(rows, "i", 1000).first()
+        assert (counted.auc_lo, counted.auc_hi) == pytest.approx((low.auc_lo, low.auc_hi), abs=0.015)
+        assert resampling.permutation_test(rows, "i", 1000).first().auc_p == pytest.approx(p, abs=0.06)
+        assert resampling.bootstrap_interval(rows, "i", 1000).first() == counted
+    assert resampling._blocks(rows).select("block").distinct().count() > 1
+    assert resampling.permutation_test(rows.withColumn("label", F.lit(1)), "i", 10).first().auc_p is None
+
+
+def test_choice_without_replacement():
+    counts = np.array([5, 0, 40, 3, 52])
+    picked = np.stack([resampling._choose(counts, 30, np.random.default_rng(i)) for i in range(3000)])
+    assert (picked.sum(axis=1) == 30).all() and (picked >= 0).all() and (picked <= counts).all()
+    assert picked.mean(axis=0) == pytest.approx(0.3 * counts, abs=0.2)
+    assert picked.var(axis=0) == pytest.approx(30 * counts / 100 * (1 - counts / 100) * 70 / 99, rel=0.12)
+
+
+def test_resampling_of_more_than_a_million_rows(spark):
+    rows = spark.range(1_200_000).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(400_000)).cast("double").alias("score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).cast("int").alias("label"))
+    low = resampling.bootstrap_interval(rows, "i", 40).first()
+    assert 0.496 < low.auc_lo < low.auc_hi < 0.504 and low.auc_hi - low.auc_lo < 0.004
+    assert 0 <= resampling.permutation_test(rows, "i", 40).first().auc_p <= 1
+
+
 def bundles(spark):
     article = lambda t, d, body=True, stance="neutral", x="": {"title": t, "domain": d, "text": x, "body_available": body, "url_resolved": True, "stance": stance}
     rows = [
