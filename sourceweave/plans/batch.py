@@ -34,7 +34,8 @@ def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: in
     the best sentences of its first four bodies; similarities are those of its vector. Agreement by article
     is the long table ``agreement`` (topic_id, i, j, cosine; i < j in ``ord``) for topics of any size, worked out when it is read. The
     export's document shows it as a matrix in topics of at most ``matrix_rows`` articles; larger ones are scored by their
-    mean agreement, which needs no pairs. The ``stop_hosts`` most frequent hosts are no topic terms.
+    mean agreement, which needs no pairs. Hosts are no topic terms: the
+    ``stop_hosts`` most frequent ones as literals, the others by a join.
     """
     spark = corpus.sparkSession
     once = dedup.keep_first(corpus.where("text is not null"), ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
@@ -43,9 +44,11 @@ def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: in
     clustered, _ = clusters.kmeans(kept, "embedding", k or adaptive_k(kept.count()))
     located = dedup.stored(clustered.withColumnRenamed("topic", "topic_id"), "topics")
     hosts = located.select(F.regexp_extract("url", "://(?:www[.])?([^/.]+)", 1).alias("d")).where("d <> ''").groupBy("d").count()
-    stop = topics.stop_words(tuple(r.d for r in hosts.orderBy(F.col("count").desc(), "d").limit(stop_hosts).collect()))
+    frequent = [r.d for r in hosts.orderBy(F.col("count").desc(), "d").limit(stop_hosts + 1).collect()]
+    stop = topics.stop_words(tuple(frequent[:stop_hosts]))
+    others = hosts.select(F.lower("d").alias("word")).where(F.length("word") > 2).distinct() if len(frequent) > stop_hosts else None
     n_topics = (located.agg(F.max("topic_id")).first()[0] or 0) + 1
-    terms = topics.term_counts(located, "topic_id", "clustering_text", stop)
+    terms = topics.term_counts(located, "topic_id", "clustering_text", stop, more=others)
     named = topics.labels(topics.top_terms(topics.class_tfidf(terms, "topic_id", n_topics), "topic_id"), "topic_id", stop=stop).withColumnRenamed("label", "topic_name")
     assigned = located.join(F.broadcast(named), "topic_id", "left").withColumn("topic_name", F.coalesce("topic_name", F.concat("topic_id", F.lit("_cluster "), "topic_id")))
     summaries = dedup.stored(topics.extractive_summaries(export.first_texts(assigned, "topic_id", "ord"), "topic_id", "text"), "summaries")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceweave import hooks
-from sourceweave.operators import dedup
+from sourceweave.operators import dedup, topics
 from sourceweave.plans import batch
 from sourceweave.sources import tables
 
@@ -41,3 +41,14 @@ def test_agreement_of_large_topics(spark):
     for table in (found.agreement, dedup.cosine_pairs(found.corpus, "topic_id", "ord", "embedding", block=4)):
         got = table.collect()
         assert len(got) == len(want) and {(r.topic_id, r.i, r.j): r.cosine for r in got} == pytest.approx(want)
+
+
+def test_rare_hosts_are_no_terms(spark):
+    name = F.concat(F.lit("site"), F.col("ord") % 7)
+    named = corpus(spark, 30).withColumn("title", F.concat(F.repeat(F.concat(name, F.lit(" ")), 20), "title"))
+    names = batch.run_batch(named, hooks.hash_words(64), threshold=0.999, stop_hosts=1).names.collect()
+    assert names and not any("site" in r.topic_name for r in names)
+    docs = spark.createDataFrame([(1, "alpha site5 beta gamma"), (1, "site5 site6"), (2, "beta site6 gamma")], "k int, t string")
+    hosts = spark.createDataFrame([("site5",), ("site6",)], "word string")
+    by_join, by_list = (topics.term_counts(docs, "k", "t", **how).orderBy("k", "term").collect() for how in ({"more": hosts}, {"stop": ("site5", "site6")}))
+    assert by_join == by_list and ("alpha beta" in {r.term for r in by_join})
