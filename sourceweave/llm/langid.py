@@ -170,11 +170,16 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 
 def identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns; no shuffle of the rows."""
+    """The rows of ``docs`` whose text has a language, with all their columns; no shuffle of the rows.
+
+    If no row can be learnt from, those with a letter stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, fit_rows))
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
+        if not sent.value.names:
+            return pa.array([len(ngrams(t.as_py())[0]) > 0 for t in texts], pa.bool_())
         return pa.array([sent.value.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_())
 
     return docs.where(known(F.col("text").cast("string")))
