@@ -84,12 +84,12 @@ def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the AUC over all labelled documents."""
-    return resampling.bootstrap_interval(scored(spark, sf_dir), "doc_id", samples=400)
+    return resampling.bootstrap_interval(scored(spark, sf_dir), "doc_id")
 
 
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often shuffled labels do as well."""
-    return resampling.permutation_test(scored(spark, sf_dir), "doc_id", samples=400)
+    return resampling.permutation_test(scored(spark, sf_dir), "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (midranks, roc_auc, pearson_spearman, classification_at_threshold, best_threshold, method_metrics, bootstrap_auc, permutation_p)}

@@ -105,7 +105,7 @@ def vector_bundles(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame
 
 def study_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all methods over bundles of vectors, best first."""
-    return run_study(vector_bundles(spark, sf_dir), samples=200).pooled
+    return run_study(vector_bundles(spark, sf_dir)).pooled
 
 
 def bundle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

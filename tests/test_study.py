@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 import random
 
-from sourceweave.plans import study
+from sourceweave.plans import evaluation, study
 from sourceweave.sources import tables
 
 
@@ -29,3 +29,16 @@ def test_study(spark):
     assert sum(r.n for r in found.balance.collect()) == 24
     told = json.loads(study.summary(found).first().json)
     assert len(told["transfer"]) == 2 and len(told["pooled"]) == len(pooled)
+
+
+def test_queries_take_2000_draws(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(evaluation, "scored", lambda *_: None)
+    monkeypatch.setattr(evaluation.resampling, "bootstrap_interval", lambda df, order, samples=2000, seed=7: asked.append(samples))
+    monkeypatch.setattr(evaluation.resampling, "permutation_test", lambda df, order, samples=2000, seed=7: asked.append(samples))
+    evaluation.bootstrap_auc(spark, "")
+    evaluation.permutation_p(spark, "")
+    monkeypatch.setattr(study, "vector_bundles", lambda *_: None)
+    monkeypatch.setattr(study, "run_study", lambda rows, samples=2000: asked.append(samples) or type("Study", (), {"pooled": None}))
+    study.study_metrics(spark, "")
+    assert asked == [2000, 2000, 2000]
