@@ -122,18 +122,14 @@ def topic_of(text: Column) -> Column:
 
 def search_query(claim: Column, max_words: int = 12) -> Column:
     """A news-search query from a claim: context clauses, attributions, artefacts and hedges dropped, words cut."""
-    text = F.regexp_replace(F.regexp_replace(_text(claim), r"<[^>]*>", " "), r"(?U)\s+", " ")
-    text = F.regexp_replace(trimmed(text), '^["“”]+|["“”]+$', "")
-    text = F.regexp_replace(text, r"(?i)^(in|as of|during|on|by|after|before|amid|following)[^,]{0,60},\s*", "")
-    text = F.regexp_replace(text, r"(?i)^according to [^,]{1,60},\s*", "")
-    attribution = r"(?i)^(.{3,60}?)\s+(?:said|claimed|stated|wrote|posted|announced|told)\s+(?:that\s+)?(.+)$"
-    speaker, substance = F.regexp_extract(text, attribution, 1), F.regexp_extract(text, attribution, 2)
+    replaced = lambda start, steps: reduce(lambda out, step: F.regexp_replace(out, *step), steps, start)
+    bare = trimmed(F.regexp_replace(F.regexp_replace(_text(claim), r"<[^>]*>", " "), r"(?U)\s+", " "))
+    bare = replaced(bare, [(p, "") for p in fixed.QUERY_LEADS])
+    speaker, substance = F.regexp_extract(bare, fixed.QUERY_ATTRIBUTION, 1), F.regexp_extract(bare, fixed.QUERY_ATTRIBUTION, 2)
     named = F.concat_ws(" ", F.slice(words(speaker), F.greatest(F.size(words(speaker)) - 3, F.lit(1)), F.lit(4)))
-    text = F.when(F.size(words(substance)) >= 5, F.concat(named, F.lit(" "), substance)).otherwise(text)
-    text = F.regexp_replace(text, r"(?i)^(a |an |the )?(video|photo|image|post|screenshot|meme|clip)[^,]{0,40}(showed|shows|depicts|circulating[^,]{0,30})\s*", "")
-    text = F.regexp_replace(text, r"(?i)(authentically|genuinely|reportedly|allegedly)", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "[\"“”'’]", ""), r"(?U)[^\w\s%$.-]", " ")
-    query = F.regexp_replace(F.array_join(F.slice(words(text), 1, max_words), " "), r"[ .,\-]+$", "")
+    said = F.when(F.size(words(substance)) >= 5, F.concat(named, F.lit(" "), substance)).otherwise(bare)
+    plain = replaced(said, fixed.QUERY_CUTS)
+    query = F.regexp_replace(F.array_join(F.slice(words(plain), 1, max_words), " "), r"[ .,\-]+$", "")
     return F.when(query != "", query).otherwise(F.array_join(F.slice(words(_text(claim)), 1, max_words), " "))
 
 

@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceweave.functions.vectors import let, unit
-
-#: Text to vector as an expression; text to text; anything to rows.
+#: Text to vector as an expression.
 Embedder = Callable[[Column], Column]
-Summariser = Callable[[DataFrame, str, str], DataFrame]
+
+
+# White space by Unicode, as a word border.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def hash_words(size: int = 512) -> Embedder:
-    """Bags of words: lower-case words without marks at their ends, counted by crc32 modulo ``size``, at length one."""
+    """Bags of words: lower-case words without marks at their ends, counted by crc32 modulo ``size``, at length one.
+
+    Texts come in Arrow batches and are counted slot by slot in one pass over their words; a null text has the zero vector.
+    """
 
-    def embed(text: Column) -> Column:
-        bare = lambda w: F.regexp_replace(w, r"""^[.,;:!?()"']+|[.,;:!?()"']+$""", "")
-        words = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), bare), lambda w: w != "")
-        slots = F.transform(words, lambda w: (F.crc32(w.cast("binary")) % size).cast("int"))
-        counted = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
-        return unit(let(slots, counted))
+    @F.arrow_udf("array<double>")
+    def count(texts: pa.Array) -> pa.Array:
+        found = np.zeros((len(texts), size))
+        for row, value in zip(found, texts.to_pylist()):
+            bare = (w.strip(""".,;:!?()"'""") for w in _BLANKS.split((value or "").lower()))
+            slots = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) % size for w in bare if w), dtype=np.int64)
+            row += np.bincount(slots, minlength=size)
+        length = np.linalg.norm(found, axis=1, keepdims=True)
+        found /= np.where(length > 0, length, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(found.ravel()))
 
-    return embed
+    return count
 
 
 def encode_once(docs: DataFrame, text: str, embed: Embedder, vector: str = "embedding") -> DataFrame:
-    """``docs`` with the vector of their text; each distinct text is encoded once."""
-    known = docs.select(text).distinct().withColumn(vector, embed(F.col(text)))
-    return docs.join(known, text, "left")
+    """``docs`` with the vector of their text; each distinct text is encoded once. Texts meet by their SHA-256, not by themselves."""
+    keyed = docs.withColumn("_sha", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    known = keyed.where("_sha is not null").groupBy("_sha").agg(F.any_value(text).alias("_text")).select("_sha", embed(F.col("_text")).alias(vector))
+    return keyed.join(known, "_sha", "left").drop("_sha")
 
 
 def decoded(url: Column, decoder: Callable[[str], dict | None]) -> Column:

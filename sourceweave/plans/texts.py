@@ -361,7 +361,7 @@ SELECT CAST(n AS INTEGER) AS n, headline, title, 'REF-' || lpad(CAST(coalesce(li
 FROM t
 """
 
-_SAID = r"(?i)^(.{3,60}?)\s+(?:said|claimed|stated|wrote|posted|announced|told)\s+(?:that\s+)?(.+)$"
+_SAID = fixed.QUERY_ATTRIBUTION
 SQL_SEARCH = rf"""
 WITH c AS (SELECT item_id, [{_quoted(LEADS)}][item_id % {len(LEADS)} + 1] || text AS claim FROM benchmark),
 a AS (SELECT item_id, claim, regexp_replace(trim(regexp_replace(claim, '\s+', ' ', 'g')), '^["“”]+|["“”]+$', '', 'g') AS q FROM c),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave.functions import text
@@ -18,6 +17,8 @@ from sourceweave.operators.quality import MIN_BODY
 # Elements that hold no article text.
 SKIPPED = ("script", "style", "nav", "footer", "header", "form", "iframe", "ads", "aside", "noscript")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Fixed value: the scripts that carry data about a page.
+LD_JSON = r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?\s*application/ld\+json\s*["']?[^>]*>(.*?)</script>"""
 BLOCKS = frozenset("address article blockquote br dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table td th tr ul title".split())
 
 
@@ -94,23 +95,6 @@ def titled_links(html: str | None, base: str) -> list[tuple[str, str]]:
     return [(" ".join(t.split()), urljoin(base, h)) for t, h in zip(page.anchors, page.hrefs)]
 
 
-def claim_review(html: str | None, url: str) -> dict[str, str] | None:
-    """The first ClaimReview of a page: claim, rating, date, url and author."""
-    for script in read(html).scripts:
-        try:
-            told = json.loads(script or "{}")
-        except ValueError:
-            continue
-        nodes = list(told) if isinstance(told, list) else [told, *(told.get("@graph") or [] if isinstance(told, dict) else [])]
-        for node in nodes:
-            if isinstance(node, dict) and node.get("@type") == "ClaimReview":
-                rating, author = node.get("reviewRating"), node.get("author")
-                named = lambda x, k: str((x.get(k) if isinstance(x, dict) else None) or "").strip()
-                claim = " ".join(page_text(str(node.get("claimReviewed") or "")).split())
-                return {"claim": claim, "rating": named(rating, "alternateName"), "date": str(node.get("datePublished") or "")[:10], "url": str(node.get("url") or url), "author": named(author, "name")}
-    return None
-
-
 def _mapped(pages: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +141,29 @@ def extract_titled_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def extract_reviews(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, claim, rating, date, url, author) of the pages that review a claim."""
-    fields = ("claim", "rating", "date", "url", "author")
-    kind = pa.struct([(f, pa.string()) for f in fields])
+    """(key, claim, rating, date, url, author) of the pages that review a claim: the first ClaimReview node of a page.
+
+    Scripts are read as variants: a list gives its elements, an object itself and those of its graph. What isn't JSON,
+    or has a field of another kind, gives nothing. Without a url of its own a review has that of its page.
+    """
+    listed = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    field = lambda path: F.coalesce(F.try_variant_get(F.col("node"), path, "string"), F.lit(""))
+    with_data = pages.where(F.col("html").contains("ClaimReview")).select(key, F.col("url").alias("_page"), F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1)).alias("_scripts"))
+    told = with_data.select(key, "_page", F.posexplode("_scripts").alias("_script", "_text")).withColumn("_told", F.try_parse_json("_text"))
+    whole = F.when(F.schema_of_variant("_told").startswith("ARRAY"), listed(F.col("_told"), "$")).otherwise(F.concat(F.array("_told"), listed(F.col("_told"), '$["@graph"]')))
+    nodes = told.where("_told is not null").select(key, "_page", "_script", F.posexplode(whole).alias("_nth", "node")).where(field('$["@type"]') == "ClaimReview")
+    review = F.struct(
+        strip_tags(field("$.claimReviewed")).alias("claim"), F.trim(field("$.reviewRating.alternateName")).alias("rating"), F.substring(field("$.datePublished"), 1, 10).alias("date"),
+        F.coalesce(F.nullif(field("$.url"), F.lit("")), "_page", F.lit("")).alias("url"), F.trim(field("$.author.name")).alias("author"),
+    )
+    return nodes.groupBy(key).agg(F.min_by(review, F.struct("_script", "_nth")).alias("r")).select(key, "r.*")
 
-    def reviews(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [claim_review(h.as_py(), u.as_py() or "") for h, u in zip(batch.column("html"), batch.column("url"))]
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, kind)], names=[key, "r"])
 
-    rows = _mapped(pages.where(F.col("html").contains("ClaimReview")), [key, "url", "html"], reviews, f"{key} bigint, r struct<{', '.join(f'{f}: string' for f in fields)}>")
-    return rows.where("r is not null").select(key, "r.*")
+def claim_review(html: str | None, url: str) -> dict[str, str] | None:
+    """:func:`extract_reviews` of one page: its review, or None."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    found = extract_reviews(spark.createDataFrame([(0, url, html)], "page_id bigint, url string, html string")).drop("page_id").first()
+    return found.asDict() if found else None
 
 
 def strip_tags(html: Column) -> Column:
