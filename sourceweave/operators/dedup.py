@@ -1,21 +1,18 @@
 """Keep-first, semantic and either-key deduplication.
 
-The greedy rules are sequential, but a drop only touches rows that share an edge with it, so their outcome decomposes
-over connected components of the edges. Components are found in DataFrame rounds; each is then settled by itself.
+The greedy rules are sequential, but a drop only touches rows that share an edge or a key with it. Rows with a key in common are
+settled in DataFrame rounds; pairs by similarity decompose over their connected components, each settled by itself.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourceweave.shared import components, lookup, stored
+
 #: Vectors in one block of the pair comparison.
 BLOCK = 1024
 
@@ -26,48 +23,6 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; it goes when the application ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="sourceweave-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/sourceweave/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) of the nodes of ``edges`` (i, j), root being the smallest node of the component.
-
-    Every round replaces each node's label by the least among its neighbours and then by its label's label, so the
-    number of rounds follows the logarithm of the longest path.
-    """
-    both = stored(edges.select("i", "j").union(edges.select(F.col("j"), F.col("i"))).distinct(), "edges")
-    label = stored(both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("i"), F.min("j")).alias("root")), "labels")
-    before = None
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node")).agg(F.min("root").alias("least"))
-        step = label.join(near, "node").select("node", F.least("root", "least").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        label = stored(step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root")), "labels")
-        now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return label
-        before = now
-    raise RuntimeError("components did not settle")
-
-
 def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(i, j, similarity) of the pairs i < j of one pair of blocks (columns id, v, b, p, q) whose cosine exceeds ``threshold``."""
     p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
@@ -131,9 +86,9 @@ def greedy_drops(pairs: list[tuple[int, int]], length: dict[int, int]) -> set[in
 def semantic_dedup(df: DataFrame, order: str, text: str, edges: DataFrame) -> DataFrame:
     """``df`` without the rows that the greedy rule drops over ``edges`` (i, j)."""
     edges = stored(edges.select("i", "j").distinct(), "pairs")
-    roots = components(edges)
+    roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
     lengths = df.select(F.col(order).cast("bigint").alias("id"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
-    sized = edges.join(roots.withColumnRenamed("node", "i"), "i")
+    sized = edges.join(roots.withColumnRenamed("node", "i"), "i", "left").withColumn("root", F.coalesce("root", "i"))
     sized = sized.join(lengths.select(F.col("id").alias("i"), F.col("n").alias("ni")), "i").join(lengths.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,32 +99,41 @@ def semantic_dedup(df: DataFrame, order: str, text: str, edges: DataFrame) -> Da
     return df.join(drops, df[order] == drops["dropped"], "left_anti")
 
 
-def unseen(batch: DataFrame, seen: DataFrame, keys: tuple[str, str], order: str) -> DataFrame:
+def unseen(batch: DataFrame, seen: DataFrame, keys: tuple[str, str], order: str, rounds: int = 1000) -> DataFrame:
     """Rows of ``batch`` with neither key in ``seen``, nor in a row of the batch that is kept before them.
 
-    The history is two anti joins. Inside the batch, rows that share a key make components, settled in order;
-    null and empty keys match nothing.
+    The history is an anti join a key. Inside the batch a row that is the first undecided one of each of its keys is kept, and
+    what shares a key with it goes; rounds of that end with the rows that going through them in ``order`` keeps. A key that
+    many rows share is a grouped minimum and a look-up by cells, so it meets in no single task. Null and empty keys
+    match nothing.
     """
     fresh = batch
     for key in keys:
         known = seen.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key).distinct()
         fresh = fresh.join(known, key, "left_anti")
-    named = fresh.select(F.col(order).cast("bigint").alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in keys])).alias("k"))
-    named = stored(named.where("k.value is not null and k.value <> ''").select("id", F.concat_ws(":", "k.kind", "k.value").alias("key")), "keys")
-    first = named.groupBy("key").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    roots = components(named.join(first, "key").where("id <> i").select("i", F.col("id").alias("j")))
-    grouped = named.join(roots.withColumnRenamed("node", "id"), "id")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        dropped = []
-        for row, own in pdf.sort_values("id").groupby("id", sort=True)["key"]:
-            values = set(own)
-            if values & taken:
-                dropped.append(row)
-            else:
-                taken |= values
-        return pd.DataFrame({"dropped": dropped}, dtype="int64")
-
-    drops = grouped.groupBy("root").applyInPandas(settle, "dropped bigint")
-    return fresh.join(drops, fresh[order] == drops["dropped"], "left_anti").select(*batch.columns)
+    value = lambda k: F.concat(F.lit(f"{k}:"), F.col(k))
+    own = F.array(*[F.when(F.col(k) != "", F.unhex(F.sha2(value(k), 256))) for k in keys])
+    named = fresh.select(F.col(order).cast("bigint").alias("id"), F.explode(F.array_compact(own)).alias("key"))
+    left, gone = _contested(stored(named.distinct(), "keys")), None
+    for _ in range(rounds):
+        left = stored(left, "contested")
+        if left.isEmpty():
+            break
+        first = left.groupBy("key").agg(F.min("id").alias("first"))
+        placed = lookup(left, ["key"], first, F.col("id")).withColumn("is_first", F.col("id") == F.col("first"))
+        kept = placed.groupBy("id").agg(F.bool_and("is_first").alias("kept")).where("kept").select("id")
+        taken = left.join(kept, "id", "left_semi").select("key", F.lit(True).alias("taken"))
+        lost = stored(lookup(left, ["key"], taken, F.col("id")).where("taken").select("id").distinct().join(kept, "id", "left_anti"), "lost")
+        gone = lost if gone is None else gone.union(lost)
+        left = _contested(left.join(kept.union(lost), "id", "left_anti"))
+    else:
+        raise RuntimeError(f"rows did not settle in {rounds} rounds")
+    out = fresh if gone is None else fresh.join(gone, fresh[order] == gone["id"], "left_anti")
+    return out.select(*batch.columns)
+
+
+def _contested(named: DataFrame) -> DataFrame:
+    """The rows (id, key) of ids that share a key; a lone id is kept without another look."""
+    shared = named.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", F.lit(True).alias("_shared"))
+    ids = lookup(named, ["key"], shared, F.col("id")).where("_shared").select("id").distinct()
+    return named.join(ids, "id", "left_semi")

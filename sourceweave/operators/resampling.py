@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.operators.dedup import stored
+from sourceweave.shared import stored
 from sourceweave.operators.metrics import known
 
 #: Draws times rows up to which rows are drawn one by one by Python's generator, on the driver.

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sourceweave import shared
 from sourceweave.functions import vectors
 from sourceweave.hooks import Embedder, encode_once, hash_words
 from sourceweave.operators import clusters, dedup, export, quality, timebins, topics
@@ -39,10 +40,10 @@ def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: in
     """
     spark = corpus.sparkSession
     once = dedup.keep_first(corpus.where("text is not null"), ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
-    encoded = dedup.stored(encode_once(once, "clustering_text", embed), "encoded")
+    encoded = shared.stored(encode_once(once, "clustering_text", embed), "encoded")
     kept = dedup.semantic_dedup(encoded, "ord", "text", dedup.cosine_edges(encoded, "ord", "embedding", threshold))
     clustered, _ = clusters.kmeans(kept, "embedding", k or adaptive_k(kept.count()))
-    located = dedup.stored(clustered.withColumnRenamed("topic", "topic_id"), "topics")
+    located = shared.stored(clustered.withColumnRenamed("topic", "topic_id"), "topics")
     hosts = located.select(F.regexp_extract("url", "://(?:www[.])?([^/.]+)", 1).alias("d")).where("d <> ''").groupBy("d").count()
     frequent = [r.d for r in hosts.orderBy(F.col("count").desc(), "d").limit(stop_hosts + 1).collect()]
     stop = topics.stop_words(tuple(frequent[:stop_hosts]))
@@ -51,7 +52,7 @@ def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: in
     terms = topics.term_counts(located, "topic_id", "clustering_text", stop, more=others)
     named = topics.labels(topics.top_terms(topics.class_tfidf(terms, "topic_id", n_topics), "topic_id"), "topic_id", stop=stop).withColumnRenamed("label", "topic_name")
     assigned = located.join(F.broadcast(named), "topic_id", "left").withColumn("topic_name", F.coalesce("topic_name", F.concat("topic_id", F.lit("_cluster "), "topic_id")))
-    summaries = dedup.stored(topics.extractive_summaries(export.first_texts(assigned, "topic_id", "ord"), "topic_id", "text"), "summaries")
+    summaries = shared.stored(topics.extractive_summaries(export.first_texts(assigned, "topic_id", "ord"), "topic_id", "text"), "summaries")
     similar = clusters.similarities(assigned, "topic_id", "embedding", summaries.select("topic_id", embed(F.col("summary")).alias("centroid")))
     size = F.count(F.lit(1)).over(Window.partitionBy("topic_id"))
     small = assigned.withColumn("_n", size).where(F.col("_n") <= matrix_rows).select("topic_id", "ord", "embedding")

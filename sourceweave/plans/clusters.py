@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceweave import shared
 from sourceweave.functions import scores, vectors
 from sourceweave.operators import clusters, dedup, metrics, sweep
 from sourceweave.sources.tables import scan
@@ -203,7 +204,7 @@ SELECT family, variant, round(auc, 6) AS roc_auc, f1 FROM best WHERE k = 1
 
 def parameter_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of the production and of the calibrated parameters on either split."""
-    own = dedup.stored(evidence(spark, sf_dir), "evidence")
+    own = shared.stored(evidence(spark, sf_dir), "evidence")
     calibration = own.where("split = 'calibration'")
     best = sweep.best_variants(sweep.rate_variants(sweep.score_variants(calibration, sweep.params_table(spark), "bundle", "label")))
     return sweep.transfer(own, sweep.tuned(best))

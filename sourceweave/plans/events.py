@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceweave import shared
 from sourceweave.functions import scores, urls
-from sourceweave.operators import dedup, export, quality, timebins, topics
+from sourceweave.operators import export, quality, timebins, topics
 from sourceweave.sources import feeds, html, tables
 from sourceweave.streaming import model, update, windows
 
@@ -175,7 +176,7 @@ FROM t
 def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of the vectors, folded in by a stream of three files."""
     rows = vector_rows(spark, sf_dir)
-    path = dedup.shared_path(spark, "stream")
+    path = shared.scratch_path(spark, "stream")
     rows.repartitionByRange(3, "ord").write.parquet(f"{path}/in")
     updater = update.Updater(f"{path}/state")
     updater.run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), f"{path}/checkpoint")

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourceweave import shared
 from sourceweave.functions import scores, vectors
 from sourceweave.functions.scores import DEFAULT
-from sourceweave.operators import clusters, dedup, metrics, resampling, rivals, sweep
+from sourceweave.operators import clusters, metrics, resampling, rivals, sweep
 from sourceweave.sources.tables import scan
 
 
@@ -34,9 +35,9 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
     sensational: include the lexicon, for bundles that have their articles' text. A stance factor that does better on the
     calibration split than none is reported as one more method, never applied.
     """
-    kept = dedup.stored(bundles, "bundles")
+    kept = shared.stored(bundles, "bundles")
     facts = kept.select("claim_id", "split", (F.col("verdict") == "TRUE").cast("int").alias("label"))
-    evidence = dedup.stored(
+    evidence = shared.stored(
         kept.select(
             "claim_id", "split", (F.col("verdict") == "TRUE").cast("int").alias("label"), "similarities", F.transform("articles", lambda a: a["domain"]).alias("sources"),
             vectors.upper_triangle(F.col("pairwise")).alias("upper"), rivals.stance_support(F.col("articles")).alias("support"),
@@ -50,7 +51,7 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
     if stance is not None:
         one = sweep.params_table(kept.sparkSession, {"stance": [DEFAULT.with_values(stance_base=stance)]})
         long = long.union(sweep.score_variants(evidence, one, "claim_id").select("claim_id", F.lit("with_stance"), F.col("final_score").cast("double")))
-    table = dedup.stored(long.join(facts, "claim_id"), "scores")
+    table = shared.stored(long.join(facts, "claim_id"), "scores")
 
     def rated(rows: DataFrame, uncertain: bool) -> DataFrame:
         own = rows.where("method in ('corroboration', 'with_stance')")
@@ -67,7 +68,7 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
         return found.orderBy(F.col("roc_auc").desc(), F.col("f1").desc())
 
     variants = sweep.rate_variants(sweep.score_variants(evidence.where(F.col("split") == calibration), sweep.params_table(kept.sparkSession), "claim_id", "label"))
-    variants = dedup.stored(variants, "variants")
+    variants = shared.stored(variants, "variants")
     best = sweep.best_variants(variants)
     return Study(
         table, rated(table, True), rated(table.where(F.col("split") == held_out), False), metrics.roc_auc(table, ["method", "split"]), facts.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")),

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sourceweave import shared
 from sourceweave.operators import dedup
 from sourceweave.streaming import model as topic_model
 from sourceweave.streaming.model import TopicModel
@@ -50,7 +51,7 @@ class Updater:
         if any(int(p.rsplit("/", 1)[1].split("-")[0]) >= batch_id for p in parts):
             return
         corpus = spark.read.parquet(*parts) if parts else None
-        fresh = dedup.stored(dedup.unseen(batch, batch.limit(0) if corpus is None else corpus, self.keys, self.order), "batch")
+        fresh = shared.stored(dedup.unseen(batch, batch.limit(0) if corpus is None else corpus, self.keys, self.order), "batch")
         if fresh.isEmpty():
             return
         state = topic_model.load(spark, self._model_path(parts[-1])) if parts else None
