@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells into which the rows of one key are dealt by :func:`lookup`.
-CELLS = 64
+from sourceweave.shared import components, drop_scratch, lookup, scratch_path, write_scratch
+from sourceweave.shared import stored as materialise
+
+__all__ = ["components", "drop_scratch", "keep_rows", "lookup", "materialise", "scratch_path", "slices", "small_batches", "text_hash", "write_scratch"]
+
 #: Bytes of an Arrow batch that a Python worker gets; a single longer row makes a batch by itself.
 BATCH_BYTES = 4 << 20
 #: Characters of a text whose words are held at once.
@@ -20,47 +19,6 @@ SLICE = 2 << 20
 _BLANK, _BLANK_BYTE = re.compile("[ \t-\r]"), re.compile(rb"[ \t-\r]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (local tests), a temporary folder is set once and removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = tempfile.mkdtemp(prefix="sourceweave-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; the file system removes it when the application ends."""
-    path = f"{shared_dir(spark)}/sourceweave/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no later plan reads."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def write_scratch(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """:func:`write_scratch` for tables that stay until the application ends."""
-    return write_scratch(df, name, compression)[0]
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once: Arrow batches of a few MB, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -89,58 +47,23 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def lookup(rows: DataFrame, key: list[str], table: DataFrame, spread: Column) -> DataFrame:
-    """Left join of ``rows`` to ``table`` (one row a key, no null key) that no hot key can hold up.
-
-    Rows of a key are dealt into :data:`CELLS` cells by ``spread``; the distinct (key, cell) pairs, at most
-    CELLS a key, fetch the value, and the rows fetch it from their own cell.
-    """
-    dealt = rows.withColumn("_cell", F.pmod(spread, F.lit(CELLS)).cast("int"))
-    cells = dealt.select(*key, "_cell").distinct().join(table, key, "left")
-    return dealt.join(cells, [*key, "_cell"], "left").drop("_cell")
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b: bigint, a != b) as (node, root), root being the smallest node.
-
-    Alternates the large-star and small-star contractions; every round is written to the shared folder, and the
-    only figures that reach the driver are a row count and a checksum. Nodes without an edge are not returned.
-    """
-    spark = edges.sparkSession
-    now, path = write_scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        after, after_path = write_scratch(small, "edges")
-        drop_scratch(spark, path)
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now, path = after, after_path
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def keep_rows(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is in ``survivors`` (doc_id, text_hash), each (doc_id, text) once.
 
-    All columns of ``docs`` come back unchanged, whatever their names. One shuffle of the rows, by an identifier and a
-    hash of the text, so that neither a hot source nor a hot text meets in one task.
+    All columns of ``docs`` come back unchanged, whatever their names. Of rows that repeat doc_id and text the one whose other
+    columns are least, read as JSON, stays, so the choice does not hang on the shuffle. One shuffle of the rows, by an
+    identifier and a hash of the text, so that neither a hot source nor a hot text meets in one task.
     """
     wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    keyed = wrapped.select(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("\0")).alias("_id"), text_hash("_row.text").alias("_hash"), "_row")
+    others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")
+    keyed = wrapped.select(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("\0")).alias("_id"), text_hash("_row.text").alias("_hash"), tie.alias("_tie"), "_row")
     wanted = survivors.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.col("text_hash").alias("_hash"))
-    return keyed.join(wanted, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+    return keyed.join(wanted, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.min_by("_row", "_tie").alias("_row")).select("_row.*")
 
 
 def text_hash(column: str = "text") -> Column:

@@ -7,10 +7,11 @@ suffix block selects a bucket, the prefix block the few patterns in it, and a di
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,8 +124,8 @@ def _passes(benchmark: DataFrame, pass_bytes: int):
     return [fetch(at) for at in range(passes)]
 
 
-def _scanner(spark: SparkSession, items: list[tuple[str | None, str | None]]):
-    sent = spark.sparkContext.broadcast(WuManber(items))
+def _scanner(sent: Broadcast):
+    """A function over Arrow batches that searches each text with the tables sent."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = sent.value.search_text
@@ -142,9 +143,19 @@ def _scanner(spark: SparkSession, items: list[tuple[str | None, str | None]]):
     return scan
 
 
-def _merged(spans: list) -> tuple[list[dict], int]:
-    whole = _union([(s["start"], s["stop"]) for s in spans])
-    return [{"start": a, "stop": b} for a, b in whole], sum(b - a for a, b in whole)
+def _by_pass(passes: list, search: Callable[[Broadcast], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What ``search`` finds in all passes, each written before the next: one pass's tables are with the executors at a time."""
+    parts = []
+    for items in passes:
+        sent = spark.sparkContext.broadcast(WuManber(items()))
+        parts.append(materialise(search(sent), name))
+        sent.destroy()
+    return reduce(DataFrame.union, parts)
+
+
+def _joined_spans(lists: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.array([[{"start": a, "stop": b} for a, b in _union([(s["start"], s["stop"]) for s in spans])] for spans in lists.to_pylist()], kind)
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -152,7 +163,8 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_B
 
     Null and wordless texts have no words and no hits; null items are skipped, items without words have no window;
     a null item_id is reported as the empty string; items that share an identifier are one item. Repeated rows are
-    searched each by itself; an empty benchmark hits nothing; other columns of either table are not read. If the
+    searched each by itself; an empty benchmark hits nothing and an empty table gives an empty result; the words of a
+    very long text are searched a stretch at a time, with the seams; other columns of either table are not read. If the
     benchmark is larger than ``pass_bytes``, every pass searches all documents and the passes are merged by row.
     """
     spark = docs.sparkSession
@@ -160,36 +172,31 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_B
     passes = _passes(benchmark, pass_bytes)
     if len(passes) == 1:
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return rows.mapInArrow(_scanner(spark, passes[0]()), schema)
+        return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(WuManber(passes[0]()))), schema)
     numbered = materialise(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text")), "decontam")
-    parts = [materialise(numbered.select("doc_id", "text").mapInArrow(_scanner(spark, items()), schema), "decontam-pass") for items in passes]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    merge = F.udf(lambda spans: _merged(spans), "struct<spans: array<struct<start: bigint, stop: bigint>>, n_hit: bigint>")
+    whole = _by_pass(passes, lambda sent: numbered.select("doc_id", "text").mapInArrow(_scanner(sent), schema), spark, "decontam-pass")
     rows = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    rows = rows.withColumn("_m", merge("spans"))
-    return numbered.select("doc_id", "id").join(rows, "doc_id").select(F.col("id").alias("doc_id"), "n_words", F.col("_m.n_hit").alias("n_hit"), F.col("_m.spans").alias("spans"), "items")
+    rows = rows.withColumn("spans", F.arrow_udf(_joined_spans, "array<struct<start: bigint, stop: bigint>>")("spans"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return numbered.select("doc_id", "id").join(rows, "doc_id").select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs`` that no benchmark window occurs in, with all their columns.
 
-    With one pass the rows are not shuffled; with several, each pass writes the keys that it has hit, so that no two
+    Null and wordless texts stay, null identifiers and rows that repeat too. With one pass the rows are not shuffled; with several, each pass writes the keys that it has hit, so that no two
     passes' tables are in memory together, and the rows are shuffled once.
     """
     spark, passes = docs.sparkSession, _passes(benchmark, pass_bytes)
     if len(passes) == 1:
-        return docs.where(~_hit_udf(spark, passes[0]())(F.col("text").cast("string")))
+        return docs.where(~_hit_udf(spark.sparkContext.broadcast(WuManber(passes[0]())))(F.col("text").cast("string")))
     wrapped = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     keyed = wrapped.select(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("\0")).alias("_id"), text_hash("_row.text").alias("_hash"), "_row")
-    hit = [materialise(keyed.where(_hit_udf(spark, items())(F.col("_row.text").cast("string"))).select("_id", "_hash").distinct(), "hits") for items in passes]
-    return keyed.join(reduce(DataFrame.union, hit).distinct(), ["_id", "_hash"], "left_anti").select("_row.*")
-
+    hit = _by_pass(passes, lambda sent: keyed.where(_hit_udf(sent)(F.col("_row.text").cast("string"))).select("_id", "_hash").distinct(), spark, "hits")
+    return keyed.join(hit.distinct(), ["_id", "_hash"], "left_anti").select("_row.*")
 
-def _hit_udf(spark: SparkSession, items: list[tuple[str | None, str | None]]):
-    sent = spark.sparkContext.broadcast(WuManber(items))
 
+def _hit_udf(sent: Broadcast):
     @F.arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:
         return pa.array([bool(sent.value.search_text(t.as_py())[1]) for t in texts], pa.bool_())

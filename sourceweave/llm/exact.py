@@ -1,13 +1,16 @@
 """Exact dedup by a tree merge of sorted digest runs, in DataFrame functions alone.
 
-Rows are dealt into :data:`RUNS` runs by their place in the scan, whatever their source, id or text. Each run is
-reduced to one row a digest, sorted by digest. In every round FAN_IN neighbouring runs merge into one, keeping for each
-digest the smallest identifier and the count, until one run is left: a binomial tree of log(RUNS) / log(FAN_IN) rounds.
-A run is spread over all tasks by digest, so no round has fewer tasks than the one before, and a digest with a third
-of all rows is down to RUNS rows after the first reduction. Only digests, ids and counts are exchanged, never texts.
-
-A digest is verified: runs merge rows on SHA-256 together with the byte length and an independent 64-bit hash of
-the normalised text, so that texts with the same SHA-256 that differ in either are kept apart.
+Rows are dealt into :data:`RUNS` runs by their place in the scan, whatever their source, id or text. A run is reduced to one
+entry a digest and ordered once: it lies in cells, one for each of as many ranges of digests as keep a cell at about
+:data:`CELL` entries, and a cell is one row with its entries in ascending order. In every round FAN_IN neighbouring runs
+meet, range by range, and their cells are merged: the sorted arrays are put one after the other and sorted by a sort that
+takes ascending stretches as they are (the runs, merged by comparing their heads), equal digests then lie next to each
+other, at most one from each run, and the first of them has the smallest identifier. What comes out is ordered again, so no round sorts
+rows, and each reads the order of the one before. After log(RUNS) / log(FAN_IN) rounds of this binomial tree one run is left.
+A digest with a third of all rows is down to RUNS entries before the first round. Only digests, ids and counts are exchanged, never texts.
+
+A digest is verified: entries are equal in SHA-256, byte length and an independent 64-bit hash of the normalised
+text, so that texts with the same SHA-256 that differ in either are kept apart.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourceweave.functions.vectors import let
 from sourceweave.llm.common import keep_rows, materialise, text_hash, text_or_empty
 
 RUNS = 64
 FAN_IN = 4
+#: Entries of a cell of the last run, about: what a task holds of a range at once.
+CELL = 4096
 KEY = ("digest", "check", "n_bytes")
 
 
@@ -39,14 +45,41 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _merge(runs: DataFrame, fan_in: int) -> DataFrame:
-    """One round: each ``fan_in`` neighbouring runs become one sorted run with the smallest identifiers."""
-    return (
-        runs.withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
-        .groupBy("run", *KEY)
-        .agg(F.min("least").alias("least"), F.sum("n").alias("n"))
-        .sortWithinPartitions("run", "digest")
-    )
+def _slot(slots: int) -> Column:
+    """The range of digests, of so many equal ones, that a digest lies in."""
+    head = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
+    return F.shiftright(head * slots, 32).cast("int")
+
+
+def sorted_runs(rows: DataFrame, slots: int) -> DataFrame:
+    """(run, slot, cell): each run of :func:`digests` with one entry a digest, in cells of ascending entries."""
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    entries = rows.withColumn("slot", _slot(slots)).groupBy("run", "slot", *KEY).agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
+    return entries.groupBy("run", "slot").agg(F.sort_array(F.collect_list(F.struct(*KEY, "least", "n"))).alias("cell"))
+
+
+def merge_runs(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """One round: each ``fan_in`` neighbouring runs become one, in order, with the smallest identifier and the count of each digest."""
+
+    def merged(cells: Column) -> Column:
+        def entry(i: Column) -> Column:
+            return F.get(cells, i)
+
+        def equal(i: Column, j: Column) -> Column:
+            a, b = entry(i), entry(j)
+            return F.coalesce((a["digest"] == b["digest"]) & (a["check"] == b["check"]) & (a["n_bytes"] == b["n_bytes"]), F.lit(False))
+
+        def sums(i: Column) -> Column:
+            # of one digest there is at most one entry a run, so no more than fan_in stand together
+            others = [F.when(equal(i, i + k), entry(i + k)["n"]).otherwise(0) for k in range(1, fan_in)]
+            first = entry(i)
+            return F.struct(*[first[c].alias(c) for c in (*KEY, "least")], sum(others, first["n"]).alias("n"))
+
+        heads = F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: ~equal(i, i - 1))
+        return F.transform(heads, sums)
+
+    gathered = runs.withColumn("run", F.expr(f"run div {fan_in}").cast("int")).groupBy("run", "slot").agg(F.collect_list("cell").alias("cells"))
+    return gathered.select("run", "slot", let(F.sort_array(F.flatten("cells")), merged).alias("cell"))
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -54,20 +87,24 @@ def decisions(docs: DataFrame) -> DataFrame:
 
     Of rows with equal normalised text the one with the smallest doc_id stays. Null doc_ids come after all others; of
     rows that share the smallest doc_id exactly one is kept (the first in the scan). Null texts count as empty and
-    group with empty ones. An empty table gives an empty result; columns beyond doc_id and text are not read.
+    group with empty ones. An empty table gives an empty result; a very long text is one digest like any other; columns
+    beyond doc_id and text are not read, whatever their names.
     """
     rows = digests(docs)
-    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
-    first = materialise(rows.groupBy("run", *KEY).agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", "digest"), "runs")
+    first = materialise(sorted_runs(rows, max(1, -(-rows.count() // CELL))), "runs")
     merged, left = first, RUNS
     while left > 1:
-        merged, left = _merge(merged, FAN_IN), left // FAN_IN
-    whole = merged.select(*KEY, F.col("least.doc_id").alias("keep_id"), F.col("least.row").alias("keep_row"), F.col("n").alias("group_size"))
+        merged, left = merge_runs(merged), left // FAN_IN
+    whole = merged.select(F.explode("cell").alias("e")).select(*[f"e.{c}" for c in KEY], F.col("e.least.doc_id").alias("keep_id"), F.col("e.least.row").alias("keep_row"), F.col("e.n").alias("group_size"))
     # back down the tree: at most RUNS rows a digest fetch the result, rows fetch it from their own run
-    by_run = first.select("run", *KEY).join(whole, [*KEY])
+    by_run = first.select("run", F.explode("cell").alias("e")).select("run", *[f"e.{c}" for c in KEY]).join(whole, [*KEY])
     return rows.join(by_run, ["run", *KEY]).select("doc_id", "text_hash", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns."""
+    """The rows of ``docs`` that exact dedup keeps, with all their columns, as :func:`decisions` says.
+
+    Of rows that repeat the kept doc_id and text the one whose other columns are least as JSON stays. An empty table
+    gives an empty one.
+    """
     return keep_rows(docs, decisions(docs).where("kept").select("doc_id", "text_hash"))

@@ -19,6 +19,8 @@ from sourceweave.llm.common import id_crc, small_batches
 PROFILE = 400
 #: Documents a language that its profile is learnt from, in expectation: a hash of the identifier chooses them.
 FIT_ROWS = 4000
+#: Values of lang that there may be: a profile each goes to all workers.
+MOST_LANGUAGES = 10_000
 UNDETERMINED = "und"
 #: Characters whose n-grams are counted together; longer texts are counted in blocks that are added up.
 BLOCK_CHARS = 1 << 20
@@ -44,34 +46,38 @@ def _runs(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return values[starts], counts
 
 
-def _block_ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _block_ngrams(text: str, before: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of the n-grams that end in a block of lower-case text, and the two symbols that the next block follows.
+
+    ``before`` are the symbols that stand before the block: letters, and one blank between words and at either end.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letter = _letters()[points]
-    if not letter.any():
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    line = np.where(letter, points, 32).astype(np.int64)
-    line = np.concatenate(([32], line[letter | np.append(False, letter[:-1])], [32]))
-    one = line[line != 32]
-    two = line[:-1] << 21 | line[1:]
+    kept = letter | np.append(before[-1] != 32, letter[:-1])
+    fresh = np.where(letter, points, 32)[kept].astype(np.int64)
+    line = np.concatenate((before, fresh, [32] if last else [])).astype(np.int64)
+    new = len(line) - len(before)
+    one = line[len(line) - new :]
+    one = one[one != 32]
+    two = (line[:-1] << 21 | line[1:])[max(0, len(before) - 1) :]
     two = two[two != (32 << 21 | 32)]
-    middle = line[1:-1] != 32
-    three = (line[:-2] << 42 | line[1:-1] << 21 | line[2:])[middle]
-    return _runs(np.concatenate((one, two, three)))
+    three = (line[:-2] << 42 | line[1:-1] << 21 | line[2:])[line[1:-1] != 32]
+    return *_runs(np.concatenate((one, two, three))), line[-2:]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the n-grams of a whole text: code points in 21 bits each."""
-    text = text or ""
-    if len(text) <= BLOCK_CHARS:
-        return _block_ngrams(text)
-    parts, at = [], 0
-    while at < len(text):
-        stop = min(len(text), at + BLOCK_CHARS)
-        while stop < len(text) and text[stop - 1].isalpha() and stop < at + 2 * BLOCK_CHARS:
-            stop += 1
-        parts.append(_block_ngrams(text[at:stop]))
-        at = stop
-    return _runs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    """Keys and counts of the n-grams of a whole text: code points in 21 bits each.
+
+    A long text is counted block by block; a block goes on where the last one stopped, in the middle of a word as well.
+    """
+    low = (text or "").lower()
+    before, parts = np.array([32], dtype=np.int64), []
+    for at in range(0, len(low), BLOCK_CHARS):
+        keys, counts, before = _block_ngrams(low[at : at + BLOCK_CHARS], before, at + BLOCK_CHARS >= len(low))
+        parts.append((keys, counts))
+    if len(parts) == 1:
+        return parts[0]
+    return _runs(np.concatenate([np.zeros(0, dtype=np.int64), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, dtype=np.int64), *(p[1] for p in parts)]))
 
 
 def top_ngrams(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray:
@@ -127,17 +133,19 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """Profiles from the text and non-null lang of training documents: crc32(doc_id as text) mod FOLDS is not 0.
 
     A language with more than ``fit_rows`` of them is learnt from about so many, chosen by a hash of the identifier
-    and the text. Only PROFILE n-grams a language come to the driver.
+    and the text. Only PROFILE n-grams a language come to the driver; more than MOST_LANGUAGES languages are an error.
     """
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").where(id_crc() % FOLDS != 0)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    chosen = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.octet_length("text"), F.lit(8)).alias("draw"))
-    shares = {r.lang: min(1.0, fit_rows / r.size) for r in sizes.collect()}  # a row a language
-    if not shares:
+    sizes = known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("size"))
+    found = sizes.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: profiles are held by every worker")
+    if not found:
         return Profiles({})
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    chosen = chosen.where(F.pmod("draw", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, fit_rows / r.size)) for r in found], "lang string, share double")
+    chosen = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.octet_length("text"), F.lit(8)).alias("draw"))
+    chosen = chosen.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
     counted = chosen.mapInArrow(_count, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
@@ -151,8 +159,9 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``, from profiles learnt on its training rows.
 
     Null texts and texts without a letter are `und` with score 0, and so is everything if no row can be learnt
-    from. A null doc_id counts as the empty text for the fold. Rows that repeat get the same answer; columns beyond
-    doc_id, text and lang are not read, and lang only of training rows.
+    from. A null doc_id counts as the empty text for the fold. Rows that repeat get the same answer; a very long text
+    is counted whole, block by block; an empty table gives an empty result; columns beyond doc_id, text and lang are
+    not read, and lang only of training rows.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(learn(docs, fit_rows))
@@ -172,7 +181,8 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 def identified(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns; no shuffle of the rows.
 
-    If no row can be learnt from, those with a letter stay.
+    Null, empty and letterless texts go, rows that repeat stay, null identifiers too. If no row can be learnt from,
+    those with a letter stay. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, fit_rows))
 

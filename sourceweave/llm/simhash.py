@@ -139,11 +139,12 @@ def links(classes: DataFrame, most: int = 64) -> DataFrame:
     A bucket of at most ``most`` fingerprints is joined with itself and every pair verified, so a row meets ``most``
     others at most. In a larger bucket each fingerprint names itself and its 64 one-bit neighbours: two fingerprints
     are within two bits exactly if they name a common word, and all that name a word are linked to the smallest of
-    them. That is exact as well, reaches the same components, and is linear in the bucket.
+    them. That is exact as well, reaches the same components, and is linear in the bucket. A bucket of any size fetches
+    its size and its smallest word by cells, so its rows never meet in one task.
     """
     keys = materialise(classes.select("fp").mapInArrow(_keys, "key bigint, fp bigint"), "golay")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = keys.join(sizes, "key")
+    shared = lookup(keys, ["key"], sizes, F.xxhash64("fp")).where("size is not null")
     small = shared.where(F.col("size") <= most).select("key", "fp")
     left, right = small.alias("l"), small.alias("r")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_BITS))
@@ -151,7 +152,7 @@ def links(classes: DataFrame, most: int = 64) -> DataFrame:
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("bigint") for b in range(64)])
     named = shared.where(F.col("size") > most).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
     least = named.groupBy("word").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = named.join(least, "word").where("fp <> a").select("a", F.col("fp").alias("b"))
+    many = lookup(named, ["word"], least, F.xxhash64("fp")).where("fp <> a").select("a", F.col("fp").alias("b"))
     return few.union(many).distinct()
 
 

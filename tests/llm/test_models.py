@@ -201,3 +201,105 @@ def test_chat_edges(spark):
     assert len(found) == 7
     assert [r.role_pred for r in found if r.content in ("a", "b")].count("user") == 2
     assert chat.parse(spark.createDataFrame([], CHATS)).count() == 0
+
+
+def test_ngrams_of_blocks(monkeypatch):
+    """Counts don't depend on the blocks that a text is counted in, in the middle of words as well."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcÉß 12!\nΣ東") for _ in range(n)) for n in (1, 2, 6, 7, 8, 40, 300)] + ["x" * 50, " " * 20, "ab", "ΑΣ" * 10 + " ΑΣ"]
+    decode = lambda k: "".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0) if k >> s & 0x1FFFFF)
+    for block in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+        for text in texts:
+            keys, counts = langid.ngrams(text)
+            assert {decode(int(k)): int(c) for k, c in zip(keys, counts)} == dict(plain_ngrams(text)), (block, text)
+
+
+def plain_predict(profiles, text):
+    """Out-of-place distances, n-gram by n-gram."""
+    encode = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    counts = {encode(g): n for g, n in plain_ngrams(text).items()}
+    own = sorted(counts, key=lambda k: (-counts[k], k))[: langid.PROFILE]
+    if not own:
+        return "und", 0.0
+    far = []
+    for name in sorted(profiles):
+        place = {k: r for r, k in enumerate(profiles[name])}
+        far.append((sum(abs(place[k] - r) if k in place else langid.PROFILE for r, k in enumerate(own)), name))
+    best = min(far)
+    second = min(d for d, name in far if name != best[1])
+    return best[1], (second - best[0]) / second if second else 0.0
+
+
+def test_predictions_are_the_plain_distances():
+    rng = random.Random(2)
+    learnt = {lang: langid.top_ngrams(*langid.ngrams(speech(rng, lang, 300))).tolist() for lang in ("en", "de", "fr")}
+    profiles = langid.Profiles(learnt)
+    for text in [speech(rng, rng.choice(("en", "de", "fr")), n) for n in (1, 2, 5, 30, 400)] + ["", "12", "zzz", "the der les"]:
+        name, score = plain_predict(learnt, text)
+        assert profiles.predict(text) == (name, pytest.approx(score))
+
+
+def plain_split(x, gradient, weight):
+    """The best cut over all values of all features, row by row."""
+    best = None
+    rows, g, h = len(x), sum(gradient), sum(weight)
+    for f in range(x.shape[1]):
+        for cut in sorted(set(x[:, f]))[:-1]:
+            left = [i for i in range(rows) if x[i, f] <= cut]
+            if min(len(left), rows - len(left)) < quality.LEAST_ROWS:
+                continue
+            gl, hl = sum(gradient[i] for i in left), sum(weight[i] for i in left)
+            gain = gl**2 / (hl + quality.RIDGE) + (g - gl) ** 2 / (h - hl + quality.RIDGE) - g**2 / (h + quality.RIDGE)
+            if gain > (best[0] if best else 1e-6):
+                best = (gain, f, cut)
+    return best
+
+
+def test_splits_are_the_best_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        x = rng.integers(0, 9, size=(90, 3)).astype(float)
+        gradient, weight = rng.normal(size=90), rng.uniform(0.1, 0.25, size=90)
+        edges = [np.unique(x[:, f]) for f in range(3)]
+        binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+        feature, at = quality.BoostedTrees._split(binned, gradient, weight, edges)
+        gain, want, cut = plain_split(x, gradient, weight)
+        assert (feature, edges[feature][at]) == (want, cut)
+
+
+def test_statistics_are_the_plain_ones():
+    text = "The THE cat, 12 été!\nthe cat\n\nthe cat"
+    found = dict(zip(quality.FEATURES, quality.statistics(text)))
+    raw, parts, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+    share = lambda test: sum(map(test, raw)) / len(raw)
+    counts = Counter(raw)
+    want = {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(parts)), "word_length": sum(map(len, parts)) / len(parts), "distinct_words": len(set(parts)) / len(parts),
+        "top_word": max(Counter(parts).values()) / len(parts), "repeated_next": sum(a == b for a, b in zip(parts, parts[1:])) / len(parts), "upper": share(lambda b: 65 <= b <= 90),
+        "lower": share(lambda b: 97 <= b <= 122), "digit": share(lambda b: 48 <= b <= 57), "space": share(lambda b: b in b" \t\n\r"), "beyond_ascii": share(lambda b: b > 127), "marks": share(lambda b: b in b"!?"),
+        "stops": share(lambda b: b in b".,;:"), "byte_entropy": -sum(n / len(raw) * np.log2(n / len(raw)) for n in counts.values()), "log_lines": np.log1p(len(lines)), "line_length": len(raw) / len(lines),
+        "distinct_lines": len(set(lines)) / len(lines), "longest_word": np.log1p(max(map(len, parts))), "capitalised": sum(p.istitle() for p in parts) / len(parts),
+    }
+    assert {k: found[k] for k in want} == pytest.approx(want)
+
+
+def test_edges_of_models(spark, edge_rows):
+    """Null, empty, blank, tied and repeated rows and a text beyond a stretch, through the classifier and the language profiles."""
+    long = "The committee of the town. " * 90_000
+    assert len(long) > common.SLICE
+    table = documents(spark, [*edge_rows, (40, long), (41, "a" * 3000 + " " + "b" * 3000)])
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in (1, 2, 3, 4, 5, 40)], "doc_id bigint, quality int, toxic int")
+    scored = quality.classify(table, labels).collect()
+    assert len(scored) == len(edge_rows) + 2 and all(0 <= r.score <= 1 for r in scored)
+    assert len({r.score for r in scored if r.doc_id in (1, 2)}) == 1  # null and empty texts
+    told = langid.identify(table).collect()
+    assert len(told) == len(scored) and {r.lang_pred for r in told if r.doc_id in (1, 2, 3, 10)} == {"und"}
+    assert {r.lang_pred for r in told if r.doc_id == 40} == {"en"}
+
+
+def test_long_transcripts(spark):
+    """A turn of more than a stretch, and a transcript of many turns with null texts and repeats."""
+    rows = [(1, 0, "user", "User: " + "word " * 500_000, "p", 1), (1, 1, "assistant", "Yes.", "p", 1)] + [(2, t, "user" if t % 2 == 0 else "assistant", None if t == 5 else f"line {t}", "p", 1) for t in range(300)] * 2
+    found = chat.parse(spark.createDataFrame(rows, CHATS)).collect()
+    assert len(found) == len(rows) and max(len(r.content or "") for r in found) == len("word " * 500_000) - 1

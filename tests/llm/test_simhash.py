@@ -114,3 +114,27 @@ def test_keep_one(spark, edge_rows):
     assert kept.columns == documents(spark, []).columns
     _, want = plain_components(rows)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(set(want), key=str)
+
+
+def test_a_hub_of_half_of_all_fingerprints(spark):
+    """A bucket and a hub that half of all fingerprints share: the components are right, and a look-up deals a hot key over many cells."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    hub = rng.getrandbits(62)
+    near = {hub ^ (1 << a) ^ (1 << b) for a in range(62) for b in range(a)}
+    far = {rng.getrandbits(62) for _ in range(len(near))}
+    values = sorted(near | far | {hub})
+    table = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    found = {r.node: r.root for r in common.components(simhash.links(table)).collect()}
+    least = min(near | {hub})
+    assert all(found.get(v, v) == least for v in near | {hub}) and all(found.get(v, v) == v for v in far)
+    rows = spark.range(4000).select((F.col("id") % 2 * F.col("id")).alias("k"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = common.lookup(rows, ["k"], rows.groupBy("k").count(), F.col("id")).groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert held < 0.45 * 4000

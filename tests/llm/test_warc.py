@@ -49,3 +49,30 @@ def test_records_hold_what_was_written(spark):
 
 def test_empty(spark):
     assert warc.archive_round_trip(table(spark, [])).count() == 0
+
+
+def test_a_payload_of_a_third_of_all_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 10)
+    rows = [(i, f"https://a.com/{i}", "hot" if i % 3 == 0 else f"page {i}") for i in range(300)]
+    path = scratch_path(spark, "test-warc-hot")
+    warc.write_archive(table(spark, rows), path)
+    stored = spark.read.parquet(f"{path}/records")
+    hot = stored.groupBy("sha256", "share").count().agg({"count": "max"}).first()[0]
+    assert hot < 40 and stored.count() == 300
+    facts = {r.page_id: r for r in warc.read_facts(spark, path).collect()}
+    assert len(facts) == 300 and facts[3].refers_to == 0 and facts[3].payload_bytes == 3 and facts[1].record_type == "response"
+
+
+def test_facts_come_from_the_record_bytes(spark, tmp_path):
+    """A header that states another length, or another digest, than the record has stops the reader."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    path = scratch_path(spark, "test-warc-bad")
+    warc.write_archive(table(spark, PAGES), path)
+    header = F.col("header").cast("string")
+    for name, bad in (("length", F.regexp_replace(header, "(\r\nContent-Length: )", "$11")), ("digest", F.regexp_replace(header, "sha1:[A-Z2-7]", "sha1:0"))):
+        spark.read.parquet(f"{path}/records").withColumn("header", bad.cast("binary")).write.parquet(f"file://{tmp_path}/{name}/records")
+        spark.read.parquet(f"{path}/payloads").write.parquet(f"file://{tmp_path}/{name}/payloads")
+        with pytest.raises(Exception, match="a record doesn't have|a header doesn't have"):
+            warc.read_facts(spark, f"file://{tmp_path}/{name}").collect()
