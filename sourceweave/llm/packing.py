@@ -9,6 +9,7 @@ from per-part counts, and the plan turns (length, rank) into a bin and an offset
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -18,7 +19,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ class Encoder:
 
     A blank with no white space on one side always begins a token of this family of patterns, so a text may be cut
     before it. Texts in which a blank stands between other white space, or with a special string, go to the library
-    whole. A chunk new to the cache is split by the vocabulary's pattern and merged piece by piece.
+    whole. A chunk new to the cache is split by the vocabulary's pattern and merged by its ranks.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,8 +52,10 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         to_byte = {c: b for b, c in byte_symbols().items()}
         ranks = {bytes(map(to_byte.__getitem__, token)): n for token, n in self.library.get_vocab(with_added_tokens=False).items()}
-        self.merge = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        # the pattern is that of the library's byte-level splitter; a vocabulary that splits in another way is left to the library
+        splitter = json.loads(self.library.to_str())["pre_tokenizer"] or {}
+        self.by_chunk = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space")) == ("ByteLevel", True, False) and self.library.normalizer is None
+        self.merge = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -65,7 +67,7 @@ class Encoder:
             yield self._stretch(text) if len(text) <= SLICE else b"".join(map(self._stretch, _stretches(text)))
 
     def _stretch(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
+        if not self.by_chunk or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         chunks = self._chunks(text)
         if missing := set(chunks).difference(self.cache):
@@ -76,13 +78,9 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, chunks))
 
     def _learn(self, chunks: set[str]) -> None:
-        merge, find, cache = self.merge, self.pattern.findall, self.cache
+        merge, cache = self.merge, self.cache
         for chunk in chunks:
-            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                ids = merge(chunk.encode("utf-8", "replace"))
-            else:
-                ids = [n for piece in find(chunk) for n in merge(piece.encode("utf-8", "replace"))]
-            cache[chunk] = array("I", ids).tobytes()
+            cache[chunk] = array("I", merge(chunk)).tobytes()
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
