@@ -26,6 +26,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def short(text: Column) -> Column:
+    """The beginning of a text that a classifier is shown."""
+    return F.substring(_text(text), 1, 512)
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

@@ -30,10 +30,12 @@ def article_nodes(rows: DataFrame, key: str, order: str) -> DataFrame:
 def first_texts(rows: DataFrame, key: str, order: str, n: int = 4) -> DataFrame:
     """(key, text): the first ``n`` texts of each topic, of rows with a body where it has any."""
     has = F.coalesce("body_available", F.lit(False))
-    rank = Window.partitionBy(key).orderBy(has.desc(), order)
-    best = F.first(has).over(rank)
-    kept = rows.withColumns({"_n": F.row_number().over(rank), "_best": best}).where((F.col("_n") <= n) & (~F.col("_best") | has) & F.col("text").isNotNull())
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]), " ").alias("text"))
+    rank = Window.partitionBy(key).orderBy(F.col("_has").desc(), order)
+    # only the rank is asked of the window, so each task cuts its rows to n a topic before any text is shuffled
+    first = rows.select(key, order, "text", has.alias("_has")).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= n)
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "_has", "text"))).alias("_all"))
+    fit = F.filter("_all", lambda x: (x["_has"] | ~F.col("_all")[0]["_has"]) & x["text"].isNotNull())
+    return listed.where(F.size(fit) > 0).select(key, F.array_join(F.transform(fit, lambda x: x["text"]), " ").alias("text"))
 
 
 def listed(column: Column) -> Column:

@@ -1,7 +1,7 @@
 """Bootstrap intervals and permutation tests of the AUC.
 
-Samples of studies, of at most MOST_DRAWN rows times draws, are drawn as Python's generator draws for a seed: each draw is a
-row, dealt over the cluster, and works on the sample itself, which is sent to all tasks.
+Samples of studies, of at most MOST_DRAWN rows times draws, are drawn as Python's generator draws for a seed. All groups are
+drawn in one pass: PARTS tasks a group get its rows, and each makes its own share of the draws from the seed.
 
 Larger samples are drawn by counts. Rows are combined to a row a score with its ones and zeros; these lie in blocks in order
 of score. A draw deals its rows over the blocks (multinomial for the bootstrap; for shuffled labels the ones, without
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,22 +23,13 @@ from pyspark.sql import functions as F
 from sourceweave.shared import stored
 from sourceweave.operators.metrics import known
 
-#: Draws times rows up to which rows are drawn one by one by Python's generator, on the driver.
+#: Draws times rows up to which rows are drawn one by one by Python's generator.
 MOST_DRAWN = 4_000_000
 #: Distinct scores in a block of a larger sample, about, and the tasks over which the draws of a block are dealt.
 LEVELS = 50_000
 PARTS = 16
 
 
-def _sample(df: DataFrame, order: str, samples: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Scores and labels in order; None for samples that are to be drawn by counts."""
-    rows = known(df).select("score", F.col("label").cast("int").alias("label"), order)
-    if rows.count() * samples > MOST_DRAWN:
-        return None
-    table = rows.orderBy(order).toPandas()
-    return table["score"].to_numpy(float), table["label"].to_numpy(int)
-
-
 def _midranks(values: np.ndarray) -> np.ndarray:
     _, at, n = np.unique(values, return_inverse=True, return_counts=True)
     return (np.cumsum(n) - (n - 1) / 2)[at]
@@ -48,9 +40,21 @@ def auc(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((_midranks(scores)[labels == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(labels) - ones)))
 
 
-def bootstrap_draws(n: int, samples: int, seed: int) -> list[list[int]]:
-    rng = random.Random(seed)
-    return [[rng.randrange(n) for _ in range(n)] for _ in range(samples)]
+def bootstrap_draws(n: int, samples: int, seed: int) -> np.ndarray:
+    """(samples, n) positions, as Python's generator draws them one after the other for a seed.
+
+    That generator is the Mersenne twister: a position below ``n`` is the top bits of a 32-bit word, and words that give too
+    large a number are passed over. The words come in one go here.
+    """
+    kind, state, _ = random.Random(seed).getstate()
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+    bits, wanted, found = n.bit_length(), samples * n, []
+    while wanted > 0:
+        some = words.random_raw(int(wanted * (1 << bits) / n * 1.02) + 64) >> np.uint64(32 - bits)
+        found.append(some[some < n].astype(np.int64)[:wanted])
+        wanted -= len(found[-1])
+    return np.concatenate(found or [np.zeros(0, dtype=np.int64)]).reshape(samples, n)
 
 
 def permutation_draws(labels: list[int], samples: int, seed: int) -> list[list[int]]:
@@ -143,54 +147,93 @@ def _bounds(rated: DataFrame) -> DataFrame:
     return ordered.select(at(0.025).alias("auc_lo"), at(0.975).alias("auc_hi"))
 
 
-def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
-    """(auc_lo, auc_hi): the 2.5 % and 97.5 % draws of the AUC; null below four rows or with one class.
-
-    Draws that hold one class are left out.
+def _rated(scores: np.ndarray, labels: np.ndarray, draws: np.ndarray, samples: int, seed: int, kinds: tuple[str, ...]) -> pd.DataFrame:
+    """(kind, value) of the draws of a small sample: the AUC of a bootstrap draw, and whether a shuffled one is as far from one half."""
+    kind, value = [], []
+    if "bootstrap" in kinds:
+        for picked in bootstrap_draws(len(scores), samples, seed)[draws]:
+            y = labels[picked]
+            if 0 < y.sum() < len(y):
+                kind.append("bootstrap")
+                value.append(auc(scores[picked], y))
+    if "permutation" in kinds:
+        ranks, ones = _midranks(scores), int(labels.sum())
+        seen = abs(auc(scores, labels) - 0.5)
+        wanted = set(draws.tolist())
+        rng, now = random.Random(seed), labels.tolist()
+        for draw in range(int(draws.max()) + 1):
+            rng.shuffle(now)
+            if draw in wanted:
+                found = (ranks[np.array(now) == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(now) - ones))
+                kind.append("permutation")
+                value.append(float(abs(found - 0.5) >= seen))
+    return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "value": np.array(value, dtype=float)})
+
+
+def _small(df: DataFrame, key: str, order: str, samples: int, seed: int, kinds: tuple[str, ...]) -> DataFrame:
+    """(key, auc_lo, auc_hi, auc_p) of samples that are drawn row by row, all at once.
+
+    A task has a sample and a share of its draws: it makes them itself from the seed, so nothing but the rows is sent.
+    Groups below four rows or with one class are left out.
     """
+    rows = known(df).select(F.col(key).alias("_key"), "score", F.col("label").cast("int").alias("label"), F.col(order).alias("_order"))
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")
+        scores, labels, part = pdf["score"].to_numpy(float), pdf["label"].to_numpy(int), int(pdf["_part"].iloc[0])
+        draws = np.arange(part, samples, PARTS)
+        if len(scores) < 4 or len(set(labels.tolist())) < 2 or not len(draws):
+            return pd.DataFrame({"_key": pd.Series([], dtype=object), "kind": pd.Series([], dtype=object), "value": np.zeros(0)})
+        found = _rated(scores, labels, draws, samples, seed, kinds)
+        found.insert(0, "_key", pdf["_key"].iloc[0])
+        return found
+
+    rated = dealt.groupBy("_key", "_part").applyInPandas(rate, f"_key {df.schema[key].dataType.simpleString()}, kind string, value double")
+    booted = F.sort_array(F.collect_list(F.when(F.col("kind") == "bootstrap", F.col("value"))))
+    at = lambda q: F.round(F.get("_a", F.floor(F.lit(q) * F.size("_a")).cast("int")), 4)
+    summed = rated.groupBy(F.col("_key").alias(key)).agg(booted.alias("_a"), F.round(F.avg(F.when(F.col("kind") == "permutation", F.col("value"))), 4).alias("auc_p"))
+    return summed.select(key, at(0.025).alias("auc_lo"), at(0.975).alias("auc_hi"), "auc_p")
+
+
+def _counted(df: DataFrame, samples: int, seed: int, kinds: tuple[str, ...]) -> DataFrame:
+    """(auc_lo, auc_hi, auc_p) of one sample that is drawn by counts."""
     spark = df.sparkSession
-    schema = "auc_lo double, auc_hi double"
-    sample = _sample(df, order, samples)
-    if sample is None:
-        rated = _drawn_aucs(df, samples, seed, shuffled=False)
-        return spark.createDataFrame([(None, None)], schema) if rated is None else _bounds(rated.where("draw >= 0"))
-    scores, labels = sample
-    if len(scores) < 4 or len(set(labels.tolist())) < 2:
-        return spark.createDataFrame([(None, None)], schema)
-    sent = spark.sparkContext.broadcast((scores, labels))
-    table = spark.createDataFrame(list(enumerate(bootstrap_draws(len(scores), samples, seed))), "draw int, picked array<int>")
-
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, y = sent.value
-        for batch in batches:
-            picks = [np.asarray(p) for p in batch["picked"]]
-            yield pd.DataFrame({"auc": [auc(s[p], y[p]) if 0 < y[p].sum() < len(p) else None for p in picks]}, dtype="float64")
+    none = spark.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("auc_lo", "auc_hi", "auc_p")])
+    booted = _drawn_aucs(df, samples, seed, shuffled=False) if "bootstrap" in kinds else None
+    out = none.drop("auc_p") if booted is None else _bounds(booted.where("draw >= 0"))
+    shuffled = _drawn_aucs(df, samples, seed, shuffled=True) if "permutation" in kinds else None
+    if shuffled is None:
+        return out.crossJoin(none.select("auc_p"))
+    far = F.abs(F.col("auc") - 0.5)
+    both = shuffled.agg(F.collect_list(F.when(F.col("draw") >= 0, far)).alias("far"), F.max(F.when(F.col("draw") < 0, far)).alias("seen"))
+    return out.crossJoin(both.select(F.explode("far").alias("far"), "seen").agg(F.round(F.avg((F.col("far") >= F.col("seen")).cast("double")), 4).alias("auc_p")))
+
+
+def resampled(df: DataFrame, key: str, order: str, samples: int = 2000, seed: int = 7, kinds: tuple[str, ...] = ("bootstrap", "permutation")) -> DataFrame:
+    """(key, auc_lo, auc_hi, auc_p) for each of a few groups: the 2.5 % and 97.5 % draws of the AUC, and the share of
+    shuffled labels whose AUC is as far from one half. Null below four rows or with one class; bootstrap draws that hold one class are left out.
+    """
+    sizes = {r[0]: r.n for r in known(df).groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a group
+    large = [k for k, n in sizes.items() if n * samples > MOST_DRAWN]
+    groups = df.select(key).distinct()
+    rest = df if not large else df.where(~F.coalesce(F.col(key).isin(*large), F.lit(False)))
+    parts = [_small(rest, key, order, samples, seed, kinds)] if len(large) < len(sizes) else []
+    parts += [_counted(df.where(F.col(key) == k), samples, seed, kinds).select(F.lit(k).alias(key), "auc_lo", "auc_hi", "auc_p") for k in large]
+    return groups.join(reduce(DataFrame.union, parts), key, "left") if parts else groups.withColumns({c: F.lit(None).cast("double") for c in ("auc_lo", "auc_hi", "auc_p")})
 
-    return _bounds(table.mapInPandas(rate, "auc double").where("auc is not null"))
 
+def _one(df: DataFrame, order: str, samples: int, seed: int, kind: str, columns: list[str]) -> DataFrame:
+    """:func:`resampled` of a single sample: one row, of nulls where there is nothing to draw from."""
+    found = resampled(df.withColumn("_all", F.lit(0)), "_all", order, samples, seed, (kind,))
+    return df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(found, "_all", "left").select(*columns)
 
-def permutation_test(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
-    """(auc_p): the share of shuffled labels whose AUC is as far from one half; null as for the interval."""
-    spark = df.sparkSession
-    sample = _sample(df, order, samples)
-    if sample is None:
-        rated = _drawn_aucs(df, samples, seed, shuffled=True)
-        if rated is None:
-            return spark.createDataFrame([(None,)], "auc_p double")
-        both = rated.agg(F.collect_list(F.when(F.col("draw") >= 0, F.abs(F.col("auc") - 0.5))).alias("far"), F.max(F.when(F.col("draw") < 0, F.abs(F.col("auc") - 0.5))).alias("seen"))
-        return both.select(F.explode("far").alias("far"), "seen").agg(F.round(F.avg((F.col("far") >= F.col("seen")).cast("double")), 4).alias("auc_p"))
-    scores, labels = sample
-    if len(scores) < 4 or len(set(labels.tolist())) < 2:
-        return spark.createDataFrame([(None,)], "auc_p double")
-    observed = abs(auc(scores, labels) - 0.5)
-    ranks = spark.sparkContext.broadcast(_midranks(scores))
-    table = spark.createDataFrame(list(enumerate(permutation_draws(labels.tolist(), samples, seed))), "draw int, labels array<int>")
-
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            y = np.stack(batch["labels"].to_numpy())
-            ones = y.sum(axis=1)
-            found = (y @ ranks.value - ones * (ones + 1) / 2) / (ones * (y.shape[1] - ones))
-            yield pd.DataFrame({"hit": np.abs(found - 0.5) >= observed})
 
-    return table.mapInPandas(rate, "hit boolean").agg(F.round(F.avg(F.col("hit").cast("double")), 4).alias("auc_p"))
+def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
+    """(auc_lo, auc_hi): the 2.5 % and 97.5 % draws of the AUC of one sample, as in :func:`resampled`."""
+    return _one(df, order, samples, seed, "bootstrap", ["auc_lo", "auc_hi"])
+
+
+def permutation_test(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
+    """(auc_p): the share of shuffled labels of one sample whose AUC is as far from one half, as in :func:`resampled`."""
+    return _one(df, order, samples, seed, "permutation", ["auc_p"])

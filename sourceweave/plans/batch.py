@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave import shared
-from sourceweave.functions import vectors
+from sourceweave.functions import scores, text, vectors
 from sourceweave.hooks import Embedder, encode_once, hash_words
 from sourceweave.operators import clusters, dedup, export, quality, timebins, topics
 from sourceweave.sources import tables
@@ -28,40 +29,82 @@ class Batch:
     agreement: DataFrame
 
 
-def run_batch(corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: int | None = None, matrix_rows: int = 200, stop_hosts: int = 1000, generated_at: str = "") -> Batch:
-    """A batch over ``corpus`` (tables.CORPUS with ``ord``, a unique bigint).
+@dataclass(frozen=True)
+class Enrichment:
+    """What a batch asks of the caller's models, each of an article's first 512 characters; without a model there is no value.
+
+    sentiment: a struct of label and score; places: an array of names; summarise: a summary of a topic's first texts, null where the
+    model has none (the extractive one then stands in); phrases: how many key phrases an article gets from the embedder.
+    """
+
+    sentiment: Callable[[Column], Column] | None = None
+    places: Callable[[Column], Column] | None = None
+    summarise: Callable[[Column], Column] | None = None
+    phrases: int = 0
+
+
+def enriched(rows: DataFrame, how: Enrichment, embed: Embedder, key: str = "ord", vector: str = "embedding") -> DataFrame:
+    """``rows`` with sentiment, sentiment_score, sentiment_value, keyphrases and locations (both comma-joined)."""
+    short = text.short(F.col("text"))
+    null = lambda kind: F.lit(None).cast(kind)
+    told = rows.withColumn("_s", how.sentiment(short) if how.sentiment else null("struct<label: string, score: double>"))
+    score = F.round("_s.score", 4)
+    told = told.withColumns({"sentiment": F.col("_s.label"), "sentiment_score": score, "sentiment_value": F.when(score.isNotNull(), scores.signed_sentiment(F.col("_s.label"), score))}).drop("_s")
+    told = told.withColumn("locations", F.array_join(F.array_distinct(how.places(short)), ", ") if how.places else null("string"))
+    if not how.phrases:
+        return told.withColumn("keyphrases", null("string"))
+    found = topics.keyphrases(rows, key, "text", vector, embed, how.phrases).select(key, F.array_join("phrases", ", ").alias("keyphrases"))
+    return told.join(found, key, "left")
+
+
+#: Rows that a batch needs at least.
+LEAST_ROWS = 6
+
+
+def run_batch(
+    corpus: DataFrame, embed: Embedder, threshold: float = 0.85, k: int | None = None, matrix_rows: int | None = None, stop_hosts: int = 0, generated_at: str = "", enrichment: Enrichment = Enrichment()
+) -> Batch:
+    """A batch over ``corpus`` (tables.CORPUS with ``ord``, a unique bigint) of LEAST_ROWS rows or more.
 
     Titles and near texts are deduplicated, the rest is clustered on the vectors of title and text. A topic's summary takes
-    the best sentences of its first four bodies; similarities are those of its vector. Agreement by article
-    is the long table ``agreement`` (topic_id, i, j, cosine; i < j in ``ord``) for topics of any size, worked out when it is read. The
-    export's document shows it as a matrix in topics of at most ``matrix_rows`` articles; larger ones are scored by their
-    mean agreement, which needs no pairs. Hosts are no topic terms: the
-    ``stop_hosts`` most frequent ones as literals, the others by a join.
+    the best sentences of its first four bodies, or is the caller's model's; similarities are those of its vector. Agreement by article
+    is the long table ``agreement`` (topic_id, i, j, cosine; i < j in ``ord``), worked out when it is read. The
+    export's document shows it as a matrix in every topic, or, where ``matrix_rows`` is given, in topics of at most so many
+    articles; a topic's score takes the mean agreement, which needs no pairs, in either case. Hosts are no topic terms: the
+    ``stop_hosts`` most frequent ones are left out as literals, all others by a join.
     """
     spark = corpus.sparkSession
-    once = dedup.keep_first(corpus.where("text is not null"), ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
+    usable = corpus.where("text is not null")
+    if usable.limit(LEAST_ROWS).count() < LEAST_ROWS:
+        raise ValueError(f"a batch takes {LEAST_ROWS} rows with a text or more")
+    once = dedup.keep_first(usable, ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
     encoded = shared.stored(encode_once(once, "clustering_text", embed), "encoded")
-    kept = dedup.semantic_dedup(encoded, "ord", "text", dedup.cosine_edges(encoded, "ord", "embedding", threshold))
+    kept = shared.stored(dedup.semantic_dedup(encoded, "ord", "text", dedup.cosine_edges(encoded, "ord", "embedding", threshold)), "kept")
     clustered, _ = clusters.kmeans(kept, "embedding", k or adaptive_k(kept.count()))
-    located = shared.stored(clustered.withColumnRenamed("topic", "topic_id"), "topics")
+    located = shared.stored(enriched(clustered.withColumnRenamed("topic", "topic_id"), enrichment, embed), "topics")
     hosts = located.select(F.regexp_extract("url", "://(?:www[.])?([^/.]+)", 1).alias("d")).where("d <> ''").groupBy("d").count()
-    frequent = [r.d for r in hosts.orderBy(F.col("count").desc(), "d").limit(stop_hosts + 1).collect()]
-    stop = topics.stop_words(tuple(frequent[:stop_hosts]))
-    others = hosts.select(F.lower("d").alias("word")).where(F.length("word") > 2).distinct() if len(frequent) > stop_hosts else None
+    frequent = [r.d for r in hosts.orderBy(F.col("count").desc(), "d").limit(stop_hosts).collect()] if stop_hosts else []
+    stop = topics.stop_words(tuple(frequent))
+    others = hosts.select(F.lower("d").alias("word")).where((F.length("word") > 2) & ~F.col("d").isin(*frequent)).distinct()
     n_topics = (located.agg(F.max("topic_id")).first()[0] or 0) + 1
-    terms = topics.term_counts(located, "topic_id", "clustering_text", stop, more=others)
+    terms = topics.term_counts(located, "topic_id", "clustering_text", stop, more=None if others.isEmpty() else others)
     named = topics.labels(topics.top_terms(topics.class_tfidf(terms, "topic_id", n_topics), "topic_id"), "topic_id", stop=stop).withColumnRenamed("label", "topic_name")
     assigned = located.join(F.broadcast(named), "topic_id", "left").withColumn("topic_name", F.coalesce("topic_name", F.concat("topic_id", F.lit("_cluster "), "topic_id")))
-    summaries = shared.stored(topics.extractive_summaries(export.first_texts(assigned, "topic_id", "ord"), "topic_id", "text"), "summaries")
-    similar = clusters.similarities(assigned, "topic_id", "embedding", summaries.select("topic_id", embed(F.col("summary")).alias("centroid")))
-    size = F.count(F.lit(1)).over(Window.partitionBy("topic_id"))
-    small = assigned.withColumn("_n", size).where(F.col("_n") <= matrix_rows).select("topic_id", "ord", "embedding")
-    left, right = small.alias("l"), small.alias("r")
-    pairs = left.join(right, (F.col("l.topic_id") == F.col("r.topic_id")) & (F.col("l.ord") != F.col("r.ord"))).select(F.col("l.ord").alias("ord"), F.col("r.ord").alias("other"), vectors.cosine(F.col("l.embedding"), F.col("r.embedding")).alias("c"))
-    rows = pairs.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "c"))), lambda x: x["c"]).alias("coherence"))
-    agreed = clusters.pairwise_coherence(assigned, "topic_id", "embedding").select("topic_id", F.col("coherence").alias("mean_coherence"))
-    null = F.lit(None)
-    articles = similar.join(rows, "ord", "left").join(agreed, "topic_id").withColumns({c: null.cast(t) for c, t in (("sentiment", "string"), ("sentiment_value", "double"), ("sentiment_score", "double"), ("keyphrases", "string"), ("locations", "string"))})
+    first = shared.stored(export.first_texts(located, "topic_id", "ord"), "first-texts")
+    summaries = topics.extractive_summaries(first, "topic_id", "text")
+    if enrichment.summarise:
+        models = first.select("topic_id", enrichment.summarise(F.substring("text", 1, 3000)).alias("_said"))
+        summaries = summaries.join(models, "topic_id", "left").select("topic_id", F.coalesce(F.when(F.col("_said") != "", F.col("_said")), "summary").alias("summary"))
+    summaries = shared.stored(summaries, "summaries")
+    # a row a topic, at most n_topics of them: sent to all tasks
+    centres = shared.stored(summaries.select("topic_id", embed(F.col("summary")).alias("centroid")), "centres")
+    agreed = shared.stored(clusters.pairwise_coherence(located, "topic_id", "embedding").select("topic_id", "n", F.col("coherence").alias("mean_coherence")), "agreed")
+    articles = assigned.join(F.broadcast(centres), "topic_id").withColumn("similarity", vectors.cosine(F.col("embedding"), F.col("centroid"))).drop("centroid").join(F.broadcast(agreed.drop("n")), "topic_id")
+    shown = agreed if matrix_rows is None else agreed.where(F.col("n") <= matrix_rows)
+    pairs = dedup.cosine_pairs(located.join(F.broadcast(shown.select("topic_id")), "topic_id", "left_semi"), "topic_id", "ord", "embedding")
+    both = pairs.select(F.col("i").alias("ord"), F.col("j").alias("other"), "cosine").union(pairs.select("j", "i", "cosine"))
+    rows = both.groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "cosine"))), lambda x: x["cosine"]).alias("coherence"))
+    articles = articles.withColumn("coherence", F.lit(None).cast("array<double>")) if matrix_rows == 0 else articles.join(rows, "ord", "left")
     nodes = export.topic_nodes(articles, "topic_id", "ord", summaries, "mean_coherence")
     over_time = timebins.topics_over_time(assigned.withColumn("_when", timebins.parse_date(F.col("publish_date"))), "_when", "topic_id")
     document = tables.envelope(nodes, quality.quality_report(assigned), "batch", generated_at)
@@ -78,8 +121,11 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch over the documents with hashed words for vectors: the topics of its export, read again."""
-    found = tables.read_export(run_batch(documents_corpus(spark, sf_dir), hash_words(64)).document)
+    """A batch over the documents with hashed words for vectors: the topics of its export, read again.
+
+    The document is asked for without matrices of agreement, at every size; the score has the mean agreement.
+    """
+    found = tables.read_export(run_batch(documents_corpus(spark, sf_dir), hash_words(64), matrix_rows=0).document)
     return found.select("ord", "topic", F.size("articles").alias("n"), "formulaBreakdown.finalScore", "formulaBreakdown.nDomains", F.length("intelligenceSummary").alias("summary_chars"))
 
 

@@ -58,13 +58,8 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
         found = metrics.evaluate(own, ["method"], float(DEFAULT.flag_threshold)).withColumn("threshold", F.lit(DEFAULT.flag_threshold))
         found = found.unionByName(metrics.evaluate(rows.where("method not in ('corroboration', 'with_stance')"), ["method"]))
         if uncertain:
-            bounds = None
-            for method in sorted(r.method for r in rows.select("method").distinct().collect()):  # a row a method
-                sample = rows.where(F.col("method") == method)
-                part = resampling.bootstrap_interval(sample, "claim_id", samples).crossJoin(resampling.permutation_test(sample, "claim_id", samples)).withColumn("method", F.lit(method))
-                bounds = part if bounds is None else bounds.union(part)
-            if bounds is not None:
-                found = found.join(bounds, "method").withColumn("near_chance", scores.straddles_chance(F.col("auc_lo"), F.col("auc_hi")))
+            bounds = resampling.resampled(rows, "method", "claim_id", samples)
+            found = found.join(bounds, "method").withColumn("near_chance", scores.straddles_chance(F.col("auc_lo"), F.col("auc_hi")))
         return found.orderBy(F.col("roc_auc").desc(), F.col("f1").desc())
 
     variants = sweep.rate_variants(sweep.score_variants(evidence.where(F.col("split") == calibration), sweep.params_table(kept.sparkSession), "claim_id", "label"))
