@@ -103,6 +103,13 @@ def signed_sentiment(label: Column, score: Column) -> Column:
     return F.when(F.upper(label) == "POSITIVE", F.round(score, 4)).otherwise(-F.round(score, 4))
 
 
+def sentiment_shares(label: Column) -> dict[str, Column]:
+    """Whole percentages of positive, negative and neutral rows as aggregates; the neutral ones are what is left to 100."""
+    share = lambda kind: F.floor(100 * F.sum((label == kind).cast("int")) / F.count(F.lit(1)) + 0.5).cast("int")
+    positive, negative = share("POSITIVE"), share("NEGATIVE")
+    return {"positive": positive, "negative": negative, "neutral": 100 - positive - negative}
+
+
 def headline_only(articles: Column) -> Column:
     """Articles of an export that are known to lack a body."""
     return F.size(F.filter(articles, lambda a: a["bodyAvailable"] == F.lit(False)))

@@ -164,7 +164,7 @@ def sensational_share(title: Column | None, text: Column) -> Column:
 
 def is_topic_request(topic: Column) -> Column:
     """A topic that a job may be asked for: 2 to 60 word characters, blanks and plain punctuation."""
-    return F.coalesce(topic.rlike(r"^[\w .,'&()\-]{2,60}$"), F.lit(False))
+    return F.coalesce(topic.rlike(r"\A[\w .,'&()\-]{2,60}\z"), F.lit(False))
 
 
 def without_controls(text: Column) -> Column:

@@ -52,14 +52,17 @@ def encode_once(docs: DataFrame, text: str, embed: Embedder, vector: str = "embe
 def decoded(url: Column, decoder: Callable[[str], dict | None]) -> Column:
     """A URL by a decoder that answers {status, decoded_url}; the URL itself where it fails."""
 
-    @F.udf("string")
-    def decode(value: str | None) -> str | None:
+    def one(value: str | None) -> str | None:
         if value is None or "/articles/" not in value:
             return value
         told = decoder(value) or {}
         fine = str(told.get("status")).lower() in ("true", "success") and str(told.get("decoded_url") or "").startswith("http")
         return str(told["decoded_url"]) if fine else value
 
+    @F.arrow_udf("string")
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([one(v) for v in values.to_pylist()], pa.string())
+
     return decode(url)
 
 

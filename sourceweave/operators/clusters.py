@@ -20,6 +20,10 @@ from sourceweave.functions import scores, vectors
 from sourceweave.functions.scores import DEFAULT, ScoreParams
 
 
+# The score of a cluster without rows, and its parts.
+NEUTRAL = {"n": 0, "final_score": 50, "semantic_score": 50.0, "avg_similarity": 0.0, "source_factor": 1.0, "n_sources": 0, "coherence_factor": 0.85, "source_coherence": 0.5}
+
+
 def dimension(df: DataFrame, vector: str) -> int:
     """Length of the vectors; 0 for an empty table."""
     first = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("n")).take(1)
@@ -81,6 +85,17 @@ def score_clusters(df: DataFrame, key: str, vector: str, source: str, order: str
     return joined.select(key, "n", *[c.alias(name) for name, c in parts.items()])
 
 
+def with_empty_clusters(scored: DataFrame, expected: DataFrame, key: str, params: ScoreParams = DEFAULT) -> DataFrame:
+    """:func:`score_clusters` with a neutral row for each of ``expected`` (key) that has no rows.
+
+    A neutral row has n = 0, so it is told from evidence that came out at 50.
+    """
+    missing = expected.select(key).distinct().join(scored.select(key), key, "left_anti")
+    neutral = NEUTRAL | {"flagged": NEUTRAL["final_score"] < params.flag_threshold}
+    empty = missing.select(key, *[F.lit(neutral.get(c)).cast(t).alias(c) for c, t in scored.dtypes if c != key])
+    return scored.unionByName(empty)
+
+
 def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame, key: str) -> DataFrame:
     """``df`` with (nearest, distance): the closest of a few centres (key, centroid), ties to the smallest key.
 

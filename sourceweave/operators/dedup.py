@@ -23,6 +23,15 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def first_appearance(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, first, nth): each value once with the row it first appears in; nth counts them in that order, from 0.
+
+    One row a value is left before any are counted; their number is that of sources or topics.
+    """
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
+    return first.withColumn("nth", F.row_number().over(Window.orderBy("first")) - 1)
+
+
 def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(i, j, similarity) of the pairs i < j of one pair of blocks (columns id, v, b, p, q) whose cosine exceeds ``threshold``."""
     p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])

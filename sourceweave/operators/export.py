@@ -73,6 +73,15 @@ def topic_nodes(rows: DataFrame, key: str, order: str, summaries: DataFrame, coh
     )
 
 
+#: Topics that a page shows at first.
+SHOWN_TOPICS = 10
+
+
+def first_topics(topics: DataFrame, order: str = "ord", n: int = SHOWN_TOPICS) -> DataFrame:
+    """The first ``n`` topics of an export, what its page shows."""
+    return topics.orderBy(order).limit(n)
+
+
 def find_topic(topics: DataFrame, needle: str, name: str = "topic", order: str = "ord") -> DataFrame:
     """At most one row: the topic of that name in any case, else the first of which one contains the other."""
     wanted = needle.strip().lower()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceweave.plans import batch, clusters, evaluation, events, study, texts
+from sourceweave.plans import batch, clusters, evaluation, events, ingest, online, study, texts
 
-MODULES = (clusters, texts, evaluation, events, batch, study)
+MODULES = (clusters, texts, evaluation, events, ingest, online, batch, study)
 
 
 def queries() -> dict:

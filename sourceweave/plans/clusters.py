@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sourceweave import shared
 from sourceweave.functions import scores, vectors
-from sourceweave.operators import clusters, dedup, metrics, sweep
+from sourceweave.functions.scores import DEFAULT
+from sourceweave.operators import clusters, dedup, metrics, rivals, sweep
 from sourceweave.sources.tables import scan
 
 EDGE_THRESHOLD = 0.3
@@ -86,11 +87,11 @@ SELECT vec_id, label, nearest, round(distance, 6) AS distance FROM far WHERE k =
 
 
 def rival_cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source count and semantic fidelity of each cluster."""
-    rows = _rows(spark, sf_dir)
-    top = clusters.top_similar(clusters.similarities(rows, "label", "embedding"), "label", "vec_id", 3).groupBy("label").agg((30 + 70 * F.avg("similarity")).alias("s"))
-    sources = rows.groupBy("label").agg(F.least(F.lit(99), 45 + 10 * F.count_distinct("source")).cast("double").alias("source_count"))
-    return sources.join(top, "label").select("label", "source_count", F.round("s", 6).alias("semantic_only"))
+    """Source count and semantic fidelity of each cluster, from its sources and its largest similarities."""
+    scored = clusters.similarities(_rows(spark, sf_dir), "label", "embedding")
+    top = clusters.top_similar(scored, "label", "vec_id", DEFAULT.top_k).groupBy("label").agg(F.collect_list("similarity").alias("similarities"))
+    sources = scored.select("label", "source").distinct().groupBy("label").agg(F.collect_list(F.struct(F.col("source").alias("domain"))).alias("articles"))
+    return sources.join(top, "label").select("label", rivals.source_count(F.col("articles")).alias("source_count"), F.round(rivals.semantic_only(F.col("similarities")), 6).alias("semantic_only"))
 
 
 SQL_RIVALS = f"WITH {_CENTROIDS} SELECT label, CAST(least(99, 45 + 10 * count(DISTINCT source)) AS DOUBLE) AS source_count, round(30 + 70 * avg(similarity) FILTER (rank <= 3), 6) AS semantic_only FROM ranked GROUP BY label"
@@ -122,6 +123,17 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.semantic_dedup(rows, "vec_id", "text", dedup.cosine_edges(rows, "vec_id", "embedding", EDGE_THRESHOLD)).select("vec_id", "label")
 
 
+# pair after pair in order: what is gone is gone
+SQL_DEDUP = f"""
+WITH RECURSIVE e AS MATERIALIZED ({SQL_EDGES}), p AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY i, j) AS nth, i * 7919 % 101 < j * 7919 % 101 AS shorter FROM e),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT p.nth, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone WHEN shorter THEN list_append(gone, i) ELSE list_append(gone, j) END FROM fold f JOIN p ON p.nth = f.nth + 1)
+SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT unnest(arg_max(gone, nth)) FROM fold)
+"""
+
+
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector in the plane of the two strongest directions."""
     found = clusters.projection(_rows(spark, sf_dir), "embedding")
@@ -244,5 +256,5 @@ QUERIES = {
 }
 SQL = {
     "corroboration_by_label": SQL_CORROBORATION, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,
-    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
+    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "semantic_dedup": SQL_DEDUP, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
 }

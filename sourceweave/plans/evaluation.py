@@ -82,6 +82,23 @@ def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evaluate(long, ["method"])
 
 
+# the tail of t as a finite sum of powers of the cosine, odd or even by the degrees of freedom
+SQL_METHODS = f"""
+WITH {_SCORED},
+long AS (SELECT 'lexicon' AS method, score, label FROM scored UNION ALL SELECT 'length', least(100.0::DOUBLE, n_chars / 50.0::DOUBLE), label FROM scored JOIN documents USING (doc_id)),
+ranked AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2.0::DOUBLE AS midrank, rank() OVER (PARTITION BY method ORDER BY label) + (count(*) OVER (PARTITION BY method, label) - 1) / 2.0::DOUBLE AS label_rank FROM long),
+m AS (SELECT method, count(*) AS n, round(avg(score) FILTER (label = 1), 2) AS mean_true, round(avg(score) FILTER (label = 0), 2) AS mean_false, {_CORR.format('score', 'label')} AS r, {_CORR.format('midrank', 'label_rank')} AS rho, {_AUC} AS auc FROM ranked GROUP BY method),
+a AS (SELECT method, n - 2 AS df, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) AS angle FROM m),
+k AS (SELECT method, df, angle, unnest(range(1, CASE WHEN df > 1 THEN (df - df % 2) // 2 ELSE 1 END)) AS k FROM a),
+s AS (SELECT method, sum(power) AS powers FROM (SELECT method, exp(sum(ln(CASE WHEN df % 2 = 1 THEN 2.0::DOUBLE * k / (2 * k + 1) ELSE (2.0::DOUBLE * k - 1) / (2 * k) END * cos(angle) * cos(angle))) OVER (PARTITION BY method ORDER BY k)) AS power FROM k) GROUP BY method),
+t AS (SELECT method, 1 - CASE WHEN df % 2 = 0 THEN sin(angle) * (1 + coalesce(powers, 0)) ELSE 2 / pi() * (angle + sin(angle) * cos(angle) * (1 + coalesce(powers, 0))) END AS p FROM a LEFT JOIN s USING (method)),
+c AS (SELECT method, CAST(t AS INTEGER) AS threshold, {_COUNTED.format('t')} FROM long, range(5, 100) g(t) GROUP BY method, t), d AS (SELECT *, {_DECIDED} FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY f1 DESC, accuracy DESC, threshold) AS k FROM d)
+SELECT method, n, mean_true, mean_false, round(r, 4) AS pearson_r, round(rho, 4) AS spearman_rho, round(auc, 4) AS roc_auc, threshold, tp, fp, fn, tn, precision, recall, f1, accuracy, abs(round(p, 6)) AS pearson_p, round(mean_true - mean_false, 2) AS separation
+FROM m JOIN t USING (method) JOIN b USING (method) WHERE k = 1
+"""
+
+
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the AUC over all labelled documents."""
     return resampling.bootstrap_interval(scored(spark, sf_dir), "doc_id")
@@ -93,4 +110,4 @@ def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (midranks, roc_auc, pearson_spearman, classification_at_threshold, best_threshold, method_metrics, bootstrap_auc, permutation_p)}
-SQL = {"midranks": SQL_MIDRANKS, "roc_auc": SQL_AUC, "pearson_spearman": SQL_CORR, "classification_at_threshold": SQL_DECISION, "best_threshold": SQL_BEST}
+SQL = {"midranks": SQL_MIDRANKS, "roc_auc": SQL_AUC, "pearson_spearman": SQL_CORR, "classification_at_threshold": SQL_DECISION, "best_threshold": SQL_BEST, "method_metrics": SQL_METHODS}

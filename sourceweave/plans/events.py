@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave import shared
 from sourceweave.functions import scores, urls
-from sourceweave.operators import export, quality, timebins, topics
+from sourceweave.operators import dedup, export, quality, timebins, topics
 from sourceweave.sources import feeds, html, tables
 from sourceweave.streaming import model, update, windows
 
@@ -57,9 +59,9 @@ def sentiment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of positive, neutral and negative events of each type; an event's tone is its value less 50, in fiftieths."""
     events = _events(spark, sf_dir)
     label, _ = scores.sentiment(F.lit(None).cast("string"), (F.col("value") - 50) / 50, F.lit(None).cast("double"))
-    share = lambda kind: F.floor(100 * F.sum((F.col("label") == kind).cast("int")) / F.count(F.lit(1)) + 0.5).cast("int")
-    grouped = events.withColumn("label", label).groupBy("event_type").agg(share("POSITIVE").alias("positive"), share("NEGATIVE").alias("negative"), F.round(F.avg((F.col("value") - 50) / 50), 6).alias("mean"))
-    return grouped.select("event_type", "positive", "negative", (100 - F.col("positive") - F.col("negative")).alias("neutral"), scores.mean_sentiment_label(F.col("mean")).alias("tone"))
+    shares = [c.alias(k) for k, c in scores.sentiment_shares(F.col("label")).items()]
+    grouped = events.withColumn("label", label).groupBy("event_type").agg(*shares, F.round(F.avg((F.col("value") - 50) / 50), 6).alias("mean"))
+    return grouped.select("event_type", "positive", "negative", "neutral", scores.mean_sentiment_label(F.col("mean")).alias("tone"))
 
 
 SQL_SENTIMENT = """
@@ -77,32 +79,24 @@ def drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_DRIFT = "SELECT count(*) AS n, round(avg(value), 6) AS mean_recent, count(*) >= 20 AND avg(value) > 45 AS drifting FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 200)"
 
-NAMES = ("Rate Cut Summit", "Climate Deal", "Rate Cut", "Election", "AI Chips")
-NEEDLES = ("rate cut", "CLIMATE", "the election night", "nothing", "", "ai chips ")
+NEEDLES = ("topic src1", " TOPIC SRC12 ", "the topic src3 of today", "src", "nothing", "", "5")
 
 
 def topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The topic that each of some needles finds."""
-    names = spark.createDataFrame(list(enumerate(NAMES)), "ord int, topic string")
+    """The topic that each of some needles finds; topics are the documents' sources in order of appearance."""
+    seen = dedup.first_appearance(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "doc_id")
+    names = shared.stored(seen.select(F.col("nth").alias("ord"), F.concat(F.lit("Topic "), "source").alias("topic")), "names")
     found = [export.find_topic(names, n).select(F.lit(k).alias("needle"), "topic") for k, n in enumerate(NEEDLES)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return reduce(DataFrame.union, found)
 
 
 SQL_LOOKUP = f"""
-WITH t(ord, topic) AS (VALUES {', '.join(f"({k}, '{n}')" for k, n in enumerate(NAMES))}), q(needle, w) AS (VALUES {', '.join(f"({k}, '{n.strip().lower()}')" for k, n in enumerate(NEEDLES))}),
+WITH t AS (SELECT row_number() OVER (ORDER BY first) - 1 AS ord, 'Topic ' || source AS topic FROM (SELECT source, min(doc_id) AS first FROM documents GROUP BY source)), q(needle, w) AS (VALUES {', '.join(f"({k}, '{n.strip().lower()}')" for k, n in enumerate(NEEDLES))}),
 m AS (SELECT needle, topic, row_number() OVER (PARTITION BY needle ORDER BY CASE WHEN lower(topic) = w THEN 0 ELSE 1 END, ord) AS k FROM q, t WHERE w <> '' AND (contains(lower(topic), w) OR contains(w, lower(topic))))
 SELECT needle, topic FROM m WHERE k = 1
 """
 
 
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned text of each page."""
-    return html.extract_bodies(tables.scan(spark, sf_dir, "pages", "page_id", "url", "html"))
-
-
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each page."""
     return html.extract_links(tables.scan(spark, sf_dir, "pages", "page_id", "url", "html"), "^https?://")
@@ -116,35 +110,72 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 A
 """
 
 
+VERDICTS = ("False", " Mostly True ", "Mixture")
+
+
 def claim_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews found in pages to which one has been added."""
+    """Reviews found in pages to which data has been added: an object, a list, a graph, something else first, no review, or no JSON."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    review = F.to_json(F.struct(F.lit("ClaimReview").alias("@type"), F.concat(F.lit("Claim "), "page_id").alias("claimReviewed"), F.struct(F.lit("False").alias("alternateName")).alias("reviewRating"), F.lit("2024-05-06T07:08").alias("datePublished")))
-    return html.extract_reviews(pages.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), review, F.lit("</script>"))))
+    rating = F.element_at(F.array(*map(F.lit, VERDICTS)), (F.col("page_id") % len(VERDICTS) + 1).cast("int"))
+    node = F.to_json(
+        F.struct(
+            F.lit("ClaimReview").alias("@type"), F.concat(F.lit("<i>Claim</i>  &amp; "), "page_id").alias("claimReviewed"), F.struct(rating.alias("alternateName")).alias("reviewRating"),
+            F.lit("2024-05-06T07:08").alias("datePublished"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://f.org/"), "page_id")).alias("url"), F.when(F.col("page_id") % 4 == 0, F.struct(F.lit(" Ann ").alias("name"))).alias("author"),
+        )
+    )
+    other = F.lit('{"@type": "NewsArticle", "headline": "ClaimReview"}')
+    kind = F.col("page_id") % 6
+    told = F.when(kind == 0, node).when(kind == 1, F.concat(F.lit("["), other, F.lit(", 7, "), node, F.lit("]"))).when(kind == 2, F.concat(F.lit('{"@graph": ['), other, F.lit(","), node, F.lit("]}"))).when(kind == 3, other).when(kind == 4, F.lit("ClaimReview {"))
+    script = lambda c: F.concat(F.lit("<script type='application/ld+json'>"), c, F.lit("</script>"))
+    added = F.concat("html", script(F.coalesce(told, other)), F.when(kind == 5, script(node)).otherwise(""))
+    return html.extract_reviews(pages.withColumn("html", added))
+
 
+SQL_REVIEWS = f"""
+SELECT page_id, 'Claim & ' || page_id AS claim, trim([{', '.join(repr(v) for v in VERDICTS)}][page_id % {len(VERDICTS)} + 1]) AS rating, '2024-05-06' AS date, CASE WHEN page_id % 2 = 0 THEN 'https://f.org/' || page_id ELSE url END AS url,
+  CASE WHEN page_id % 4 = 0 THEN 'Ann' ELSE '' END AS author FROM pages WHERE page_id % 6 IN (0, 1, 2, 5)
+"""
 
-SQL_REVIEWS = "SELECT page_id, 'Claim ' || page_id AS claim, 'False' AS rating, '2024-05-06' AS date, url, '' AS author FROM pages"
+DATES = ("Fri, 01 Mar 2024 08:15:00 GMT", "2023-03-01", "2025-12-31T23:59:59", "5 May 2024", "Mon, 1 Jan 2024 00:00:00 +0200")
 
 
 def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of feeds made from the pages, one each."""
+    """Candidates of feeds made from the pages: three items each, of different dates, the second with more to say than its title."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    item = F.format_string('<item><title>Page %d - Reuters</title><link>%s</link><pubDate>%s</pubDate><description>&lt;b&gt;Page %d&lt;/b&gt; Reuters</description><source url="https://www.reuters.com">Reuters</source></item>', "page_id", F.replace("url", F.lit("&"), F.lit("&amp;")), F.when(F.col("page_id") % 5 > 0, "Fri, 01 Mar 2024 08:15:00 GMT").otherwise("2023-03-01"), "page_id")
-    found = feeds.parse_feed(pages.withColumn("xml", F.concat(F.lit("<rss>"), item, F.lit("</rss>"))), keep=("page_id",))
-    return found.drop("nth")
 
+    def item(k: int):
+        date = F.element_at(F.array(*map(F.lit, DATES)), ((F.col("page_id") + k) % len(DATES) + 1).cast("int"))
+        more = F.lit(" More to say &amp;amp; do") if k == 1 else F.lit("")
+        return F.concat(
+            F.lit("<item><title><![CDATA[Page "), "page_id", F.lit(f" part {k} - Reuters]]></title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>"), date, F.lit("</pubDate><description>&lt;b&gt;Page "), "page_id",
+            F.lit(f" part {k}&lt;/b&gt;"), more, F.lit(' Reuters</description><source url="https://www.reuters.com">Reuters</source></item>'),
+        )
+
+    return feeds.parse_feed(pages.withColumn("xml", F.concat(F.lit("<rss>"), item(0), item(1), item(2), F.lit("</rss>"))), keep=("page_id",))
 
-SQL_FEEDS = "SELECT page_id, 'Page ' || page_id || ' - Reuters' AS title, url, '2024-03-01' AS date, '' AS snippet, 'Reuters' AS publisher, 'https://www.reuters.com' AS publisher_url FROM pages WHERE page_id % 5 > 0"
+
+SQL_FEEDS = """
+WITH i AS (SELECT page_id, url, k, (page_id + k) % 5 AS d FROM pages, range(3) r(k))
+SELECT page_id, CAST(k AS INTEGER) AS nth, 'Page ' || page_id || ' part ' || k || ' - Reuters' AS title, url, ['2024-03-01', '', '2025-12-31', '2024-05-05', '2023-12-31'][d + 1] AS date,
+  CASE WHEN k = 1 THEN 'Page ' || page_id || ' part 1 More to say & do Reuters' ELSE '' END AS snippet, 'Reuters' AS publisher, 'https://www.reuters.com' AS publisher_url FROM i WHERE d NOT IN (1, 4)
+"""
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses inside redirects made from the pages."""
+    """Addresses inside redirects made from the pages; some carry none, some are cut, some are no redirects."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    inside = F.translate(F.base64(F.concat(F.lit("\x08\x13"), F.lit(" "), "url").cast("binary")), "+/=\r\n", "-_")
-    return pages.select("page_id", urls.decode_redirect(F.concat(F.lit("https://news.google.com/rss/articles/"), inside, F.lit("?oc=5"))).alias("url"))
+    coded = lambda c: F.translate(F.base64(c.cast("binary")), "+/=\r\n", "-_")
+    kind = F.col("page_id") % 5
+    inside = F.when(kind == 0, coded(F.concat(F.lit("\x08\x13\xa4"), F.lit(" "), "url"))).when(kind == 1, coded(F.concat(F.lit("no address "), "page_id"))).when(kind == 2, F.lit("!not base64!")).otherwise(coded(F.concat(F.lit("AU_y~"), "url", F.lit(" \x01"))))
+    link = F.when(kind == 4, F.concat(F.lit("https://news.google.com/topics/"), inside)).otherwise(F.concat(F.lit("https://news.google.com/rss/articles/"), inside, F.lit("?oc=5")))
+    return pages.select("page_id", urls.decode_redirect(link).alias("url"))
 
 
-SQL_REDIRECTS = "SELECT page_id, url FROM pages"
+SQL_REDIRECTS = r"""
+WITH p AS (SELECT page_id, page_id % 5 AS k, url FROM pages), c AS (SELECT *, replace(replace(replace(to_base64(encode(CASE WHEN k = 1 THEN 'no address ' || page_id ELSE 'AU_y~' || url || ' ' || chr(1) END)), '+', '-'), '/', '_'), '=', '') AS inside FROM p)
+SELECT page_id, CASE WHEN k IN (0, 3) THEN regexp_extract(url, '^[a-zA-Z0-9.\-_~:/?#\[\]@!$&''()*+,;=%]+') WHEN k = 1 THEN 'https://news.google.com/rss/articles/' || inside || '?oc=5' WHEN k = 2 THEN 'https://news.google.com/rss/articles/!not base64!?oc=5'
+  ELSE 'https://news.google.com/topics/' || inside END AS url FROM c
+"""
 
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,13 +205,19 @@ FROM t
 
 
 def stream_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics of the vectors, folded in by a stream of three files."""
+    """Topics of the vectors, folded in by a stream in three arrivals."""
+    return folded(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def folded(spark: SparkSession, sf_dir: str, arrivals: int = 3) -> DataFrame:
+    """The corpus that a stream leaves of the vectors; rows arrive by the remainder of their number, a batch an arrival."""
     rows = vector_rows(spark, sf_dir)
     path = shared.scratch_path(spark, "stream")
-    rows.repartitionByRange(3, "ord").write.parquet(f"{path}/in")
     updater = update.Updater(f"{path}/state")
-    updater.run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), f"{path}/checkpoint")
-    return updater.corpus(spark).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    for k in range(arrivals):
+        rows.where(F.col("ord") % arrivals == k).write.mode("append").parquet(f"{path}/in")
+        updater.run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/checkpoint")
+    return updater.corpus(spark)
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +230,7 @@ def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (topics_over_time, tumbling_counts, session_counts, sentiment_split, drift_status, topic_lookup, html_text, page_links, claim_reviews, feed_candidates, redirects, export_json, stream_update)
+    for f in (topics_over_time, tumbling_counts, session_counts, sentiment_split, drift_status, topic_lookup, page_links, claim_reviews, feed_candidates, redirects, export_json, stream_update)
 }
 SQL = {
     "topics_over_time": SQL_OVER_TIME, "tumbling_counts": SQL_TUMBLING, "session_counts": SQL_SESSIONS, "sentiment_split": SQL_SENTIMENT, "drift_status": SQL_DRIFT, "topic_lookup": SQL_LOOKUP,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions import fixed, text, urls
-from sourceweave.operators import claims, dedup, quality, topics
+from sourceweave.operators import claims, dedup, quality, rivals, topics
 from sourceweave.sources.tables import scan
 
 
@@ -46,12 +46,13 @@ def english_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.is_probably_english(F.col("text")).alias("english"))
 
 
-SQL_ENGLISH = f"""
-WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z'']+') AS tokens FROM documents)
-SELECT doc_id, CASE WHEN {_count('text', '[' + fixed.FOREIGN_LETTERS + ']')} > length(text) * 0.004 THEN false WHEN len(tokens) < 12 THEN true
-  ELSE len(list_filter(tokens, lambda x: list_contains([{_quoted(fixed.ENGLISH_MARKERS)}], lower(x)))) / len(tokens)::DOUBLE >= 0.04 END AS english
-FROM t
-"""
+def _english(column: str) -> str:
+    tokens = f"regexp_extract_all({column}, '[a-zA-Z'']+')"
+    hits = f"len(list_filter({tokens}, lambda x: list_contains([{_quoted(fixed.ENGLISH_MARKERS)}], lower(x))))"
+    return f"CASE WHEN {_count(column, '[' + fixed.FOREIGN_LETTERS + ']')} > length({column}) * 0.004 THEN false WHEN len({tokens}) < 12 THEN true ELSE {hits} / len({tokens})::DOUBLE >= 0.04 END"
+
+
+SQL_ENGLISH = f"SELECT doc_id, {_english('text')} AS english FROM documents"
 
 
 def informative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,6 +185,39 @@ def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "label", text.clean_topic_title(F.col("label")).alias("title"))
 
 
+def folded_labels(ranked: str, key: str, stop: str) -> str:
+    """SQL of topics.chosen_terms: CTEs that end in ``chosen`` (key, terms), from ``ranked`` (key, rank, term), term after term."""
+    stem = "CASE WHEN length(w) > 4 AND w[-1] = 's' AND w[-2] <> 's' THEN w[:-2] ELSE w END"
+    return rf"""
+offers AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY rank) AS nth, term, list_transform(string_split(term, ' '), lambda w: {stem}) AS stems FROM {ranked}
+  WHERE list_bool_and(list_transform(string_split(term, ' '), lambda w: length(w) > 1)) AND NOT list_bool_and(list_transform(string_split(term, ' '), lambda w: list_contains([{stop}], w)))),
+fold AS (
+  SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(term VARCHAR, stems VARCHAR[])[]) AS kept FROM {ranked}
+  UNION ALL
+  SELECT f.{key}, o.nth, CASE WHEN len(kept) >= 4 OR list_has_all(flatten(list_transform(kept, lambda k: k.stems)), o.stems) THEN kept
+    ELSE list_append(list_filter(kept, lambda k: len(k.stems) > 1 OR NOT list_has_any(k.stems, o.stems)), {{'term': o.term, 'stems': o.stems}}) END FROM fold f JOIN offers o ON o.{key} = f.{key} AND o.nth = f.nth + 1),
+chosen AS (SELECT {key}, arg_max(list_transform(kept, lambda k: k.term), nth) AS terms FROM fold GROUP BY {key})"""
+
+
+def title_sql(name: str) -> str:
+    """SQL of text.clean_topic_title of an expression without blanks at its ends."""
+    parts = f"list_filter(regexp_split_to_array(replace(regexp_replace({name}, '^-*[0-9]+_', ''), '_', ' '), ' +'), lambda w: w <> '')"
+    first = f"list_filter({parts}, lambda w, i: list_position(list_transform({parts}, lambda x: lower(x)), lower(w)) = i)"
+    shown = f"list_transform({first}, lambda w: CASE WHEN upper(w) = w AND lower(w) <> w THEN w ELSE upper(w[1]) || lower(w[2:]) END)"
+    return f"coalesce(nullif(array_to_string({shown}, ' '), ''), {name})"
+
+
+SQL_LABELS = rf"""
+WITH RECURSIVE {_TOKENS},
+spread AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+w AS (SELECT lang, c.term, tf * ln(1 + (SELECT sum(tf) / 4.0::DOUBLE FROM counts) / (df + 0.00001::DOUBLE)) AS weight FROM counts c JOIN spread USING (term)),
+ranked AS (SELECT * FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY round(weight, 9) DESC, encode(term)) AS rank FROM w) WHERE rank <= 12),
+{folded_labels('ranked', 'lang', _quoted(topics.stop_words()))},
+named AS (SELECT lang, lang || '_' || CASE WHEN len(terms) > 0 THEN array_to_string(terms, '_') ELSE 'cluster ' || lang END AS label FROM chosen)
+SELECT lang, label, {title_sql('label')} AS title FROM named
+"""
+
+
 def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sentences of each document."""
     return topics.extractive_summaries(_docs(spark, sf_dir), "doc_id", "text")
@@ -251,19 +285,18 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM r WHERE r
 
 
 def evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of each source's documents: toxic ones count as denials, from 300 characters on as read."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", (F.col("n_chars") >= 300).alias("body"))
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    weight = F.when(F.col("body"), 1.0).otherwise(0.5)
-    support = F.when(F.col("toxic") == 1, 0.0).otherwise(0.5)
-    cover = F.least(F.lit(1.0), F.count_distinct("lang") / 5)
-    score = 100 * F.sum(weight * support) / F.sum(weight) * (0.6 + 0.4 * cover)
-    return docs.join(toxic, "doc_id").groupBy("source").agg(F.round(score, 6).alias("score"))
+    """Verdict of each source's documents: toxic ones count as denials, unlabelled ones as neutral, from 300 characters on as read."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    article = F.struct((F.col("n_chars") >= 300).alias("body_available"), F.when(F.col("toxic") == 1, "debunk").otherwise("neutral").alias("stance"), F.col("lang").alias("domain"))
+    bundles = docs.join(toxic, "doc_id", "left").groupBy("source").agg(F.collect_list(article).alias("articles"))
+    return bundles.select("source", F.round(rivals.evidence_verdict(F.col("articles")), 6).alias("score"), F.round(rivals.stance_support(F.col("articles")), 6).alias("support"))
 
 
 SQL_VERDICT = """
-WITH r AS (SELECT source, lang, CASE WHEN n_chars >= 300 THEN 1.0::DOUBLE ELSE 0.5 END AS w, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 0.5 END AS s FROM documents JOIN labels USING (doc_id))
-SELECT source, round(100 * sum(w * s) / sum(w) * (0.6::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, count(DISTINCT lang) / 5.0::DOUBLE)), 6) AS score FROM r GROUP BY source
+WITH t AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+r AS (SELECT source, lang, CASE WHEN n_chars >= 300 THEN 1.0::DOUBLE ELSE 0.5 END AS w, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 0.5 END AS s FROM documents LEFT JOIN t USING (doc_id))
+SELECT source, round(100 * sum(w * s) / sum(w) * (0.6::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, count(DISTINCT lang) / 5.0::DOUBLE)), 6) AS score, round(avg(s), 6) AS support FROM r GROUP BY source
 """
 
 
@@ -284,16 +317,23 @@ LINKS = (
 )
 
 
+PUBLISHERS = ("https://www.wsj.com/", "https://news.google.com/x", "", "https://m.bbc.co.uk/news")
+
+
 def aggregator_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for a list of links with all kinds of hosts."""
-    links = spark.createDataFrame(list(enumerate(LINKS)), "n int, url string")
+    """The same for the pages' addresses and links with all kinds of hosts in turn, with the publisher behind each."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    rows = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(pick(LINKS)).alias("url"), pick(PUBLISHERS).alias("by"))
     u = F.col("url")
-    return links.select("n", urls.registrable_domain(u).alias("domain"), urls.is_aggregator(u).alias("aggregator"), urls.publisher_domain(u, F.lit("https://www.wsj.com/")).alias("publisher"), urls.safe_href(u).alias("href"))
+    return rows.select("page_id", urls.registrable_domain(u).alias("domain"), urls.is_aggregator(u).alias("aggregator"), urls.publisher_domain(u, F.col("by")).alias("publisher"), urls.safe_href(u).alias("href"))
 
 
 SQL_AGGREGATOR = rf"""
-WITH l(n, url) AS (VALUES {', '.join(f"({k}, '{u}')" for k, u in enumerate(LINKS))}), p AS (SELECT n, url, {_HOST} AS d FROM l)
-SELECT n, d AS domain, {_AGGREGATOR} AS aggregator, 'wsj.com' AS publisher, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE '#' END AS href FROM p
+WITH l AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE [{_quoted(LINKS)}][page_id % {len(LINKS)} + 1] END AS url, [{_quoted(PUBLISHERS)}][page_id % {len(PUBLISHERS)} + 1] AS given FROM pages),
+p AS (SELECT page_id, url, given, {_HOST} AS d FROM l), q AS (SELECT p.*, {_AGGREGATOR} AS aggregator FROM p)
+SELECT page_id, d AS domain, aggregator, CASE WHEN contains(given, 'wsj') THEN 'wsj.com' WHEN contains(given, 'bbc') THEN 'bbc.co.uk' WHEN d <> '' AND NOT aggregator THEN d ELSE '' END AS publisher,
+  CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE '#' END AS href FROM q
 """
 
 
@@ -329,17 +369,18 @@ u AS (SELECT *, sum((i % 5 < 3)::INT) OVER (PARTITION BY verdict ORDER BY item_i
 SELECT item_id, verdict, CASE WHEN i % 5 < 3 AND used <= round_even(n * 0.6::DOUBLE, 0) THEN 'calibration' ELSE 'evaluation' END AS split, printf('C%03d', row_number() OVER (ORDER BY verdict, item_id)) AS claim_id FROM u
 """
 
-TITLES = (
-    ("Rates rise again - Reuters", "Reuters", "8_election_primary_2026_midterm"), ("Rates rise - again", None, "-1_outliers"), ("A — The Guardian", "", "3_rate rates_Rate cut"), ("Plain", "X", "no number"),
-    ("Big deal | Daily Planet", "The Daily Planet", "4_NATO_nato_summit"), ("Two - parts - Bloomberg", None, "_"), ("", None, ""),
-)
+ENDINGS = (" - Reuters", " | Daily Planet", " - Nobody At All", "", " — The Guardian", " - X - Bloomberg")
+SAID = ("Reuters", "The Daily Planet", None, "", "Someone")
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines without publisher, topic titles, and the references of their reports."""
-    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(TITLES)], "n int, headline string, publisher string, name string")
+    """Headlines of the documents' first words and an outlet's name, without that; names of topics made of them as titles, and the references of their reports."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    words = _docs(spark, sf_dir).select("doc_id", F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 4).alias("w"))
+    named = F.array_join(F.concat("w", F.transform(F.slice("w", 1, 1), F.upper), F.array(F.lit("NATO"))), "_")
+    rows = words.select("doc_id", F.concat(F.array_join("w", " "), pick(ENDINGS)).alias("headline"), pick(SAID).alias("publisher"), F.concat(F.lit("-"), F.col("doc_id") % 20, F.lit("_"), named).alias("name"))
     title = text.clean_topic_title(F.col("name"))
-    return rows.select("n", text.strip_publisher_suffix(F.col("headline"), F.col("publisher")).alias("headline"), title.alias("title"), text.report_reference(title).alias("reference"), text.escape_html(F.concat("headline", F.lit("<'\"&>"))).alias("escaped"))
+    return rows.select("doc_id", text.strip_publisher_suffix(F.col("headline"), F.col("publisher")).alias("headline"), title.alias("title"), text.report_reference(title).alias("reference"), text.escape_html(F.concat("headline", F.lit("<'\"&>"))).alias("escaped"))
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,14 +392,15 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEADS = ("In August 2026, ", "According to the office, ", "A video circulating online shows ", "Senator Smith said that ", "", "“Reportedly ")
 
-# what each headline and name must become; reference and escaping are worked out
-SQL_TITLES = """
-WITH t(n, headline, title, given) AS (VALUES
-  (0, 'Rates rise again', 'Election Primary 2026 Midterm', 'Rates rise again - Reuters'), (1, 'Rates rise - again', 'Outliers', 'Rates rise - again'), (2, 'A', 'Rate Rates Cut', 'A — The Guardian'), (3, 'Plain', 'No Number', 'Plain'),
-  (4, 'Big deal', 'NATO Summit', 'Big deal | Daily Planet'), (5, 'Two - parts', '_', 'Two - parts - Bloomberg'), (6, '', '', ''))
-SELECT CAST(n AS INTEGER) AS n, headline, title, 'REF-' || lpad(CAST(coalesce(list_sum(list_transform(string_split(title, ''), lambda x: ascii(x))), 0) % 100000 AS VARCHAR), 5, '0') || '-' || upper(substr(title, 1, 3)) AS reference,
-  replace(replace(replace(replace(replace(given || '<''"&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped
-FROM t
+SQL_TITLES = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:4] AS w FROM documents),
+r AS (SELECT doc_id, array_to_string(w, ' ') || [{_quoted(ENDINGS)}][doc_id % {len(ENDINGS)} + 1] AS headline, lower(coalesce([{", ".join("NULL" if x is None else repr(x) for x in SAID)}][doc_id % {len(SAID)} + 1], '')) AS said,
+  '-' || doc_id % 20 || '_' || array_to_string(list_concat(w, list_concat(list_transform(w[1:1], lambda x: upper(x)), ['NATO'])), '_') AS name FROM w),
+p AS (SELECT *, trim(headline) AS t, lower(regexp_extract(trim(headline), '{fixed.SUFFIX_PATTERN}', 1)) AS suffix, {title_sql('name')} AS title FROM r)
+SELECT doc_id, CASE WHEN suffix <> '' AND ((said <> '' AND (contains(said, suffix) OR contains(suffix, said))) OR list_contains([{_quoted(fixed.KNOWN_OUTLETS)}], suffix)) THEN trim(regexp_replace(t, '{fixed.SUFFIX_PATTERN}', '')) ELSE t END AS headline, title,
+  'REF-' || lpad(CAST(list_sum(list_transform(string_split(title, ''), lambda x: ascii(x))) % 100000 AS VARCHAR), 5, '0') || '-' || upper(substr(title, 1, 3)) AS reference,
+  replace(replace(replace(replace(replace(headline || '<''"&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped
+FROM p
 """
 
 _SAID = fixed.QUERY_ATTRIBUTION
@@ -382,6 +424,6 @@ QUERIES = {
 }
 SQL = {
     "looks_like_text": SQL_LOOKS, "english_guard": SQL_ENGLISH, "informative_sentences": SQL_INFORMATIVE, "clean_text": SQL_CLEAN, "stance_and_topic": SQL_STANCE, "sensational_score": SQL_SENSATIONAL,
-    "title_dedup": SQL_TITLE_DEDUP, "seen_anti_join": SQL_SEEN, "class_term_counts": SQL_TERMS, "ctfidf_top_terms": SQL_CTFIDF, "tfidf_overlap": SQL_OVERLAP, "claim_source_similarity": SQL_CLAIMS,
+    "title_dedup": SQL_TITLE_DEDUP, "seen_anti_join": SQL_SEEN, "class_term_counts": SQL_TERMS, "ctfidf_top_terms": SQL_CTFIDF, "topic_labels": SQL_LABELS, "tfidf_overlap": SQL_OVERLAP, "claim_source_similarity": SQL_CLAIMS,
     "extractive_summaries": SQL_SUMMARIES, "titles": SQL_TITLES, "search_queries": SQL_SEARCH, "evidence_verdict": SQL_VERDICT, "registrable_domain": SQL_DOMAIN, "aggregator_flag": SQL_AGGREGATOR, "quality_report": SQL_QUALITY, "verdicts": SQL_VERDICTS,
 }

@@ -47,8 +47,8 @@ def parse_feed(feeds: DataFrame, xml: str = "xml", keep: tuple[str, ...] = (), t
 
 def first_tier(candidates: DataFrame, topic: str = "topic", tier: str = "tier") -> DataFrame:
     """The rows of each topic's first tier that has any."""
-    first = F.min(tier).over(Window.partitionBy(topic))
-    return candidates.withColumn("_first", first).where(F.col(tier) == F.col("_first")).drop("_first")
+    first = candidates.groupBy(topic).agg(F.min(tier).alias(tier))
+    return candidates.join(first, [topic, tier], "left_semi")
 
 
 def search_hits(rows: DataFrame, limit: int, order: str, body: str = "body") -> DataFrame:

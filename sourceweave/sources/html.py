@@ -16,6 +16,7 @@ from sourceweave.operators.quality import MIN_BODY
 
 # Elements that hold no article text.
 SKIPPED = ("script", "style", "nav", "footer", "header", "form", "iframe", "ads", "aside", "noscript")
+MAIN = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Fixed value: the scripts that carry data about a page.
 LD_JSON = r"""(?is)<script\b[^>]*?\btype\s*=\s*["']?\s*application/ld\+json\s*["']?[^>]*>(.*?)</script>"""
@@ -33,6 +34,8 @@ class _Reader(HTMLParser):
         self.in_anchor = False
         self.scripts: list[str] = []
         self.skip: list[str] = []
+        self.main = 0
+        self.main_lines: list[str] = [""]
         self.data = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -46,8 +49,11 @@ class _Reader(HTMLParser):
             self.scripts.append("")
         if tag in SKIPPED and tag not in VOID:
             self.skip.append(tag)
+        if tag in MAIN:
+            self.main += 1
         if tag in BLOCKS:
             self.lines.append("")
+            self.main_lines.append("")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.skip:
@@ -59,6 +65,9 @@ class _Reader(HTMLParser):
             self.in_anchor = False
         if tag in BLOCKS:
             self.lines.append("")
+            self.main_lines.append("")
+        if tag in MAIN:
+            self.main = max(0, self.main - 1)
 
     def handle_data(self, data: str) -> None:
         if self.data:
@@ -68,6 +77,8 @@ class _Reader(HTMLParser):
                 self.anchors[-1] += data
             if not self.skip:
                 self.lines[-1] += data
+                if self.main:
+                    self.main_lines[-1] += data
 
 
 def read(html: str | None) -> _Reader:
@@ -78,9 +89,19 @@ def read(html: str | None) -> _Reader:
     return reader
 
 
+def _joined(lines: list[str]) -> str:
+    return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+
+
 def page_text(html: str | None) -> str:
     """Lines of text of a page."""
-    return "\n".join(x for x in (" ".join(line.split()) for line in read(html).lines) if x)
+    return _joined(read(html).lines)
+
+
+def page_texts(html: str | None) -> tuple[str, str]:
+    """Lines of text of a page's article, '' where it marks none, and of the whole page."""
+    page = read(html)
+    return _joined(page.main_lines), _joined(page.lines)
 
 
 def article_links(html: str | None, pattern: str, base: str) -> list[str]:
@@ -106,16 +127,19 @@ def _mapped(pages: DataFrame, columns: list[str], function, schema: str) -> Data
 def extract_bodies(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, body, body_available): the cleaned text of each page.
 
-    Consent pages, short texts and what isn't text have no body: ''.
+    The text of the article elements is taken where it is long enough and looks like text, else that of the whole page without
+    what holds no article text. A consent page has no body: ''. A short body, or one that isn't text, stays but isn't available.
     """
 
     def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), pa.array([page_text(h.as_py()) for h in batch.column("html")], pa.string())], names=[key, "url", "raw"])
-
-    read_pages = _mapped(pages, [key, "url", "html"], texts, f"{key} bigint, url string, raw string")
-    body = text.clean_text(F.col("raw"))
-    fit = (F.length(body) >= MIN_BODY) & text.looks_like_text(body) & ~text.is_consent_text(F.col("raw")) & ~text.is_consent_url(F.col("url"))
-    return read_pages.select(key, "url", F.when(fit, body).otherwise("").alias("body"), fit.alias("body_available"))
+        found = [page_texts(h.as_py()) for h in batch.column("html")]
+        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), *[pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]], names=[key, "url", "main", "raw"])
+
+    read_pages = _mapped(pages, [key, "url", "html"], texts, f"{key} bigint, url string, main string, raw string")
+    fit = lambda c: (F.length(c) >= MIN_BODY) & text.looks_like_text(c)
+    chosen = F.when(fit(F.col("main")) & ~text.is_consent_text(F.col("main")), F.col("main")).otherwise(F.col("raw"))
+    cleaned = read_pages.select(key, "url", (text.is_consent_text(chosen) | text.is_consent_url(F.col("url"))).alias("_wall"), text.clean_text(chosen).alias("_body"))
+    return cleaned.select(key, "url", F.when(F.col("_wall"), "").otherwise(F.col("_body")).alias("body"), (fit(F.col("_body")) & ~F.col("_wall")).alias("body_available"))
 
 
 def extract_links(pages: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:

@@ -41,13 +41,13 @@ def scan(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def read_csv(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """A table with a header, quoted line breaks and doubled quotes."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append or overwrite; control characters are taken out of strings."""
     clean = df.withColumns({c: text.without_controls(F.col(c)) for c, kind in df.dtypes if kind == "string"}) if any(k == "string" for _, k in df.dtypes) else df
-    clean.write.mode(mode).option("escape", '"').csv(path, header=True)
+    clean.write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def resume(topics: DataFrame, done: DataFrame, topic: str = "topic_source") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -113,24 +114,36 @@ def drift(model: TopicModel) -> tuple[float | None, float, bool]:
 
 
 def best_assignment(similarity: list[list[float]]) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the largest total similarity, each row and column once: exact, over subsets of columns."""
+    """Pairs (row, column) of the largest total similarity, each row and column once: exact, in cubic time.
+
+    Row after row is taken in along the cheapest augmenting path; prices of rows and columns keep all costs at zero or more.
+    """
     rows, columns = len(similarity), len(similarity[0]) if similarity else 0
     if rows > columns:
         turned = best_assignment([[similarity[i][j] for i in range(rows)] for j in range(columns)])
         return sorted((i, j) for j, i in turned)
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for row in similarity:
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (value, chosen) in best.items():
-            for j in range(columns):
-                if not used >> j & 1:
-                    offer = (value + row[j], (*chosen, j))
-                    key = used | 1 << j
-                    if key not in step or offer[0] > step[key][0]:
-                        step[key] = offer
-        best = step
-    chosen = max(best.values(), key=lambda v: v[0])[1] if best else ()
-    return list(enumerate(chosen))
+    cost = -np.array(similarity, dtype=float).reshape(rows, columns)
+    of_row, of_column, owner = np.zeros(rows), np.zeros(columns), np.full(columns, -1)
+    for start in range(rows):
+        reach, came, closed = cost[start] - of_row[start] - of_column, np.full(columns, -1), np.zeros(columns, dtype=bool)
+        while True:
+            last = int(np.argmin(np.where(closed, np.inf, reach)))
+            closed[last] = True
+            if owner[last] < 0:
+                break
+            onward = reach[last] + cost[owner[last]] - of_row[owner[last]] - of_column
+            nearer = ~closed & (onward < reach)
+            reach[nearer], came[nearer] = onward[nearer], last
+        seen = np.flatnonzero(closed)
+        slack = reach[last] - reach[seen]
+        of_column[seen] -= slack
+        of_row[start] += reach[last]
+        held = owner[seen] >= 0
+        of_row[owner[seen][held]] += slack[held]
+        while came[last] >= 0:
+            owner[last], last = owner[came[last]], int(came[last])
+        owner[last] = start
+    return sorted((int(i), j) for j, i in enumerate(owner) if i >= 0)
 
 
 def _cosine(a: list[float], b: list[float]) -> float:
