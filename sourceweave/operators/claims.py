@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions import fixed, text
+from sourceweave.shared import lookup, numbered
 
 
 def verdict_of(rating: Column) -> Column:
@@ -25,16 +26,20 @@ def collect_claims(reviews: DataFrame, per_verdict: int, order: str) -> DataFram
 
 
 def stratified_split(rows: DataFrame, stratum: str, by: list[str], share: float = 0.6) -> DataFrame:
-    """``rows`` with ``split``: in each stratum three of five rows in order are for calibration, up to its share."""
-    order = Window.partitionBy(stratum).orderBy(*by)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    placed = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": n})
-    open_ = (F.col("_i") % 5 < 3).cast("int")
-    used = F.sum(open_).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    """``rows`` with ``split``: in each stratum three of five rows in order are for calibration, up to its share.
+
+    A row's place in its stratum is its place in all less that of the stratum's first row, so a stratum may be of any size. Of
+    the first i + 1 rows of a stratum 3 (i div 5) + min(i mod 5 + 1, 3) are the ones that may be taken.
+    """
+    placed = numbered(rows, [stratum, *by], "_at")
+    sizes = placed.groupBy(stratum).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    placed = lookup(placed.where(F.col(stratum).isNotNull()), [stratum], sizes, F.col("_at")).withColumn("_i", F.col("_at") - F.col("_first"))
+    used = 3 * F.floor(F.col("_i") / 5) + F.least(F.col("_i") % 5 + 1, F.lit(3))
     # half goes to the even number, as in the rounding of the language the rule comes from
-    return placed.withColumn("split", F.when((open_ == 1) & (used <= F.bround(F.col("_n") * share)), "calibration").otherwise("evaluation")).drop("_i", "_n")
+    taken = (F.col("_i") % 5 < 3) & (used <= F.bround(F.col("_n") * share))
+    return placed.withColumn("split", F.when(taken, "calibration").otherwise("evaluation")).drop("_at", "_first", "_i", "_n")
 
 
 def number_claims(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with ``claim_id``: C001 and so on in order. A study's few hundred claims."""
-    return rows.withColumn("claim_id", F.format_string("C%03d", F.row_number().over(Window.orderBy(*by))))
+    """``rows`` with ``claim_id``: C001 and so on in order."""
+    return numbered(rows, by, "_at").withColumn("claim_id", F.format_string("C%03d", F.col("_at") + 1)).drop("_at")

@@ -1,8 +1,8 @@
 """Evidence and scores of clusters of vectors, without a pair join.
 
 The mean cosine over all pairs of a cluster follows from the length of the sum of its unit vectors:
-(|sum u|^2 - sum |u|^2) / (n (n - 1)). Sums are plain aggregates, a column a dimension, combined before the shuffle, so a
-cluster of any size costs one row a task.
+(|sum u|^2 - sum |u|^2) / (n (n - 1)). Sums are aggregates, combined before the shuffle, so a cluster of any size costs one
+row a task.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions import scores, vectors
 from sourceweave.functions.scores import DEFAULT, ScoreParams
+from sourceweave.shared import stored
 
 
+#: Centres that a row is held against by an expression.
+MOST_CENTRES = 1000
 # The score of a cluster without rows, and its parts.
 NEUTRAL = {"n": 0, "final_score": 50, "semantic_score": 50.0, "avg_similarity": 0.0, "source_factor": 1.0, "n_sources": 0, "coherence_factor": 0.85, "source_coherence": 0.5}
 
@@ -30,16 +34,20 @@ def dimension(df: DataFrame, vector: str) -> int:
     return first[0].n if first else 0
 
 
-def vector_sums(df: DataFrame, keys: list[str], vector: Column, size: int, *others: Column) -> DataFrame:
-    """``vsum``: the sum of vectors for each key, next to ``others``."""
-    parts = [F.sum(F.get("_v", F.lit(i))).alias(f"_s{i}") for i in range(size)]
-    summed = df.withColumn("_v", vectors.doubles(vector)).groupBy(*keys).agg(*others, *parts)
-    return summed.withColumn("vsum", F.array(*[F.col(f"_s{i}") for i in range(size)]) if size else F.array().cast("array<double>")).drop(*[f"_s{i}" for i in range(size)])
+def vector_sums(df: DataFrame, keys: list[str], vectors_: dict[str, Column], *others: Column) -> DataFrame:
+    """A sum of vectors under each name, next to ``others``, for each key; rows without a vector are left out.
+
+    One buffer a vector and task, whatever the vectors' width, combined before the shuffle.
+    """
+    ready = df.withColumns({f"_{n}": vectors.doubles(v) for n, v in vectors_.items()}).where(" and ".join(f"_{n} is not null" for n in vectors_))
+    ready = ready.withColumns({f"_{n}": array_to_vector(F.col(f"_{n}")) for n in vectors_})
+    summed = ready.groupBy(*keys).agg(*others, *[Summarizer.sum(F.col(f"_{n}")).alias(n) for n in vectors_])
+    return summed.withColumns({n: vector_to_array(F.col(n)) for n in vectors_})
 
 
 def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, centroid, n): the mean vector of each cluster."""
-    summed = vector_sums(df, [key], F.col(vector), dimension(df, vector), F.count(F.lit(1)).alias("n"))
+    summed = vector_sums(df, [key], {"vsum": F.col(vector)}, F.count(F.lit(1)).alias("n"))
     return summed.select(key, F.transform("vsum", lambda x: x / F.col("n")).alias("centroid"), "n")
 
 
@@ -52,14 +60,17 @@ def similarities(df: DataFrame, key: str, vector: str, summaries: DataFrame | No
     return df.join(sums, key).withColumn("similarity", vectors.cosine(F.col(vector), F.col("centroid"))).drop("centroid")
 
 
-def pairwise_coherence(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, n, coherence): mean cosine over the pairs of each cluster, null for a single row."""
-    size = dimension(df, vector)
-    unit = vectors.unit(F.col(vector))
+def _coherence(vector: str) -> tuple[Column, Column, Column]:
+    """What the mean cosine over pairs takes: the unit vectors, an aggregate of how many aren't zero, and the mean from both."""
     squares = F.sum(F.when(vectors.norm(F.col(vector)) > 0, 1.0).otherwise(0.0)).alias("squares")
-    summed = vector_sums(df, [key], unit, size, F.count(F.lit(1)).alias("n"), squares)
     pairs = F.col("n") * (F.col("n") - 1)
-    return summed.select(key, "n", F.when(pairs > 0, (vectors.dot(F.col("vsum"), F.col("vsum")) - F.col("squares")) / pairs).alias("coherence"))
+    return vectors.unit(F.col(vector)), squares, F.when(pairs > 0, (vectors.dot(F.col("usum"), F.col("usum")) - F.col("squares")) / pairs)
+
+
+def pairwise_coherence(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, n, coherence): mean cosine over the pairs of each cluster, null for a single row."""
+    unit, squares, mean = _coherence(vector)
+    return vector_sums(df, [key], {"usum": unit}, F.count(F.lit(1)).alias("n"), squares).select(key, "n", mean.alias("coherence"))
 
 
 def top_similar(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
@@ -71,16 +82,21 @@ def top_similar(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
 def score_clusters(df: DataFrame, key: str, vector: str, source: str, order: str, params: ScoreParams = DEFAULT, summaries: DataFrame | None = None) -> DataFrame:
     """The corroboration score of each cluster of rows (key, vector, source, order).
 
-    Three aggregates a cluster: the mean of its top similarities (window group limit before the shuffle), its number of
-    non-empty sources, and its coherence. Rows without a vector are left out; '' and null are no source.
+    One aggregate gives a cluster's mean vector and its coherence; it is written, a row a cluster, so that the rows meet it as its
+    size allows. The top similarities are cut before the shuffle (window group limit); sources are counted from two columns.
+    Rows without a vector are left out; '' and null are no source.
     """
     rows = df.where(F.col(vector).isNotNull())
-    scored = similarities(rows, key, vector, summaries)
+    unit, squares, mean = _coherence(vector)
+    sums = vector_sums(rows, [key], {"vsum": F.col(vector), "usum": unit}, F.count(F.lit(1)).alias("n"), squares)
+    facts = stored(sums.select(key, "n", mean.alias("coherence"), F.transform("vsum", lambda x: x / F.col("n")).alias("centroid")), "clusters")
+    centres = facts.select(key, "centroid") if summaries is None else summaries
+    scored = similarities(rows.select(key, order, vector), key, vector, centres)
     kept = top_similar(scored, key, order, params.top_k) if params.top_k else scored
     top = kept.groupBy(key).agg(F.avg("similarity").alias("avg_similarity"))
-    sources = rows.groupBy(key).agg(F.count_distinct(F.when(F.col(source) != "", F.col(source))).cast("int").alias("n_sources"))
-    coherence = pairwise_coherence(rows, key, vector)
-    joined = coherence.join(top, key).join(sources, key)
+    named = rows.select(key, F.when(F.col(source) != "", F.col(source)).alias("_source"))
+    sources = named.groupBy(key).agg(F.count_distinct("_source").cast("int").alias("n_sources"))
+    joined = facts.select(key, "n", "coherence").join(top, key).join(sources, key)
     parts = scores.score_columns(F.col("avg_similarity"), F.col("n_sources"), F.col("coherence"), params.columns())
     return joined.select(key, "n", *[c.alias(name) for name, c in parts.items()])
 
@@ -99,9 +115,12 @@ def with_empty_clusters(scored: DataFrame, expected: DataFrame, key: str, params
 def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame, key: str) -> DataFrame:
     """``df`` with (nearest, distance): the closest of a few centres (key, centroid), ties to the smallest key.
 
-    The centres travel as one array literal, so rows are not shuffled; their number is that of topics, ten or so.
+    The centres travel as one array literal, so rows are not shuffled; their number is that of topics, ten or so, MOST_CENTRES at most.
     """
-    rows = sorted((r for r in centres.select(key, "centroid").collect()), key=lambda r: r[0])
+    found = centres.select(key, "centroid").limit(MOST_CENTRES + 1).collect()
+    if len(found) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres: they are sent as a literal")
+    rows = sorted(found, key=lambda r: r[0])
     at = F.array(*[F.struct(vectors.distance(F.col(vector), F.array(*map(F.lit, r[1]))).alias("distance"), F.lit(r[0]).alias("nearest")) for r in rows])
     best = F.array_min(at)
     return df.withColumn("_best", best).withColumns({"nearest": F.col("_best.nearest"), "distance": F.col("_best.distance")}).drop("_best")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.shared import components, lookup, stored
+from sourceweave.shared import components, lookup, numbered, stored
 
 #: Vectors in one block of the pair comparison.
 BLOCK = 1024
@@ -24,12 +24,9 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def first_appearance(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, first, nth): each value once with the row it first appears in; nth counts them in that order, from 0.
-
-    One row a value is left before any are counted; their number is that of sources or topics.
-    """
+    """(key, first, nth): each value once with the row it first appears in; nth counts them in that order, from 0."""
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("first"))
-    return first.withColumn("nth", F.row_number().over(Window.orderBy("first")) - 1)
+    return numbered(first, ["first"], "nth").select(key, "first", F.col("nth").cast("int").alias("nth"))
 
 
 def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Cells into which the rows of one key are dealt by :func:`lookup`.
@@ -59,6 +59,19 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return write_scratch(df, name, compression)[0]
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row in the order of ``by``, from 0, as column ``name``; equals are ordered by chance.
+
+    Rows are dealt into ranges and written, so that a range keeps its rows; a row's place is the number of rows in the ranges
+    before its own, one figure a range, and its place in its own range. No task has more than a range.
+    """
+    dealt = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
+    return dealt.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def lookup(rows: DataFrame, key: list[str], table: DataFrame, spread: Column) -> DataFrame:
     """Left join of ``rows`` to ``table`` (one row a key, no null key) that no hot key can hold up.
 

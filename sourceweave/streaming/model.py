@@ -56,7 +56,7 @@ def _located(docs: DataFrame, centroids: list[list[float]], vector: str) -> Data
 def _moved(docs: DataFrame, centroids: list[list[float]], weights: list[float], vector: str) -> tuple[list[list[float]], list[float]]:
     """Centroids and weights after a batch: each is the mean of all rows it has taken. k rows reach the driver."""
     located = _located(docs, centroids, vector)
-    sums = clusters.vector_sums(located, ["raw"], F.col("_unit"), len(centroids[0]), F.count(F.lit(1)).alias("n")).collect()
+    sums = clusters.vector_sums(located, ["raw"], {"vsum": F.col("_unit")}, F.count(F.lit(1)).alias("n")).collect()
     centroids, weights = [list(c) for c in centroids], list(weights)
     for r in sums:
         total = weights[r.raw] + r.n

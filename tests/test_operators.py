@@ -340,3 +340,61 @@ def test_reports(spark):
     rows = spark.createDataFrame([(json.dumps([{"topic": "<b>", "articles": [{"title": "t&", "url": "javascript:x", "snippet": "s" * 300, "source": "a"}]}]),)], "json string")
     page = export.report_html(tables.read_export(rows)).first()
     assert "&lt;b&gt;" in page.html and 'href="#"' in page.html and "s" * 197 + "..." in page.html and "s" * 198 not in page.html and "not scored" in page.html
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    """Mid-ranks and the AUC don't depend on the ranges; a null group is a group; ties and repeats count."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([round(rng.random(), 1), rng.random()]), rng.randint(0, 1)) for i in range(400)]
+    table = spark.createDataFrame(rows, "g string, i int, score double, label int")
+    want = {}
+    for g, _, s, y in rows:
+        own = [(t, z) for h, _, t, z in rows if h == g]
+        won = [(t < s) + (t == s) / 2 for t, z in own if z == 0] if y else []
+        want.setdefault(g, []).extend(won)
+    for ranges in (1, 3, 64):
+        monkeypatch.setattr(metrics, "RANGES", ranges)
+        found = {r.g: r.roc_auc for r in metrics.roc_auc(table, ["g"]).collect()}
+        assert found == {g: pytest.approx(sum(w) / len(w)) for g, w in want.items()}
+        ranks = {r.score: r.midrank for r in metrics.score_ranks(table.where("g = 'a'"), ["g"]).collect()}
+        own = sorted(s for g, _, s, _ in rows if g == "a")
+        assert ranks == {s: own.index(s) + (own.count(s) + 1) / 2 for s in own}
+
+
+def test_numbers_over_all_rows(spark):
+    from sourceweave.shared import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    assert all(r.k == r.at for r in numbered(rows, ["k"], "at").collect())
+    assert numbered(rows.limit(0), ["k"], "at").count() == 0
+    claims_ = claims.number_claims(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "verdict string, i int"), ["verdict", "i"])
+    assert sorted((r.claim_id, r.verdict, r.i) for r in claims_.collect()) == [("C001", "a", 1), ("C002", "a", 2), ("C003", "b", 1)]
+
+
+def test_empty_clusters_are_neutral(spark):
+    rows = spark.createDataFrame([(i, 0, [1.0, float(i)], f"s{i}") for i in range(4)], "id int, label int, v array<double>, source string")
+    scored = clusters.score_clusters(rows, "label", "v", "source", "id")
+    found = {r.label: r for r in clusters.with_empty_clusters(scored, spark.createDataFrame([(0,), (7,)], "label int"), "label").collect()}
+    assert (found[7].n, found[7].final_score, found[7].semantic_score, found[7].coherence_factor, found[7].source_factor, found[7].flagged) == (0, 50, 50.0, 0.85, 1.0, True)
+    assert found[0].n == 4 and found[0].n_sources == 4
+
+
+def test_unseen_with_a_key_of_half_of_all_rows(spark):
+    rows = [(i, "same" if i % 2 else f"u{i}", f"t{i}") for i in range(3000)]
+    schema = "ord bigint, url string, title string"
+    found = dedup.unseen(spark.createDataFrame(rows, schema), spark.createDataFrame([(0, "u4", "x")], schema), ("url", "title"), "ord")
+    assert sorted(r.ord for r in found.collect()) == [i for i in range(3000) if i % 2 == 0 and i != 4 or i == 1]
+
+
+def test_groups_are_resampled_at_once(spark):
+    rng = random.Random(6)
+    rows = [(m, i, rng.random(), i % 2) for m in ("a", "b") for i in range(20)] + [("one", i, 1.0, 1) for i in range(6)]
+    table = spark.createDataFrame(rows, "method string, i int, score double, label int")
+    found = {r.method: r for r in resampling.resampled(table, "method", "i", 60).collect()}
+    for m in ("a", "b"):
+        alone = table.where(F.col("method") == m)
+        low, p = resampling.bootstrap_interval(alone, "i", 60).first(), resampling.permutation_test(alone, "i", 60).first()
+        assert (found[m].auc_lo, found[m].auc_hi, found[m].auc_p) == (low.auc_lo, low.auc_hi, p.auc_p)
+    assert (found["one"].auc_lo, found["one"].auc_p) == (None, None)
+    plain = random.Random(3)
+    assert resampling.bootstrap_draws(23, 40, 3).tolist() == [[plain.randrange(23) for _ in range(23)] for _ in range(40)]
