@@ -127,7 +127,10 @@ def nearest_centroid(df: DataFrame, vector: str, centres: DataFrame, key: str) -
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(``df`` with topic, (topic, centroid)): k-means on the vectors as they are, distributed over the rows."""
+    """(``df`` with topic, (topic, centroid)): k-means on the vectors as they are, distributed over the rows. One topic has all rows."""
+    if k == 1:
+        whole = df.withColumn("topic", F.lit(0))
+        return whole, centroids(whole, "topic", vector).drop("n")
     ready = df.withColumn("_features", array_to_vector(vectors.doubles(F.col(vector))))
     fitted = KMeans(featuresCol="_features", predictionCol="topic", k=k, seed=seed, maxIter=50).fit(ready)
     centres = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(fitted.clusterCenters())], "topic int, centroid array<double>")

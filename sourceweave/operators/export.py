@@ -41,7 +41,7 @@ def first_texts(rows: DataFrame, key: str, order: str, n: int = 4) -> DataFrame:
 def listed(column: Column) -> Column:
     """Trimmed, distinct, sorted items of comma-joined strings in an aggregate."""
     items = F.flatten(F.transform(F.collect_set(column), lambda s: F.split(s, ",")))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def topic_nodes(rows: DataFrame, key: str, order: str, summaries: DataFrame, coherence: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import fixed, scores, text, vectors
 from sourceweave.functions.scores import DEFAULT, ScoreParams
+from sourceweave.operators import topics
 
 
 def _sources(articles: Column) -> Column:
@@ -88,6 +89,18 @@ def reputation(bundles: DataFrame, profiles: DataFrame, key: str = "claim_id") -
     return bundles.select(key).join(found, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def all_methods(bundles: DataFrame, profiles: DataFrame, params: ScoreParams = DEFAULT, key: str = "claim_id") -> DataFrame:
+    """(key, method, score) in long form for the score and all seven rivals: those of :func:`score_bundles`, reputation by
+    ``profiles`` (as in :func:`reputation`), the lexicon, and the TF-IDF overlap of a summary and its articles' texts.
+    """
+    texts = bundles.select(key, F.posexplode("articles").alias("_at", "_a")).select(key, F.col("_at").cast("bigint").alias("_at"), F.col("_a.text").alias("text"))
+    overlap = topics.tfidf_overlap(bundles.select(key, "summary"), texts, key, "_at")
+    lexicon = bundles.select(key, sensational_lexicon(F.col("articles")).alias("score"))
+    more = {"reputation": reputation(bundles, profiles, key), "sensational_lexicon": lexicon, "tfidf_overlap": overlap}
+    long = [score_bundles(bundles, params, key), *[table.select(key, F.lit(m).alias("method"), F.round("score", 2).alias("score")) for m, table in more.items()]]
+    return reduce(DataFrame.union, long)
+
+
 def score_bundles(bundles: DataFrame, params: ScoreParams = DEFAULT, key: str = "claim_id") -> DataFrame:
     """(key, method, score) in long form for the score and the rivals that need nothing but the bundle."""
     own = scores.score_arrays(F.col("similarities"), F.transform("articles", lambda a: a["domain"]), vectors.upper_triangle(F.col("pairwise")), params.columns(), stance_support(F.col("articles")))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave import shared
-from sourceweave.functions import scores, text, vectors
+from sourceweave.functions import fixed, scores, text, vectors
 from sourceweave.hooks import Embedder, encode_once, hash_words
 from sourceweave.operators import clusters, dedup, export, quality, timebins, topics
+from sourceweave.plans.texts import _quoted
 from sourceweave.sources import tables
 from sourceweave.streaming.model import adaptive_k
 
@@ -129,5 +130,44 @@ def batch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", "topic", F.size("articles").alias("n"), "formulaBreakdown.finalScore", "formulaBreakdown.nDomains", F.length("intelligenceSummary").alias("summary_chars"))
 
 
-QUERIES = {"batch_export": batch_export}
-SQL: dict[str, str] = {}
+def _letters(text_: Column) -> Column:
+    """A vector that SQL can make as well: how often each of four letters occurs."""
+    return F.array(*[text.count_of(F.lower(F.coalesce(text_, F.lit(""))), c).cast("double") for c in "aeio"])
+
+
+def enriched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what a caller's models say of their beginnings: a tone by length, capitalised words as places."""
+    docs = documents_corpus(spark, sf_dir)
+    tone = lambda c: F.struct(F.when(F.length(c) % 2 == 0, "POSITIVE").otherwise("NEGATIVE").alias("label"), (F.length(c) / 1024).alias("score"))
+    places = lambda c: F.regexp_extract_all(c, F.lit("[A-Z][a-z]{3,}"), F.lit(0))
+    found = enriched(docs, Enrichment(tone, places), _letters)
+    return found.select("ord", "sentiment", "sentiment_score", "sentiment_value", F.md5(F.col("locations").cast("binary")).alias("locations"), F.col("keyphrases").isNull().alias("no_phrases"))
+
+
+SQL_ENRICHED = """
+WITH s AS (SELECT doc_id AS ord, substr(text, 1, 512) AS t FROM documents), l AS (SELECT *, regexp_extract_all(t, '[A-Z][a-z]{3,}') AS w, CAST(floor(length(t) / 1024.0::DOUBLE * 10000 + 0.5) AS DOUBLE) / 10000 AS v FROM s)
+SELECT ord, CASE WHEN length(t) % 2 = 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment, v AS sentiment_score, CASE WHEN length(t) % 2 = 0 THEN v ELSE -v END AS sentiment_value,
+  md5(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ', ')) AS locations, true AS no_phrases FROM l
+"""
+
+
+def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three phrases of each document's beginning that are nearest to its vector."""
+    docs = tables.scan(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.substring("text", 1, 60).alias("text"))
+    found = topics.keyphrases(docs.withColumn("v", _letters(F.col("text"))), "doc_id", "text", "v", _letters, 3)
+    return found.select("doc_id", F.array_join("phrases", "|").alias("phrases"))
+
+
+SQL_PHRASES = rf"""
+WITH d AS (SELECT doc_id, lower(substr(text, 1, 60)) AS t FROM documents),
+k AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\pL\pN\pM_]+'), lambda w: length(w) > 1 AND NOT list_contains([{_quoted(fixed.ENGLISH_STOP_WORDS)}], w)) AS w FROM d),
+p AS (SELECT DISTINCT doc_id, t, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase FROM k),
+v AS (SELECT doc_id, phrase, list_transform(['a', 'e', 'i', 'o'], lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE)) AS a, list_transform(['a', 'e', 'i', 'o'], lambda c: CAST(length(phrase) - length(replace(phrase, c, '')) AS DOUBLE)) AS b FROM p),
+s AS (SELECT doc_id, phrase, round(coalesce(list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0), 0), 9) AS near FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, encode(phrase)) AS k FROM s)
+SELECT doc_id, string_agg(phrase, '|' ORDER BY k) AS phrases FROM r WHERE k <= 3 GROUP BY doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (batch_export, enriched_rows, keyphrases)}
+SQL = {"enriched_rows": SQL_ENRICHED, "keyphrases": SQL_PHRASES}

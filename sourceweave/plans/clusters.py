@@ -50,6 +50,21 @@ FROM raw
 """
 
 
+def scores_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every even cluster of twelve that are expected, neutral where there are no rows."""
+    rows = _rows(spark, sf_dir).where("label % 2 = 0")
+    scored = clusters.score_clusters(rows, "label", "embedding", "source", "vec_id")
+    found = clusters.with_empty_clusters(scored, spark.range(12).select(F.col("id").cast("int").alias("label")), "label")
+    return found.select("label", "n", "n_sources", "final_score", "flagged", *[F.round(c, 6).alias(c) for c in ("semantic_score", "avg_similarity", "source_factor", "coherence_factor", "source_coherence")])
+
+
+SQL_EMPTY = f"""
+WITH s AS ({SQL_CORROBORATION})
+SELECT label, n, n_sources, final_score, flagged, semantic_score, avg_similarity, source_factor, coherence_factor, source_coherence FROM s WHERE label % 2 = 0
+UNION ALL SELECT CAST(k AS INTEGER), 0, 0, 50, true, 50.0, 0.0, 1.0, 0.85, 0.5 FROM range(12) r(k) WHERE k % 2 = 1 OR k NOT IN (SELECT label FROM embeddings)
+"""
+
+
 def topk_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three members nearest to each cluster's summary."""
     top = clusters.top_similar(clusters.similarities(_rows(spark, sf_dir), "label", "embedding"), "label", "vec_id", 3)
@@ -252,9 +267,9 @@ SELECT split, round((sum(mr) FILTER (label = 1) - sum(label) * (sum(label) + 1)
 
 QUERIES = {
     f.__name__: f
-    for f in (corroboration_by_label, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, projection, param_sweep, best_variant, parameter_transfer, split_auc)
+    for f in (corroboration_by_label, scores_with_empty, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, projection, param_sweep, best_variant, parameter_transfer, split_auc)
 }
 SQL = {
-    "corroboration_by_label": SQL_CORROBORATION, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,
+    "corroboration_by_label": SQL_CORROBORATION, "scores_with_empty": SQL_EMPTY, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,
     "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "semantic_dedup": SQL_DEDUP, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
 }

@@ -29,18 +29,14 @@ class Study:
     transfer: DataFrame
 
 
-def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: str = "evaluation", samples: int = 2000, sensational: bool = False) -> Study:
-    """All methods over ``bundles`` (columns as in tables.BUNDLE), the score at its flag threshold and the rivals at their best ones.
-
-    sensational: include the lexicon, for bundles that have their articles' text. A stance factor that does better on the
-    calibration split than none is reported as one more method, never applied.
-    """
+def score_methods(bundles: DataFrame, calibration: str = "calibration", sensational: bool = False) -> tuple[DataFrame, DataFrame, float | None]:
+    """(claim_id, method, score, label, split) of all methods, the evidence, and the stance factor that is reported as one more method."""
     kept = shared.stored(bundles, "bundles")
-    facts = kept.select("claim_id", "split", (F.col("verdict") == "TRUE").cast("int").alias("label"))
+    label = (F.col("verdict") == "TRUE").cast("int").alias("label")
     evidence = shared.stored(
         kept.select(
-            "claim_id", "split", (F.col("verdict") == "TRUE").cast("int").alias("label"), "similarities", F.transform("articles", lambda a: a["domain"]).alias("sources"),
-            vectors.upper_triangle(F.col("pairwise")).alias("upper"), rivals.stance_support(F.col("articles")).alias("support"),
+            "claim_id", "split", label, "similarities", F.transform("articles", lambda a: a["domain"]).alias("sources"), vectors.upper_triangle(F.col("pairwise")).alias("upper"),
+            rivals.stance_support(F.col("articles")).alias("support"),
         ),
         "evidence",
     )
@@ -51,22 +47,32 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
     if stance is not None:
         one = sweep.params_table(kept.sparkSession, {"stance": [DEFAULT.with_values(stance_base=stance)]})
         long = long.union(sweep.score_variants(evidence, one, "claim_id").select("claim_id", F.lit("with_stance"), F.col("final_score").cast("double")))
-    table = shared.stored(long.join(facts, "claim_id"), "scores")
-
-    def rated(rows: DataFrame, uncertain: bool) -> DataFrame:
-        own = rows.where("method in ('corroboration', 'with_stance')")
-        found = metrics.evaluate(own, ["method"], float(DEFAULT.flag_threshold)).withColumn("threshold", F.lit(DEFAULT.flag_threshold))
-        found = found.unionByName(metrics.evaluate(rows.where("method not in ('corroboration', 'with_stance')"), ["method"]))
-        if uncertain:
-            bounds = resampling.resampled(rows, "method", "claim_id", samples)
-            found = found.join(bounds, "method").withColumn("near_chance", scores.straddles_chance(F.col("auc_lo"), F.col("auc_hi")))
-        return found.orderBy(F.col("roc_auc").desc(), F.col("f1").desc())
-
-    variants = sweep.rate_variants(sweep.score_variants(evidence.where(F.col("split") == calibration), sweep.params_table(kept.sparkSession), "claim_id", "label"))
+    return shared.stored(long.join(evidence.select("claim_id", "split", "label"), "claim_id"), "scores"), evidence, stance
+
+
+def rate_methods(scored: DataFrame, samples: int | None = None) -> DataFrame:
+    """The metrics of each method, best first: the score at its flag threshold, rivals at their best one; with the uncertainty of ``samples`` draws."""
+    own = F.col("method").isin("corroboration", "with_stance")
+    found = metrics.evaluate(scored.where(own), ["method"], float(DEFAULT.flag_threshold)).withColumn("threshold", F.lit(DEFAULT.flag_threshold))
+    found = found.unionByName(metrics.evaluate(scored.where(~own), ["method"]))
+    if samples:
+        bounds = resampling.resampled(scored, "method", "claim_id", samples)
+        found = found.join(bounds, "method").withColumn("near_chance", scores.straddles_chance(F.col("auc_lo"), F.col("auc_hi")))
+    return found.orderBy(F.col("roc_auc").desc(), F.col("f1").desc())
+
+
+def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: str = "evaluation", samples: int = 2000, sensational: bool = False) -> Study:
+    """All methods over ``bundles`` (columns as in tables.BUNDLE), the score at its flag threshold and the rivals at their best ones.
+
+    sensational: include the lexicon, for bundles that have their articles' text. A stance factor that does better on the
+    calibration split than none is reported as one more method, never applied.
+    """
+    table, evidence, stance = score_methods(bundles, calibration, sensational)
+    variants = sweep.rate_variants(sweep.score_variants(evidence.where(F.col("split") == calibration), sweep.params_table(evidence.sparkSession), "claim_id", "label"))
     variants = shared.stored(variants, "variants")
     best = sweep.best_variants(variants)
     return Study(
-        table, rated(table, True), rated(table.where(F.col("split") == held_out), False), metrics.roc_auc(table, ["method", "split"]), facts.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")),
+        table, rate_methods(table, samples), rate_methods(table.where(F.col("split") == held_out)), metrics.roc_auc(table, ["method", "split"]), evidence.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")),
         stance, variants, best, sweep.transfer(evidence, sweep.tuned(best)),
     )
 
@@ -101,7 +107,7 @@ def vector_bundles(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame
 
 def study_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all methods over bundles of vectors, best first."""
-    return run_study(vector_bundles(spark, sf_dir)).pooled
+    return rate_methods(score_methods(vector_bundles(spark, sf_dir))[0], 2000)
 
 
 def bundle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -177,12 +178,17 @@ def save(model: TopicModel, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> TopicModel | None:
-    """The state at ``path``, None if there is no whole one: the caller then starts anew."""
+    """The state at ``path``, None if there is no whole one or it can't be read: the caller then starts anew."""
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
     if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         return None
-    m = spark.read.parquet(f"{path}/meta").first()
-    return TopicModel([list(c) for c in m.centroids], list(m.weights), spark.read.parquet(f"{path}/counts"), tuple(m.stop), dict(m.alias), m.baseline, list(m.recent), m.version)
+    try:
+        m, counts = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/counts")
+    except PySparkException:
+        return None
+    if m is None or set(counts.columns) != {"topic", "term", "tf"}:
+        return None
+    return TopicModel([list(c) for c in m.centroids], list(m.weights), counts, tuple(m.stop), dict(m.alias), m.baseline, list(m.recent), m.version)
 
 
 def drift_of(distances: DataFrame, order: str, baseline: float) -> DataFrame:

@@ -52,3 +52,30 @@ def test_rare_hosts_are_no_terms(spark):
     hosts = spark.createDataFrame([("site5",), ("site6",)], "word string")
     by_join, by_list = (topics.term_counts(docs, "k", "t", **how).orderBy("k", "term").collect() for how in ({"more": hosts}, {"stop": ("site5", "site6")}))
     assert by_join == by_list and ("alpha beta" in {r.term for r in by_join})
+
+
+def test_enrichment(spark):
+    """What the caller's models say reaches the export: sentiment, places, key phrases and summaries."""
+    how = batch.Enrichment(
+        sentiment=lambda c: F.struct(F.when(c.contains("storm"), "NEGATIVE").otherwise("POSITIVE").alias("label"), F.lit(0.91).alias("score")),
+        places=lambda c: F.when(c.contains("coast"), F.array(F.lit("Coast"), F.lit("North"), F.lit("Coast"))).otherwise(F.array().cast("array<string>")),
+        summarise=lambda c: F.when(c.contains("football"), "A model's summary."), phrases=2,
+    )
+    found = batch.run_batch(corpus(spark, 30), hooks.hash_words(64), threshold=0.999, enrichment=how)
+    rows = found.corpus.collect()
+    assert {(r.sentiment, r.sentiment_value) for r in rows if "storm" in r.text} == {("NEGATIVE", -0.91)} and {r.locations for r in rows if "coast" in r.text} == {"Coast, North"}
+    assert all(1 <= len(r.keyphrases.split(", ")) <= 2 for r in rows)
+    nodes = tables.read_export(found.document).collect()
+    assert any(n.intelligenceSummary == "A model's summary." for n in nodes) and any(n.locations == ["Coast", "North"] for n in nodes)
+    assert {a.sentiment for n in nodes for a in n.articles} == {"POSITIVE", "NEGATIVE"} and all("OSINT" not in n.keywords for n in nodes)
+
+
+def test_a_batch_of_too_few_rows(spark):
+    with pytest.raises(ValueError, match="6 rows"):
+        batch.run_batch(corpus(spark, 30).limit(5), hooks.hash_words(16))
+
+
+def test_every_topic_has_its_matrix(spark):
+    """No size of a topic changes what the document holds unless the caller names one."""
+    found = tables.read_export(batch.run_batch(corpus(spark, 240), hooks.hash_words(64), threshold=0.9999, k=1).document).first()
+    assert len(found.articles) > 200 and all(len(a.coherenceScores) == len(found.articles) - 1 for a in found.articles)

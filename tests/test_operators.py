@@ -398,3 +398,11 @@ def test_groups_are_resampled_at_once(spark):
     assert (found["one"].auc_lo, found["one"].auc_p) == (None, None)
     plain = random.Random(3)
     assert resampling.bootstrap_draws(23, 40, 3).tolist() == [[plain.randrange(23) for _ in range(23)] for _ in range(40)]
+
+
+def test_all_rivals(spark):
+    profiles = spark.createDataFrame([("a", True, True, False, False, True, False, True, False)], "domain string, reachable boolean, about boolean, corrections boolean, staff boolean, contact boolean, has_bylines boolean, labels_ads boolean, labels_opinion boolean")
+    found = {(r.claim_id, r.method): r.score for r in rivals.all_methods(bundles(spark), profiles).collect()}
+    methods = {"corroboration", "source_count", "semantic_only", "claim_substantiation", "evidence_verdict", "reputation", "sensational_lexicon", "tfidf_overlap"}
+    assert set(found) == {(c, m) for c in "AB" for m in methods}
+    assert found["A", "reputation"] == 32.5 and found["B", "sensational_lexicon"] == 0 == found["B", "tfidf_overlap"]

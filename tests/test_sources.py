@@ -122,3 +122,12 @@ def test_fetching(spark, tmp_path):
     path = f"file://{tmp_path}/cache"
     first = {r.url: r.html for r in hooks.through_cache(urls, path, lambda u: u * 2).collect()}
     assert first == {"a": "aa", "b": "bb"} == {r.url: r.html for r in hooks.through_cache(urls, path, lambda u: "new").collect()}
+
+
+def test_main_text(spark):
+    """The article element is taken where it is long enough, the page where it isn't; a short body stays but isn't available."""
+    long = "<p>" + "The committee agreed on the rate. " * 20 + "</p>"
+    pages = [(0, f"<div>Teaser</div><article>{long}</article>"), (1, f"<article><p>Short</p></article>{long}"), (2, "<p>Only this</p>"), (3, f"<main>{long}<aside>skip</aside></main><p>after</p>")]
+    found = {r.page_id: r for r in html.extract_bodies(spark.createDataFrame([(i, "https://a.com", h) for i, h in pages], "page_id bigint, url string, html string")).collect()}
+    assert "Teaser" not in found[0].body and found[1].body.startswith("Short The committee") and (found[2].body, found[2].body_available) == ("Only this", False)
+    assert "after" not in found[3].body and "skip" not in found[3].body and found[3].body_available

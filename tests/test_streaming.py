@@ -99,3 +99,23 @@ def test_query_folds_the_whole_table(spark, tmp_path):
             kept += 1
     assert kept == 2160
     assert events.stream_update(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == kept
+
+
+def test_a_damaged_state_is_none(spark, tmp_path):
+    start = model.cold_start(rows(spark, 0, 40), "embedding", "text", k=4)
+    path = f"file://{tmp_path}/state"
+    model.save(start, path)
+    assert model.load(spark, path).k == 4
+    for part in (tmp_path / "state" / "meta").glob("*.parquet"):
+        part.write_bytes(b"no table")
+    for crc in (tmp_path / "state" / "meta").glob(".*.crc"):
+        crc.unlink()
+    assert model.load(spark, path) is None and model.load(spark, f"file://{tmp_path}/nowhere") is None
+
+
+def test_assignment_of_many_topics():
+    rng = random.Random(1)
+    order = list(range(60))
+    rng.shuffle(order)
+    s = [[rng.random() / 2 + (order[i] == j) for j in range(60)] for i in range(60)]
+    assert model.best_assignment(s) == list(enumerate(order))
