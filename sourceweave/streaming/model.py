@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -184,7 +185,7 @@ def load(spark: SparkSession, path: str) -> TopicModel | None:
         return None
     try:
         m, counts = spark.read.parquet(f"{path}/meta").first(), spark.read.parquet(f"{path}/counts")
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return None
     if m is None or set(counts.columns) != {"topic", "term", "tf"}:
         return None

@@ -77,5 +77,5 @@ def test_a_batch_of_too_few_rows(spark):
 
 def test_every_topic_has_its_matrix(spark):
     """No size of a topic changes what the document holds unless the caller names one."""
-    found = tables.read_export(batch.run_batch(corpus(spark, 240), hooks.hash_words(64), threshold=0.9999, k=1).document).first()
+    found = tables.read_export(batch.run_batch(corpus(spark, 260), hooks.hash_words(4096), threshold=0.99999, k=1).document).first()
     assert len(found.articles) > 200 and all(len(a.coherenceScores) == len(found.articles) - 1 for a in found.articles)
