@@ -405,4 +405,4 @@ def test_all_rivals(spark):
     found = {(r.claim_id, r.method): r.score for r in rivals.all_methods(bundles(spark), profiles).collect()}
     methods = {"corroboration", "source_count", "semantic_only", "claim_substantiation", "evidence_verdict", "reputation", "sensational_lexicon", "tfidf_overlap"}
     assert set(found) == {(c, m) for c in "AB" for m in methods}
-    assert found["A", "reputation"] == 32.5 and found["B", "sensational_lexicon"] == 0 == found["B", "tfidf_overlap"]
+    assert found["A", "reputation"] == (22 + 18 + 10 + 7.5 + 7.5 + 5) / 2 and found["B", "sensational_lexicon"] == 0 == found["B", "tfidf_overlap"]
