@@ -204,8 +204,9 @@ def parse(turns: DataFrame) -> DataFrame:
 
     Roles are only read of training transcripts, to learn the model; unknown and null ones are not learnt from.
     Null and empty texts are units without content. Rows of a conversation are ordered by turn, null turns first,
-    rows that repeat a turn by their place in the scan; null conv_ids make one transcript. An empty table gives an
-    empty result; other columns are not read.
+    rows that repeat a turn by their place in the scan; null conv_ids make one transcript. A very long text is cut into
+    units like any other, and a transcript of any length is read part by part. An empty table gives an empty result;
+    other columns are not read.
     """
     spark = turns.sparkSession
     contents, dealt = units(turns)

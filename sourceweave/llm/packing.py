@@ -210,8 +210,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of ``docs``.
 
-    A document is its token ids and END_ID, so null and empty texts make a piece of one token. Rows that repeat are
-    packed each by itself. Sequences hold at most ``capacity`` tokens without gaps. An empty table gives an empty
+    A document is its token ids and END_ID, so null and empty texts make a piece of one token; a very long text makes as
+    many pieces as it needs. Null identifiers stay null; rows that repeat are packed each by itself. Sequences hold at most ``capacity`` tokens without gaps. An empty table gives an empty
     result; columns beyond doc_id and text are not read.
     """
     spark = docs.sparkSession

@@ -167,7 +167,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_row
 
     score is the probability of label 1, predicted is 1 from 0.5 on. Null and empty texts are scored by their
     statistics, which are all zero. Without labelled rows every score is 0.5. A null doc_id is never held out and
-    never labelled. Rows that repeat get the same score; columns beyond doc_id and text are not read.
+    never labelled. Rows that repeat get the same score; a very long text is measured whole, its words a stretch at a
+    time; an empty table gives an empty result; columns beyond doc_id and text are not read, whatever their names.
     """
     measured = measure(docs)
     sent = docs.sparkSession.sparkContext.broadcast(fit(measured, labels, label, fit_rows))

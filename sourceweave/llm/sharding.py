@@ -20,7 +20,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The law is `bytes`: a row belongs to the shard whose stretch of the byte line its middle lies in, so that no shard
     is further from its target than the largest row. size is the UTF-8 length plus one (null: none), slots
     count from 0 in doc_id order. Null doc_ids come first; rows of one doc_id are ordered by size and crc, and rows
-    alike in all of these are interchangeable. An empty table gives an empty result; columns beyond doc_id and text
+    alike in all of these are interchangeable; a text longer than a shard's share has the shard of its middle byte. An empty table gives an empty result; columns beyond doc_id and text
     are not read. grown_shard is null: it belongs to another law.
     """
     spark = docs.sparkSession

@@ -161,8 +161,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links of two or fewer differing bits reach, the row itself included.
     Null, empty and blank texts have fingerprint zero and link like others; rows that repeat share a component; null
-    identifiers count as larger than all others (a component of these alone has a null identifier); an empty table
-    gives an empty result; columns beyond doc_id and text are not read.
+    identifiers count as larger than all others (a component of these alone has a null identifier); a very long text
+    is shingled whole, a stretch at a time; an empty table gives an empty result; columns beyond doc_id and text are not read.
     """
     rows = fingerprints(docs)
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
@@ -176,8 +176,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest doc_id stays.
 
-    Rows that repeat (doc_id, text) count once; if one doc_id has several texts in a component, the text with the
-    smallest hash stays. All columns are kept.
+    Rows that repeat (doc_id, text) count once, the one whose other columns are least as JSON; if one doc_id has several
+    texts in a component, the text with the smallest hash stays. Null and empty texts are near duplicates of each other.
+    All columns are kept; an empty table gives an empty one.
     """
     found = near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fp").agg(F.min("text_hash").alias("text_hash"))

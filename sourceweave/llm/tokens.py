@@ -169,7 +169,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``: whole texts, no special tokens added.
 
     Special strings inside a text are one token each, as the library's default has it. Null texts count as empty:
-    no bytes, no tokens. Rows that repeat are counted each by itself; other columns are not read.
+    no bytes, no tokens. Null identifiers stay null; rows that repeat are counted each by itself; a very long text is
+    counted whole, a stretch at a time; an empty table gives an empty result; other columns are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
