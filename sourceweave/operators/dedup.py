@@ -6,11 +6,15 @@ settled in DataFrame rounds; pairs by similarity decompose over their connected
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourceweave.functions import vectors
 from sourceweave.shared import components, lookup, numbered, stored
 
 #: Vectors in one block of the pair comparison.
@@ -105,6 +109,68 @@ def semantic_dedup(df: DataFrame, order: str, text: str, edges: DataFrame) -> Da
     return df.join(drops, df[order] == drops["dropped"], "left_anti")
 
 
+def class_survivors(edges: list[tuple[int, int]], length: dict[int, int], members: dict[int, list[int]]) -> dict[int, int | None]:
+    """The one row of each class that :func:`greedy_drops` leaves, None if it leaves none; ``edges`` are those between classes.
+
+    Rows of a class (named by its first row) have the same neighbours and are neighbours of each other. Going through the
+    pairs in order, a row that is still there takes everything near it that is no longer than itself, up to the first
+    longer row, which takes it. What is left of a class is therefore always its tail, and one place tells where that begins.
+    """
+    near: dict[int, list[int]] = {c: [] for c in members}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    tail, kept = dict.fromkeys(members, 0), dict.fromkeys(members)
+    turns = [(own[0], c) for c, own in members.items()]
+    heapq.heapify(turns)
+    while turns:
+        row, c = heapq.heappop(turns)
+        if tail[c] >= len(members[c]) or members[c][tail[c]] != row:  # gone since
+            if tail[c] < len(members[c]) and members[c][tail[c]] > row:
+                heapq.heappush(turns, (members[c][tail[c]], c))
+            continue
+        longer = [members[d][tail[d]] for d in near[c] if length[d] > length[c] and tail[d] < len(members[d])]
+        stop = min(longer, default=None)
+        for d in [c, *(d for d in near[c] if length[d] <= length[c])]:
+            tail[d] = len(members[d]) if stop is None else max(tail[d] + (d == c), bisect.bisect_left(members[d], stop))
+        if stop is None:
+            kept[c] = row
+        elif tail[c] < len(members[c]):
+            heapq.heappush(turns, (members[c][tail[c]], c))
+    return kept
+
+
+def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``df`` without the rows that the greedy rule drops over all pairs whose cosine exceeds ``threshold`` (zero or more).
+
+    Rows with the same vector and length of text are a class, which is compared once and meets its copies nowhere: a clump of
+    m copies costs m rows, not their pairs. Components of classes are settled one by one, by :func:`class_survivors`. Zero and null vectors
+    are near nothing.
+    """
+    v = vectors.doubles(F.col(vector))
+    rows = df.select(F.col(order).cast("bigint").alias("id"), v.alias("v"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
+    some = F.coalesce(vectors.norm(F.col("v")) > 0, F.lit(False))
+    keyed = rows.where(some).withColumn("key", F.unhex(F.sha2(F.concat_ws(":", "n", F.col("v").cast("string")), 256)))
+    classes = stored(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("v").alias("v"), F.any_value("n").alias("n")), "classes")
+    edges = stored(cosine_edges(classes, "rep", "v", threshold, block).select("i", "j"), "class-pairs")
+    roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    linked = edges.select(F.col("i").alias("rep")).union(edges.select("j")).distinct()
+    placed = stored(linked.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")), "class-roots")
+    facts = classes.select("key", "rep", "n").join(placed, "rep")
+    members = lookup(keyed.select("key", "id"), ["key"], facts.select("key", "rep"), F.col("id")).where("rep is not null").groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    left = edges.join(placed.select(F.col("rep").alias("i"), F.col("root").alias("top")), "i").select("top", "i", "j")
+    right = facts.drop("key").join(members, "rep")
+
+    def settle(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        kept = class_survivors(list(zip(pairs["i"], pairs["j"])), dict(zip(own["rep"], own["n"])), {r: list(ids) for r, ids in zip(own["rep"], own["ids"])})
+        return pd.DataFrame({"id": [k for k in kept.values() if k is not None]}, dtype="int64")
+
+    survivors = left.groupBy("top").cogroup(right.groupBy("root")).applyInPandas(settle, "id bigint")
+    alone = classes.join(placed, "rep", "left_anti").select(F.col("rep").alias("id"))
+    kept = survivors.union(alone).union(rows.where(~some).select("id"))
+    return df.join(kept, df[order] == kept["id"], "left_semi")
+
+
 def unseen(batch: DataFrame, seen: DataFrame, keys: tuple[str, str], order: str, rounds: int = 1000) -> DataFrame:
     """Rows of ``batch`` with neither key in ``seen``, nor in a row of the batch that is kept before them.
 

@@ -29,7 +29,6 @@ def topics_over_time(rows: DataFrame, when: str, topic: str) -> DataFrame:
     A row on an edge belongs to the bin before it, the first of all to the first bin; rows without a time are left out.
     Only the two ends come to the driver.
     """
-    spark = rows.sparkSession
     clean = rows.select(F.col(when).cast("timestamp").alias("_t"), F.col(topic).alias("topic"))
     micros = clean.select(F.unix_micros("_t").alias("_u"), "topic")
     ends = micros.agg(F.min("_u").alias("low"), F.max("_u").alias("high")).first()
@@ -41,7 +40,7 @@ def topics_over_time(rows: DataFrame, when: str, topic: str) -> DataFrame:
     width = (high - low) / bins
     at = F.greatest(F.lit(0), F.ceil((F.col("_u") - low) / F.lit(width)).cast("int") - 1)
     counts = micros.where("_u is not null").groupBy(F.least(at, F.lit(bins - 1)).alias("bin"), "topic").agg(F.count(F.lit(1)).alias("frequency"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(clean.select("topic").distinct()))
+    grid = clean.select("topic").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     middle = F.timestamp_micros((F.lit(low) + (F.col("bin") + 0.5) * F.lit(width)).cast("bigint"))
     return grid.join(counts, ["bin", "topic"], "left").select("topic", "bin", middle.alias("timestamp"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
 

@@ -80,7 +80,7 @@ def run_batch(
         raise ValueError(f"a batch takes {LEAST_ROWS} rows with a text or more")
     once = dedup.keep_first(usable, ["title"], "ord").withColumn("clustering_text", topics.clustering_text(F.col("title"), F.col("text")))
     encoded = shared.stored(encode_once(once, "clustering_text", embed), "encoded")
-    kept = shared.stored(dedup.semantic_dedup(encoded, "ord", "text", dedup.cosine_edges(encoded, "ord", "embedding", threshold)), "kept")
+    kept = shared.stored(dedup.semantic_first(encoded, "ord", "text", "embedding", threshold), "kept")
     clustered, _ = clusters.kmeans(kept, "embedding", k or adaptive_k(kept.count()))
     located = shared.stored(enriched(clustered.withColumnRenamed("topic", "topic_id"), enrichment, embed), "topics")
     hosts = located.select(F.regexp_extract("url", "://(?:www[.])?([^/.]+)", 1).alias("d")).where("d <> ''").groupBy("d").count()

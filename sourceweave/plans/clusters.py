@@ -135,7 +135,7 @@ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_simil
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that the greedy rule keeps; a vector's text is its number in words of its length."""
     rows = _rows(spark, sf_dir).withColumn("text", F.repeat(F.lit("x"), (F.col("vec_id") * 7919 % 101).cast("int")))
-    return dedup.semantic_dedup(rows, "vec_id", "text", dedup.cosine_edges(rows, "vec_id", "embedding", EDGE_THRESHOLD)).select("vec_id", "label")
+    return dedup.semantic_first(rows, "vec_id", "text", "embedding", EDGE_THRESHOLD).select("vec_id", "label")
 
 
 # pair after pair in order: what is gone is gone

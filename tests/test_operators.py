@@ -406,3 +406,39 @@ def test_all_rivals(spark):
     methods = {"corroboration", "source_count", "semantic_only", "claim_substantiation", "evidence_verdict", "reputation", "sensational_lexicon", "tfidf_overlap"}
     assert set(found) == {(c, m) for c in "AB" for m in methods}
     assert found["A", "reputation"] == (22 + 18 + 10 + 7.5 + 7.5 + 5) / 2 and found["B", "sensational_lexicon"] == 0 == found["B", "tfidf_overlap"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_classes_are_settled_as_rows_are(seed):
+    """Clumps of copies among near rows of all lengths: the survivors of the classes are the rows that the sequential rule keeps."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        kinds = [(rng.randint(0, 5), rng.randint(0, 3)) for _ in range(7)]
+        of = [rng.choice(kinds) for _ in range(rng.randint(2, 25))]
+        close = {frozenset((a, b)) for a in range(6) for b in range(6) if a == b or rng.random() < 0.4}
+        near = lambda i, j: frozenset((of[i][0], of[j][0])) in close
+        pairs = [(i, j) for i in range(len(of)) for j in range(i + 1, len(of)) if near(i, j)]
+        want = set(range(len(of))) - dedup.greedy_drops(pairs, {i: n for i, (_, n) in enumerate(of)})
+        members = {}
+        for i, kind in enumerate(of):
+            members.setdefault(of.index(kind), []).append(i)
+        edges = [(a, b) for a in members for b in members if a < b and near(a, b)]
+        kept = dedup.class_survivors(edges, {c: of[c][1] for c in members}, members)
+        assert {k for k in kept.values() if k is not None} == want
+
+
+def test_semantic_first_is_the_sequential_rule(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(25, 3))
+    picks = [(int(rng.integers(0, 25)), int(rng.integers(0, 3))) for _ in range(80)] + [(0, 1)] * 40
+    rows = spark.createDataFrame([(i, base[b].tolist() if b else [1.0, 2.0, 2.0], "x" * n) for i, (b, n) in enumerate(picks)] + [(500, [0.0] * 3, "x"), (501, [0.0] * 3, "x"), (502, None, "y")], "id bigint, v array<double>, text string")
+    plain = rows.where("id < 500")
+    want = {r.id for r in dedup.semantic_dedup(plain, "id", "text", dedup.cosine_edges(plain, "id", "v", 0.8)).collect()} | {500, 501, 502}
+    assert {r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.8, block=7).collect()} == want
+    assert dedup.semantic_first(rows.limit(0), "id", "text", "v", 0.8).count() == 0
+
+
+def test_copies_are_compared_once(spark):
+    """A third of all rows alike: as many pairs as between different vectors, none between copies."""
+    rows = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.col("id").cast("double"))).alias("v"), F.lit("same").alias("text"))
+    assert sorted(r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.99).collect()) == [0, 1]
