@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import ssl
 import time
+import urllib.error
+import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -70,6 +73,35 @@ class Refused(Exception):
     """Raised by a getter for an answer that is worth another try."""
 
 
+def is_worth_another_try(status: int) -> bool:
+    """A server that is busy or broken; every other refusal is final."""
+    return status == 429 or status >= 500
+
+
+def standard_get(timeout: float = 15.0, agent: str = "Mozilla/5.0") -> Callable[[str], str | None]:
+    """A getter over the standard library, for :func:`patiently`: Refused for answers worth another try, None for final ones.
+
+    A certificate that can't be proven is passed over once, as feeds' addresses often have such; bodies are read as UTF-8.
+    """
+
+    def get(url: str) -> str | None:
+        request = urllib.request.Request(url, headers={"User-Agent": agent})
+        for context in (None, ssl._create_unverified_context()):
+            try:
+                with urllib.request.urlopen(request, timeout=timeout, context=context) as answer:
+                    return answer.read().decode("utf-8", "replace")
+            except urllib.error.HTTPError as refusal:
+                if is_worth_another_try(refusal.code):
+                    raise Refused(url) from refusal
+                return None
+            except urllib.error.URLError as fault:
+                if context is not None or not isinstance(fault.reason, ssl.SSLError):
+                    raise OSError(str(fault.reason)) from fault
+        return None
+
+    return get
+
+
 def patiently(get: Callable[[str], str], tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
     """``get`` with further tries after 2, 4, 8 seconds when it refuses; None if it still does."""
 

@@ -10,7 +10,7 @@ from sourceweave.functions import fixed, scores, text, urls
 from sourceweave.operators import claims, dedup, export, quality, rivals, timebins
 from sourceweave.plans.study import vector_bundles
 from sourceweave.plans.texts import CUES, RATINGS, _bordered, _count, _cut_sql, _docs, _english, _looks, _quoted, _INFORMATIVE, _SENTENCES, _WS
-from sourceweave.sources import feeds, html, tables
+from sourceweave.sources import feeds, html, search, tables
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,24 @@ SELECT doc_id, topic, tier FROM c JOIN (SELECT topic, min(tier) AS tier FROM c G
 HITS = 50
 
 
+def answers(topic: str, limit: int):
+    """What a search engine might say: one row more than is asked for."""
+    for k in range(limit + 1):
+        yield {"title": f"{topic} {k}", "url": f"https://x.org/{topic}/{k}", "date": f"2024-01-{1 + k % 28:02d}", "snippet": None if k % 2 else topic.upper(), "publisher": "X"}
+
+
+def searched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven answers of a search for each language."""
+    topics = sorted(r.lang for r in _docs(spark, sf_dir).select("lang").distinct().collect())  # what a job is asked for
+    return search.searched(spark, topics, "sourceweave.plans.ingest:answers", 7)
+
+
+SQL_SEARCHED = """
+SELECT lang AS topic, lang || ' ' || k AS title, 'https://x.org/' || lang || '/' || k AS url, printf('2024-01-%02d', 1 + k) AS date, CASE WHEN k % 2 = 0 THEN upper(lang) END AS snippet, 'X' AS publisher, CAST(NULL AS VARCHAR) AS publisher_url
+FROM (SELECT DISTINCT lang FROM documents), range(7) r(k)
+"""
+
+
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty usable hits of a search whose answers are the documents, some without an address or of another age."""
     docs = _docs(spark, sf_dir)
@@ -433,12 +451,12 @@ SELECT claim_id, round(avg(earned), 6) AS score FROM e GROUP BY claim_id
 QUERIES = {
     f.__name__: f
     for f in (
-        tiered_candidates, search_hits, page_hits, html_text, csv_round_trip, bundle_files, resume_topics, assembled_rows, claim_evidence, claim_caps, topic_requests, short_texts, signed_values, near_chance,
+        tiered_candidates, searched_candidates, search_hits, page_hits, html_text, csv_round_trip, bundle_files, resume_topics, assembled_rows, claim_evidence, claim_caps, topic_requests, short_texts, signed_values, near_chance,
         headline_only, date_range, first_seen, first_topics, dossier, report_pages, export_articles, document_file, result_table, cached_pages, decoded_urls, embedded_texts, reputation,
     )
 }
 SQL = {
-    "tiered_candidates": SQL_TIERS, "search_hits": SQL_HITS, "page_hits": SQL_PAGE_HITS, "html_text": SQL_HTML, "csv_round_trip": SQL_CSV, "bundle_files": SQL_BUNDLES, "resume_topics": SQL_RESUME, "assembled_rows": SQL_ROWS,
+    "tiered_candidates": SQL_TIERS, "searched_candidates": SQL_SEARCHED, "search_hits": SQL_HITS, "page_hits": SQL_PAGE_HITS, "html_text": SQL_HTML, "csv_round_trip": SQL_CSV, "bundle_files": SQL_BUNDLES, "resume_topics": SQL_RESUME, "assembled_rows": SQL_ROWS,
     "claim_evidence": SQL_EVIDENCE, "claim_caps": SQL_CAPS, "topic_requests": SQL_REQUESTS, "short_texts": SQL_SHORT, "signed_values": SQL_SIGNED, "near_chance": SQL_CHANCE, "headline_only": SQL_HEADLINES, "date_range": SQL_RANGE,
     "first_seen": SQL_FIRST, "first_topics": SQL_FIRST_TOPICS, "dossier": SQL_DOSSIER, "report_pages": SQL_REPORTS, "export_articles": SQL_ARTICLES, "document_file": SQL_DOCUMENT, "result_table": SQL_RESULT,
     "cached_pages": SQL_CACHED, "decoded_urls": SQL_DECODED, "embedded_texts": SQL_EMBEDDED, "reputation": SQL_REPUTATION,

@@ -131,3 +131,31 @@ def test_main_text(spark):
     found = {r.page_id: r for r in html.extract_bodies(spark.createDataFrame([(i, "https://a.com", h) for i, h in pages], "page_id bigint, url string, html string")).collect()}
     assert "Teaser" not in found[0].body and found[1].body.startswith("Short The committee") and (found[2].body, found[2].body_available) == ("Only this", False)
     assert "after" not in found[3].body and "skip" not in found[3].body and found[3].body_available
+
+
+def test_standard_getter():
+    """Busy servers are refusals that are tried again, missing pages are none, bodies come as text."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    codes = {"/busy": [503, 429, 200], "/gone": [404], "/ok": [200]}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            own = codes[self.path]
+            self.send_response(own.pop(0) if len(own) > 1 else own[0])
+            self.end_headers()
+            self.wfile.write("été".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    waits = []
+    get = hooks.patiently(hooks.standard_get(5), sleep=waits.append)
+    assert (get(f"{at}/ok"), get(f"{at}/gone"), get(f"{at}/busy"), waits) == ("été", None, "été", [2.0, 4.0])
+    server.shutdown()
+    assert hooks.patiently(hooks.standard_get(1), tries=0)(f"{at}/ok") is None
+    assert [hooks.is_worth_another_try(s) for s in (200, 404, 429, 500, 503)] == [False, False, True, True, True]
