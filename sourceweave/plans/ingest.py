@@ -128,7 +128,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CSV = r"""
 WITH r AS (SELECT ' "T" ' || doc_id AS title, source AS topic_source, doc_id % 2 = 0 AS url_resolved, md5(regexp_replace(substr(text, 1, 200), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') || '"q", x' || chr(10) || 'y ') AS m FROM documents)
-SELECT title, topic_source, url_resolved, CASE WHEN url_resolved THEN 1 ELSE 2 END AS n, m AS low, m AS high FROM r
+SELECT title, topic_source, url_resolved, CAST(CASE WHEN url_resolved THEN 1 ELSE 2 END AS BIGINT) AS n, m AS low, m AS high FROM r
 """
 
 
