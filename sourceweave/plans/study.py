@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,49 @@ from sourceweave.operators import clusters, metrics, resampling, rivals, sweep
 from sourceweave.sources.tables import scan
 
 
-@dataclass(frozen=True)
+@dataclass
 class Study:
-    """Tables of a study. scores: (claim_id, method, score, label, split); the others by method, split or variant."""
+    """Tables of a study, each worked out when it is first asked for.
+
+    scores: (claim_id, method, score, label, split); pooled and held_out: metrics by method, the former with the uncertainty of
+    ``samples`` draws; split_auc by method and split; balance by split and label; variants, best and transfer of the sweep.
+    """
 
     scores: DataFrame
-    pooled: DataFrame
-    held_out: DataFrame
-    split_auc: DataFrame
-    balance: DataFrame
+    evidence: DataFrame
     stance_base: float | None
-    variants: DataFrame
-    best: DataFrame
-    transfer: DataFrame
+    calibration: str
+    evaluation: str
+    samples: int
+
+    @cached_property
+    def pooled(self) -> DataFrame:
+        return rate_methods(self.scores, self.samples)
+
+    @cached_property
+    def held_out(self) -> DataFrame:
+        return rate_methods(self.scores.where(F.col("split") == self.evaluation))
+
+    @cached_property
+    def split_auc(self) -> DataFrame:
+        return metrics.roc_auc(self.scores, ["method", "split"])
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        return self.evidence.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def variants(self) -> DataFrame:
+        own = self.evidence.where(F.col("split") == self.calibration)
+        return shared.stored(sweep.rate_variants(sweep.score_variants(own, sweep.params_table(own.sparkSession), "claim_id", "label")), "variants")
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return sweep.best_variants(self.variants)
+
+    @cached_property
+    def transfer(self) -> DataFrame:
+        return sweep.transfer(self.evidence, sweep.tuned(self.best))
 
 
 def score_methods(bundles: DataFrame, calibration: str = "calibration", sensational: bool = False) -> tuple[DataFrame, DataFrame, float | None]:
@@ -68,13 +99,7 @@ def run_study(bundles: DataFrame, calibration: str = "calibration", held_out: st
     calibration split than none is reported as one more method, never applied.
     """
     table, evidence, stance = score_methods(bundles, calibration, sensational)
-    variants = sweep.rate_variants(sweep.score_variants(evidence.where(F.col("split") == calibration), sweep.params_table(evidence.sparkSession), "claim_id", "label"))
-    variants = shared.stored(variants, "variants")
-    best = sweep.best_variants(variants)
-    return Study(
-        table, rate_methods(table, samples), rate_methods(table.where(F.col("split") == held_out)), metrics.roc_auc(table, ["method", "split"]), evidence.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")),
-        stance, variants, best, sweep.transfer(evidence, sweep.tuned(best)),
-    )
+    return Study(table, evidence, stance, calibration, held_out, samples)
 
 
 def summary(study: Study) -> DataFrame:
@@ -107,7 +132,7 @@ def vector_bundles(spark: SparkSession, sf_dir: str, size: int = 8) -> DataFrame
 
 def study_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all methods over bundles of vectors, best first."""
-    return rate_methods(score_methods(vector_bundles(spark, sf_dir))[0], 2000)
+    return run_study(vector_bundles(spark, sf_dir)).pooled
 
 
 def bundle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
