@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from sourceweave.functions import vectors
 from sourceweave.shared import components, lookup, numbered, stored
 
-#: Vectors in one block of the pair comparison.
-BLOCK = 1024
+#: Vectors in one block of the pair comparison, and rows of it that are multiplied with the other block at a time.
+BLOCK, STRIP = 4096, 512
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -46,12 +46,14 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     (ids, a), (others, b) = part(p), part(q)
     if not len(ids) or not len(others):
         return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-    found = a @ b.T
-    row, column = np.nonzero(found > threshold)
-    i, j = ids[row], others[column]
-    keep = i < j if p == q else i != j
-    low, high = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-    return pd.DataFrame({"i": low, "j": high, "similarity": found[row, column][keep]})
+    parts = []
+    for at in range(0, len(a), STRIP):
+        found = a[at : at + STRIP] @ b.T
+        row, column = np.nonzero(found > threshold)
+        i, j = ids[at + row], others[column]
+        keep = i < j if p == q else i != j
+        parts.append(pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": found[row, column][keep]}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def cosine_edges(df: DataFrame, order: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
