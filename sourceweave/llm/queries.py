@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, decontam, exact, langid, packing, quality, sharding, simhash, tokens, warc
+from sourceweave.llm import chat, decontam, exact, langid, packing, quality, sharding, simhash, tokens, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing, op11_whitening)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
