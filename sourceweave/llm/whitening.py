@@ -66,9 +66,15 @@ def triangle(rows: DataFrame, columns: list[Column], kind: str = "bigint") -> li
     """The sums of the products of all pairs (i <= j) of ``columns``, in the order of the upper triangle."""
     centred = rows.select(*[c.alias(f"z{i}") for i, c in enumerate(columns)])
     pairs, out = _pairs(len(columns)), []
-    for at in range(0, len(pairs), PAIRS):
-        sums = [f"sum(cast(z{i} as {kind}) * z{j}) as p{i}_{j}" for i, j in pairs[at : at + PAIRS]]
-        out += list(centred.selectExpr(*sums).first())
+    conf, name = rows.sparkSession.conf, "spark.sql.subexpressionElimination.enabled"
+    before = conf.get(name, "true")
+    conf.set(name, "false")  # thousands of sums have nothing in common, and the search for it takes longer than the sums
+    try:
+        for at in range(0, len(pairs), PAIRS):
+            sums = [f"sum(cast(z{i} as {kind}) * z{j}) as p{i}_{j}" for i, j in pairs[at : at + PAIRS]]
+            out += list(centred.selectExpr(*sums).first())
+    finally:
+        conf.set(name, before)
     return out
 
 
