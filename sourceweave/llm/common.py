@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.shared import components, drop_scratch, lookup, scratch_path, write_scratch
+from sourceweave.shared import components, drop_scratch, lookup, numbered, scratch_path, write_scratch
 from sourceweave.shared import stored as materialise
 
-__all__ = ["components", "drop_scratch", "keep_rows", "lookup", "materialise", "scratch_path", "slices", "small_batches", "text_hash", "write_scratch"]
+__all__ = ["components", "drop_scratch", "keep_rows", "lookup", "materialise", "numbered", "scratch_path", "slices", "small_batches", "text_hash", "write_scratch"]
 
 #: Bytes of an Arrow batch that a Python worker gets; a single longer row makes a batch by itself.
 BATCH_BYTES = 4 << 20

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, decontam, exact, langid, packing, quality, sharding, simhash, tokens, warc, whitening
+from sourceweave.llm import chat, decontam, exact, langid, merkle, packing, quality, sharding, simhash, tokens, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,8 +61,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing, op11_whitening)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing, op11_whitening, op12_merkle)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,5 +120,44 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 """
 
 
+# nodes by levels; a proof and a fold climb from a leaf to its language's root (m = 1), go on as leaf of the last tree (-1), and end at its root;
+# crc32 of the identifier's digits as in op9
+_OP12 = """
+WITH RECURSIVE remainders AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) ORDER BY k) AS t FROM range(256) r(k)),
+d AS (
+  SELECT row_number() OVER () AS rid, *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+    xor(list_reduce([ascii(c) for c in string_split(coalesce(doc_id::VARCHAR, ''), '') if c <> ''], lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 3 = 0 AS tampers
+  FROM documents, remainders
+),
+leaves AS (SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN tampers THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) END AS bad FROM d),
+placed AS MATERIALIZED (
+  SELECT rid, doc_id, leaf, coalesce(bad, leaf) AS bad, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS m
+  FROM leaves
+),
+low(tree, level, at, m, h) AS (
+  SELECT tree, 0, at, m, leaf FROM placed
+  UNION ALL SELECT tree, level + 1, at // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY at)) FROM low WHERE m > 1 GROUP BY tree, level, at // 8, m
+),
+subroots AS (SELECT tree, h, count(*) OVER () AS m FROM low WHERE m = 1),
+top(level, at, m, h) AS (
+  SELECT 0, tree, m, h FROM subroots
+  UNION ALL SELECT level + 1, at // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY at)) FROM top WHERE m > 1 GROUP BY level, at // 8, m
+),
+nodes AS MATERIALIZED (SELECT tree, level, at, h FROM low UNION ALL SELECT -1, level, at, h FROM top),
+climb(rid, tree, level, at, m, node, proof) AS (
+  SELECT rid, tree, 0, at, m, bad, '' FROM placed
+  UNION ALL (
+    SELECT c.rid, c.tree, c.level + 1, c.at // 8, (c.m + 7) // 8, sha256(string_agg(CASE WHEN s.at = c.at THEN c.node ELSE s.h END, '' ORDER BY s.at)), c.proof || coalesce(string_agg(s.h, '' ORDER BY s.at) FILTER (s.at <> c.at), '')
+    FROM climb c JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.at // 8 = c.at // 8 WHERE c.m > 1 GROUP BY c.rid, c.tree, c.level, c.at, c.m, c.proof
+    UNION ALL SELECT c.rid, -1, 0, c.tree, r.m, c.node, c.proof FROM climb c JOIN subroots r ON r.tree = c.tree WHERE c.m = 1
+  )
+)
+SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = t.h AS verified
+FROM placed p JOIN subroots r USING (tree) JOIN climb c ON c.rid = p.rid AND c.tree = -1 AND c.m = 1 CROSS JOIN (SELECT h FROM top WHERE m = 1) t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7, "op9_shards": _OP9}
+    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7, "op9_shards": _OP9, "op12_merkle": _OP12}
