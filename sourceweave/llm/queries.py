@@ -133,24 +133,24 @@ d AS (
 leaves AS (SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN tampers THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) END AS bad FROM d),
 placed AS MATERIALIZED (
   SELECT rid, doc_id, leaf, coalesce(bad, leaf) AS bad, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
-    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS m
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY lang) AS m
   FROM leaves
 ),
-low(tree, level, at, m, h) AS (
-  SELECT tree, 0, at, m, leaf FROM placed
-  UNION ALL SELECT tree, level + 1, at // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY at)) FROM low WHERE m > 1 GROUP BY tree, level, at // 8, m
+low(tree, level, spot, m, h) AS (
+  SELECT tree, 0, spot, m, leaf FROM placed
+  UNION ALL SELECT tree, level + 1, spot // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY spot)) FROM low WHERE m > 1 GROUP BY tree, level, spot // 8, m
 ),
 subroots AS (SELECT tree, h, count(*) OVER () AS m FROM low WHERE m = 1),
-top(level, at, m, h) AS (
+top(level, spot, m, h) AS (
   SELECT 0, tree, m, h FROM subroots
-  UNION ALL SELECT level + 1, at // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY at)) FROM top WHERE m > 1 GROUP BY level, at // 8, m
+  UNION ALL SELECT level + 1, spot // 8, (m + 7) // 8, sha256(string_agg(h, '' ORDER BY spot)) FROM top WHERE m > 1 GROUP BY level, spot // 8, m
 ),
-nodes AS MATERIALIZED (SELECT tree, level, at, h FROM low UNION ALL SELECT -1, level, at, h FROM top),
-climb(rid, tree, level, at, m, node, proof) AS (
-  SELECT rid, tree, 0, at, m, bad, '' FROM placed
+nodes AS MATERIALIZED (SELECT tree, level, spot, h FROM low UNION ALL SELECT -1, level, spot, h FROM top),
+climb(rid, tree, level, spot, m, node, proof) AS (
+  SELECT rid, tree, 0, spot, m, bad, '' FROM placed
   UNION ALL (
-    SELECT c.rid, c.tree, c.level + 1, c.at // 8, (c.m + 7) // 8, sha256(string_agg(CASE WHEN s.at = c.at THEN c.node ELSE s.h END, '' ORDER BY s.at)), c.proof || coalesce(string_agg(s.h, '' ORDER BY s.at) FILTER (s.at <> c.at), '')
-    FROM climb c JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.at // 8 = c.at // 8 WHERE c.m > 1 GROUP BY c.rid, c.tree, c.level, c.at, c.m, c.proof
+    SELECT c.rid, c.tree, c.level + 1, c.spot // 8, (c.m + 7) // 8, sha256(string_agg(CASE WHEN s.spot = c.spot THEN c.node ELSE s.h END, '' ORDER BY s.spot)), c.proof || coalesce(string_agg(s.h, '' ORDER BY s.spot) FILTER (s.spot <> c.spot), '')
+    FROM climb c JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.spot // 8 = c.spot // 8 WHERE c.m > 1 GROUP BY c.rid, c.tree, c.level, c.spot, c.m, c.proof
     UNION ALL SELECT c.rid, -1, 0, c.tree, r.m, c.node, c.proof FROM climb c JOIN subroots r ON r.tree = c.tree WHERE c.m = 1
   )
 )
