@@ -246,7 +246,7 @@ def placed_leaves(docs: DataFrame) -> DataFrame:
     Rows alike in everything follow one another, so no key, however hot, must stay together.
     """
     order = ["doc_id", "leaf", "_row"]
-    rows = leaf_digests(docs).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(leaf_digests(docs).withColumn("_row", F.monotonically_increasing_id()), "merkle-digests")  # texts are read once
     dealt = materialise(rows.repartitionByRange("key", *order).withColumn("_part", F.spark_partition_id()), "merkle-leaves")
     ranges = dealt.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n"))
     own, whole = Window.partitionBy("key").orderBy("_part"), Window.partitionBy("key")  # a row a range

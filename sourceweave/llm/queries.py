@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, decontam, exact, langid, merkle, packing, quality, sharding, simhash, tokens, warc, whitening
+from sourceweave.llm import chat, decontam, exact, langid, maintext, merkle, packing, quality, sharding, simhash, tokens, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing, op11_whitening, op12_merkle)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_chat, op4_simhash, op5_decontamination, op6_exact_dedup, op7_warc, op8_language, op9_shards, op10_packing, op11_whitening, op12_merkle, op13_main_text)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,5 +163,17 @@ FROM placed p JOIN subroots r USING (tree) JOIN climb c ON c.rid = p.rid AND c.t
 """
 
 
+# these pages mark their article, which the cut has to find without trusting the mark alone; the references in it are those of the data
+_OP13 = r"""
+WITH blocks AS (
+  SELECT page_id, url, unnest(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS block, generate_subscripts(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS nth
+  FROM pages
+), plain AS (
+  SELECT page_id, url, nth, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(block, '<br>', ' '), '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS block FROM blocks
+), texts AS (SELECT page_id, url, coalesce(string_agg(block, chr(10) ORDER BY nth) FILTER (block <> ''), '') AS text FROM plain GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7, "op9_shards": _OP9, "op12_merkle": _OP12}
+    return {"op5_decontamination": _OP5, "op6_exact_dedup": _OP6, "op7_warc": _OP7, "op9_shards": _OP9, "op12_merkle": _OP12, "op13_main_text": _OP13}
