@@ -1,24 +1,24 @@
 """Keep-first, semantic and either-key deduplication.
 
 The greedy rules are sequential, but a drop only touches rows that share an edge or a key with it. Rows with a key in common are
-settled in DataFrame rounds; pairs by similarity decompose over their connected components, each settled by itself.
+settled in DataFrame rounds; links by similarity decompose over their connected components, each settled by itself.
 """
 
 from __future__ import annotations
 
-import bisect
-import heapq
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions import vectors
+from sourceweave.operators import pivots
 from sourceweave.shared import components, lookup, numbered, stored
 
 #: Vectors in one block of the pair comparison, and rows of it that are multiplied with the other block at a time.
 BLOCK, STRIP = 4096, 512
+#: Rows that are multiplied at a time with those that are left.
+CHUNK = 256
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -111,68 +111,109 @@ def semantic_dedup(df: DataFrame, order: str, text: str, edges: DataFrame) -> Da
     return df.join(drops, df[order] == drops["dropped"], "left_anti")
 
 
-def class_survivors(edges: list[tuple[int, int]], length: dict[int, int], members: dict[int, list[int]]) -> dict[int, int | None]:
-    """The one row of each class that :func:`greedy_drops` leaves, None if it leaves none; ``edges`` are those between classes.
-
-    Rows of a class (named by its first row) have the same neighbours and are neighbours of each other. Going through the
-    pairs in order, a row that is still there takes everything near it that is no longer than itself, up to the first
-    longer row, which takes it. What is left of a class is therefore always its tail, and one place tells where that begins.
-    """
-    near: dict[int, list[int]] = {c: [] for c in members}
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    tail, kept = dict.fromkeys(members, 0), dict.fromkeys(members)
-    turns = [(own[0], c) for c, own in members.items()]
-    heapq.heapify(turns)
-    while turns:
-        row, c = heapq.heappop(turns)
-        if tail[c] >= len(members[c]) or members[c][tail[c]] != row:  # gone since
-            if tail[c] < len(members[c]) and members[c][tail[c]] > row:
-                heapq.heappush(turns, (members[c][tail[c]], c))
-            continue
-        longer = [members[d][tail[d]] for d in near[c] if length[d] > length[c] and tail[d] < len(members[d])]
-        stop = min(longer, default=None)
-        for d in [c, *(d for d in near[c] if length[d] <= length[c])]:
-            tail[d] = len(members[d]) if stop is None else max(tail[d] + (d == c), bisect.bisect_left(members[d], stop))
-        if stop is None:
-            kept[c] = row
-        elif tail[c] < len(members[c]):
-            heapq.heappush(turns, (members[c][tail[c]], c))
-    return kept
-
-
-def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """``df`` without the rows that the greedy rule drops over all pairs whose cosine exceeds ``threshold`` (zero or more).
+def online_survivors(ids: np.ndarray, of: np.ndarray, unit: np.ndarray, length: np.ndarray, threshold: float) -> list[int]:
+    """The rows that :func:`greedy_drops` leaves, without the pairs: rows ``ids``, ascending, of the classes ``of``, with a vector of
+    length one and a length of text for each class.
 
-    Rows with the same vector and length of text are a class, which is compared once and meets its copies nowhere: a clump of
-    m copies costs m rows, not their pairs. Components of classes are settled one by one, by :func:`class_survivors`. Zero and null vectors
-    are near nothing.
+    A pair changes nothing but its two rows, and matters only while both are there. So the pairs may be gone through by their later
+    row: it meets the earlier ones that are left, in order, takes the shorter ones, and goes with the first that is as long or
+    longer. Only rows that are left are held; a copy of one of these goes at once. Rows come in chunks, which are multiplied with the
+    rows left in one go.
     """
+    left = np.zeros(0, dtype=np.int64)  # places in ``ids`` of the rows that are left, ascending
+    there = np.zeros(len(length), dtype=bool)
+    at = 0
+    while at < len(ids):
+        fresh, stop = {}, at
+        while stop < len(ids) and len(fresh) < CHUNK:
+            if not there[of[stop]]:
+                fresh.setdefault(int(of[stop]), len(fresh))
+            stop += 1
+        held, alive = unit[of[left]], np.ones(len(left), dtype=bool)
+        near = unit[list(fresh)] @ held.T > threshold
+        new: list[int] = []
+        for row in range(at, stop):
+            own = int(of[row])
+            if there[own]:
+                continue
+            hits = np.flatnonzero((near[fresh[own]] if own in fresh else unit[own] @ held.T > threshold) & alive)
+            longer = np.flatnonzero(length[of[left[hits]]] >= length[own])
+            if len(longer):
+                hits = hits[: longer[0]]
+            alive[hits] = False
+            there[of[left[hits]]] = False
+            if len(longer):
+                continue
+            taken = False
+            for place, other in enumerate(new):
+                if other >= 0 and unit[own] @ unit[of[other]] > threshold:
+                    if length[of[other]] >= length[own]:
+                        taken = True
+                        break
+                    there[of[other]], new[place] = False, -1
+            if not taken:
+                new.append(row)
+                there[own] = True
+        left = np.concatenate([left[alive], np.array([r for r in new if r >= 0], dtype=np.int64)])
+        at = stop
+    return [int(ids[r]) for r in left]
+
+
+def _classes(df: DataFrame, order: str, vector: str, length: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows without a vector, rows with their class's key, classes): a class has the same vector and length; copies meet by a digest."""
     v = vectors.doubles(F.col(vector))
-    rows = df.select(F.col(order).cast("bigint").alias("id"), v.alias("v"), F.length(F.coalesce(text, F.lit(""))).alias("n"))
+    rows = df.select(F.col(order).cast("bigint").alias("id"), v.alias("v"), length.alias("n"))
     some = F.coalesce(vectors.norm(F.col("v")) > 0, F.lit(False))
     keyed = rows.where(some).withColumn("key", F.unhex(F.sha2(F.concat_ws(":", "n", F.col("v").cast("string")), 256)))
-    classes = stored(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("v").alias("v"), F.any_value("n").alias("n")), "classes")
-    edges = stored(cosine_edges(classes, "rep", "v", threshold, block).select("i", "j"), "class-pairs")
-    roots = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    linked = edges.select(F.col("i").alias("rep")).union(edges.select("j")).distinct()
+    classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("v").alias("v"), F.any_value("n").alias("n"), F.count(F.lit(1)).alias("weight"))
+    return rows.where(~some).select("id"), keyed, stored(classes, "classes")
+
+
+def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold: float, share: int = pivots.SHARE, block: int = pivots.BLOCK) -> DataFrame:
+    """``df`` without the rows that the greedy rule drops over all pairs whose cosine exceeds ``threshold`` (zero or more).
+
+    Rows with the same vector and length of text are a class, which is compared once. The comparison is :func:`pivots.linked`, whose
+    spanning forests give components; no list of pairs is made. A component is settled by :func:`online_survivors` from the vectors of its
+    classes and the numbers of its rows, in one task, the rule being sequential. Zero and null vectors are near nothing.
+    """
+    without, keyed, classes = _classes(df, order, vector, F.length(F.coalesce(text, F.lit(""))))
+    _, edges = pivots.linked(classes.select(F.col("rep").alias("id"), "v", "weight"), threshold, share, block)
+    roots = components(edges)
+    linked = edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct()
     placed = stored(linked.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")), "class-roots")
-    facts = classes.select("key", "rep", "n").join(placed, "rep")
-    members = lookup(keyed.select("key", "id"), ["key"], facts.select("key", "rep"), F.col("id")).where("rep is not null").groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    left = edges.join(placed.select(F.col("rep").alias("i"), F.col("root").alias("top")), "i").select("top", "i", "j")
-    right = facts.drop("key").join(members, "rep")
+    facts = classes.join(placed, "rep")
+    members = lookup(keyed.select("key", "id"), ["key"], facts.select("key", "rep", "root"), F.col("id")).where("rep is not null").select(F.col("root").alias("top"), F.col("rep").alias("class"), "id")
 
-    def settle(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        kept = class_survivors(list(zip(pairs["i"], pairs["j"])), dict(zip(own["rep"], own["n"])), {r: list(ids) for r, ids in zip(own["rep"], own["ids"])})
-        return pd.DataFrame({"id": [k for k in kept.values() if k is not None]}, dtype="int64")
+    def settle(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        place = pd.Series(np.arange(len(own)), index=own["rep"])
+        m = np.stack(own["v"].to_numpy()).astype(float)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        return pd.DataFrame({"id": online_survivors(rows["id"].to_numpy(), place.loc[rows["class"]].to_numpy(), m, own["n"].to_numpy(), threshold)}, dtype="int64")
 
-    survivors = left.groupBy("top").cogroup(right.groupBy("root")).applyInPandas(settle, "id bigint")
+    survivors = members.groupBy("top").cogroup(facts.select("root", "rep", "v", "n").groupBy("root")).applyInPandas(settle, "id bigint")
     alone = classes.join(placed, "rep", "left_anti").select(F.col("rep").alias("id"))
-    kept = survivors.union(alone).union(rows.where(~some).select("id"))
+    kept = survivors.union(alone).union(without)
     return df.join(kept, df[order] == kept["id"], "left_semi")
 
 
+def semantic_links(df: DataFrame, order: str, vector: str, threshold: float, share: int = pivots.SHARE, block: int = pivots.BLOCK) -> DataFrame:
+    """(id, class_id, n_links, component_id) of each row: the first row with its vector, how many other rows are nearer than
+    ``threshold`` (zero or more, below one) by the cosine, and the first row that links reach.
+
+    Links are counted by class where the vectors are multiplied, so no pairs of rows are made, however many copies there are. A zero or
+    null vector is a class by itself without links.
+    """
+    without, keyed, classes = _classes(df, order, vector, F.lit(0))
+    links, edges = pivots.linked(classes.select(F.col("rep").alias("id"), "v", "weight"), threshold, share, block)
+    roots = components(edges)
+    counted = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    # the root of a component is its smallest class, and a class goes by its first row
+    facts = counted.select("key", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    found = lookup(keyed.select("key", "id"), ["key"], facts, F.col("id")).drop("key")
+    return found.union(without.select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+
+
 def unseen(batch: DataFrame, seen: DataFrame, keys: tuple[str, str], order: str, rounds: int = 1000) -> DataFrame:
     """Rows of ``batch`` with neither key in ``seen``, nor in a row of the batch that is kept before them.
 

@@ -149,6 +149,19 @@ SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT unnest(arg_max(
 """
 
 
+def semantic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's class of equal vectors, its number of near ones, and its component."""
+    found = dedup.semantic_links(_rows(spark, sf_dir), "vec_id", "embedding", EDGE_THRESHOLD)
+    return found.select(F.col("id").alias("vec_id"), "class_id", "n_links", "component_id")
+
+
+SQL_LINKS = f"""
+WITH RECURSIVE e AS MATERIALIZED ({SQL_EDGES}), both_ AS (SELECT i AS a, j AS b FROM e UNION ALL SELECT j, i FROM e),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON x.a = r.b)
+SELECT v.vec_id, min(v.vec_id) OVER (PARTITION BY v.embedding) AS class_id, (SELECT count(*) FROM both_ x WHERE x.a = v.vec_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = v.vec_id) AS component_id FROM embeddings v
+"""
+
+
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector in the plane of the two strongest directions."""
     found = clusters.projection(_rows(spark, sf_dir), "embedding")
@@ -267,9 +280,9 @@ SELECT split, round((sum(mr) FILTER (label = 1) - sum(label) * (sum(label) + 1)
 
 QUERIES = {
     f.__name__: f
-    for f in (corroboration_by_label, scores_with_empty, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, projection, param_sweep, best_variant, parameter_transfer, split_auc)
+    for f in (corroboration_by_label, scores_with_empty, topk_similarity, pairwise_coherence, nearest_centroid, rival_cluster_scores, topic_counts, semantic_dedup_edges, semantic_dedup, semantic_links, projection, param_sweep, best_variant, parameter_transfer, split_auc)
 }
 SQL = {
     "corroboration_by_label": SQL_CORROBORATION, "scores_with_empty": SQL_EMPTY, "topk_similarity": SQL_TOPK, "pairwise_coherence": SQL_COHERENCE, "nearest_centroid": SQL_NEAREST, "rival_cluster_scores": SQL_RIVALS,
-    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "semantic_dedup": SQL_DEDUP, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
+    "topic_counts": SQL_TOPIC_COUNTS, "semantic_dedup_edges": SQL_EDGES, "semantic_dedup": SQL_DEDUP, "semantic_links": SQL_LINKS, "param_sweep": SQL_SWEEP, "best_variant": SQL_BEST, "split_auc": SQL_SPLIT_AUC, "parameter_transfer": SQL_TRANSFER,
 }

@@ -409,22 +409,20 @@ def test_all_rivals(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_classes_are_settled_as_rows_are(seed):
-    """Clumps of copies among near rows of all lengths: the survivors of the classes are the rows that the sequential rule keeps."""
-    rng = random.Random(seed)
-    for _ in range(60):
-        kinds = [(rng.randint(0, 5), rng.randint(0, 3)) for _ in range(7)]
-        of = [rng.choice(kinds) for _ in range(rng.randint(2, 25))]
-        close = {frozenset((a, b)) for a in range(6) for b in range(6) if a == b or rng.random() < 0.4}
-        near = lambda i, j: frozenset((of[i][0], of[j][0])) in close
-        pairs = [(i, j) for i in range(len(of)) for j in range(i + 1, len(of)) if near(i, j)]
-        want = set(range(len(of))) - dedup.greedy_drops(pairs, {i: n for i, (_, n) in enumerate(of)})
-        members = {}
-        for i, kind in enumerate(of):
-            members.setdefault(of.index(kind), []).append(i)
-        edges = [(a, b) for a in members for b in members if a < b and near(a, b)]
-        kept = dedup.class_survivors(edges, {c: of[c][1] for c in members}, members)
-        assert {k for k in kept.values() if k is not None} == want
+def test_rows_are_settled_as_pairs_are(seed, monkeypatch):
+    """Clumps of copies among near rows of all lengths, in chunks of all sizes: the rows that are left are those of the sequential rule."""
+    rng = np.random.default_rng(seed)
+    for turn in range(60):
+        monkeypatch.setattr(dedup, "CHUNK", turn % 7 + 1)
+        base = rng.normal(size=(6, 3))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        kinds = [(int(rng.integers(0, 6)), int(rng.integers(0, 4))) for _ in range(7)]
+        of = rng.integers(0, 7, rng.integers(2, 40))
+        length = np.array([n for _, n in kinds])
+        unit = base[[v for v, _ in kinds]]
+        pairs = [(i, j) for i in range(len(of)) for j in range(i + 1, len(of)) if unit[of[i]] @ unit[of[j]] > 0.3]
+        want = set(range(len(of))) - dedup.greedy_drops(pairs, {i: int(length[c]) for i, c in enumerate(of)})
+        assert set(dedup.online_survivors(np.arange(len(of)) * 3, of, unit, length, 0.3)) == {3 * i for i in want}
 
 
 def test_semantic_first_is_the_sequential_rule(spark):
@@ -434,7 +432,8 @@ def test_semantic_first_is_the_sequential_rule(spark):
     rows = spark.createDataFrame([(i, base[b].tolist() if b else [1.0, 2.0, 2.0], "x" * n) for i, (b, n) in enumerate(picks)] + [(500, [0.0] * 3, "x"), (501, [0.0] * 3, "x"), (502, None, "y")], "id bigint, v array<double>, text string")
     plain = rows.where("id < 500")
     want = {r.id for r in dedup.semantic_dedup(plain, "id", "text", dedup.cosine_edges(plain, "id", "v", 0.8)).collect()} | {500, 501, 502}
-    assert {r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.8, block=7).collect()} == want
+    for share, block in ((2048, 4096), (10, 7), (3, 2)):
+        assert {r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.8, share, block).collect()} == want
     assert dedup.semantic_first(rows.limit(0), "id", "text", "v", 0.8).count() == 0
 
 
