@@ -169,7 +169,7 @@ def _classes(df: DataFrame, order: str, vector: str, length: Column) -> tuple[Da
     return rows.where(~some).select("id"), keyed, stored(classes, "classes")
 
 
-def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold: float, share: int = pivots.SHARE, block: int = pivots.BLOCK) -> DataFrame:
+def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold: float, share: int | None = None, block: int | None = None) -> DataFrame:
     """``df`` without the rows that the greedy rule drops over all pairs whose cosine exceeds ``threshold`` (zero or more).
 
     Rows with the same vector and length of text are a class, which is compared once. The comparison is :func:`pivots.linked`, whose
@@ -197,7 +197,7 @@ def semantic_first(df: DataFrame, order: str, text: str, vector: str, threshold:
     return df.join(kept, df[order] == kept["id"], "left_semi")
 
 
-def semantic_links(df: DataFrame, order: str, vector: str, threshold: float, share: int = pivots.SHARE, block: int = pivots.BLOCK) -> DataFrame:
+def semantic_links(df: DataFrame, order: str, vector: str, threshold: float, share: int | None = None, block: int | None = None) -> DataFrame:
     """(id, class_id, n_links, component_id) of each row: the first row with its vector, how many other rows are nearer than
     ``threshold`` (zero or more, below one) by the cosine, and the first row that links reach.
 

@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from sourceweave.shared import stored
 
-#: Vectors that a pivot stands for, about, and pivots at most: they travel to all tasks.
-SHARE, MOST_PIVOTS = 2048, 1024
-#: Vectors of either side that one task multiplies; cells beyond that are dealt into parts that meet pairwise.
-BLOCK, STRIP = 4096, 512
+#: Pivots at most: they travel to all tasks.
+MOST_PIVOTS = 1024
+#: Bytes of the vectors of either side that one task multiplies, and rows of it at a time; cells beyond that are dealt into parts that meet pairwise.
+BLOCK_BYTES, STRIP = 16 << 20, 512
+#: Visits in one batch.
+VISITS = 4096
 #: Room for rounding when an angle is ruled out.
 SLACK = 1e-6
 
@@ -39,7 +41,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def choose_pivots(rows: DataFrame, share: int = SHARE, most: int = MOST_PIVOTS) -> np.ndarray:
+def choose_pivots(rows: DataFrame, share: int, most: int = MOST_PIVOTS) -> np.ndarray:
     """Vectors of ``rows`` (id, v) drawn by a hash, so that dense regions get more of them; one for each ``share`` rows."""
     n = rows.count()
     drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(min(most, max(1, -(-n // share)))).collect()
@@ -75,8 +77,8 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, theta: float, vectors: bool)
                 found, n = np.unique(to, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
                 continue
-            for at in range(0, len(row), BLOCK):
-                r, c = row[at : at + BLOCK], to[at : at + BLOCK]
+            for at in range(0, len(row), VISITS):
+                r, c = row[at : at + VISITS], to[at : at + VISITS]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), *(batch.column(x).take(take) for x in ("id", "v", "weight")), pa.array(angle[r, c])], names=["cell", "id", "v", "weight", "angle"])
 
@@ -145,14 +147,17 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat([counted, joined], ignore_index=True).astype({"id": "int64", "links": "Int64", "other": "Int64"})
 
 
-def products(rows: DataFrame, threshold: float, share: int = SHARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def products(rows: DataFrame, threshold: float, share: int | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The products of the join over ``rows`` (id: bigint, v: array<double>, not zero, weight: bigint).
 
     Returns the rows dealt to products (cell, p, q, own, side, id, v, weight, angle), and the plan: (cell, homes, visitors). A product has at most
-    ``block`` rows a side, in expectation: homes of a cell are dealt into parts by a hash, as are its visitors, and all parts meet.
+    ``block`` rows a side, in expectation, by default BLOCK_BYTES of vectors: homes of a cell are dealt into parts by a hash, as are its
+    visitors, and all parts meet. A pivot stands for about ``share`` rows, by default a block.
     """
     theta = math.acos(threshold)
-    pivots = choose_pivots(rows, share)
+    first = rows.select(F.size("v").alias("d")).first()
+    block = block or max(STRIP, BLOCK_BYTES // (8 * max(1, first.d if first else 1)))
+    pivots = choose_pivots(rows, share or block)
     homed = stored(rows.mapInArrow(_homes(pivots), "id bigint, v array<double>, weight bigint, home int, angle double"), "homes") if len(pivots) else rows.withColumns({"home": F.lit(0), "angle": F.lit(0.0)})
     cells = homed.groupBy("home").agg(F.count(F.lit(1)).alias("homes"), F.max("angle").alias("radius"))
     facts = {r.home: r for r in cells.collect()}  # a row a pivot
@@ -175,7 +180,7 @@ def products(rows: DataFrame, threshold: float, share: int = SHARE, block: int =
     return inside.select(*columns).union(hosts.select(*columns)).union(guests.select(*columns)), plan
 
 
-def linked(rows: DataFrame, threshold: float, share: int = SHARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, threshold: float, share: int | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, edges) of ``rows`` (id, v, weight): (id, links: the weight of all other rows whose cosine exceeds ``threshold``, zero or
     more), rows without a link left out, and (a, b), edges with the same components as the links: a forest for each product.
     """

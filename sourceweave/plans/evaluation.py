@@ -41,8 +41,7 @@ SQL_AUC = f"WITH {_RANKED} SELECT lang, round({_AUC}, 6) AS roc_auc FROM ranked
 
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both correlations by language."""
-    rows = scored(spark, sf_dir)
-    found = metrics.pearson(rows, ["lang"]).join(metrics.spearman(rows, ["lang"]), "lang")
+    found = metrics.correlations(scored(spark, sf_dir), ["lang"])
     return found.select("lang", F.round("pearson_r", 6).alias("pearson_r"), F.round("spearman_rho", 6).alias("spearman_rho"))
 
 
