@@ -24,7 +24,7 @@ from sourceweave.shared import stored
 #: Pivots at most: they travel to all tasks.
 MOST_PIVOTS = 1024
 #: Bytes of the vectors of either side that one task multiplies, and rows of it at a time; cells beyond that are dealt into parts that meet pairwise.
-BLOCK_BYTES, STRIP = 16 << 20, 512
+BLOCK_BYTES, STRIP = 16 << 20, 128
 #: Visits in one batch.
 VISITS = 4096
 #: Room for rounding when an angle is ruled out.
@@ -92,9 +92,11 @@ def _products(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float) -> Iter
     """
     theta = math.acos(threshold) + SLACK
     other = a if b is None else b
-    m, k = np.stack(a["v"].to_numpy()).astype(float), np.stack(other["v"].to_numpy()).astype(float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    k /= np.linalg.norm(k, axis=1, keepdims=True)
+    m = np.stack(a["v"].to_numpy())
+    m /= np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    k = m if b is None else np.stack(b["v"].to_numpy())
+    if b is not None:
+        k /= np.sqrt(np.einsum("ij,ij->i", k, k))[:, None]
     at_a, at_b = a["angle"].to_numpy(), other["angle"].to_numpy()
     for start in range(0, len(m), STRIP):
         stop = min(start + STRIP, len(m))
@@ -156,7 +158,7 @@ def products(rows: DataFrame, threshold: float, share: int | None = None, block:
     """
     theta = math.acos(threshold)
     first = rows.select(F.size("v").alias("d")).first()
-    block = block or max(STRIP, BLOCK_BYTES // (8 * max(1, first.d if first else 1)))
+    block = block or max(512, BLOCK_BYTES // (8 * max(1, first.d if first else 1)))
     pivots = choose_pivots(rows, share or block)
     homed = stored(rows.mapInArrow(_homes(pivots), "id bigint, v array<double>, weight bigint, home int, angle double"), "homes") if len(pivots) else rows.withColumns({"home": F.lit(0), "angle": F.lit(0.0)})
     cells = homed.groupBy("home").agg(F.count(F.lit(1)).alias("homes"), F.max("angle").alias("radius"))

@@ -1,12 +1,12 @@
 """Bootstrap intervals and permutation tests of the AUC.
 
-Samples of studies, of at most MOST_DRAWN rows times draws, are drawn as Python's generator draws for a seed. All groups are
-drawn in one pass: PARTS tasks a group get its rows, and each makes its own share of the draws from the seed.
-
-Larger samples are drawn by counts. Rows are combined to a row a score with its ones and zeros; these lie in blocks in order
+Samples are drawn by counts, at every size. Rows are combined to a row a score with its ones and zeros; these lie in blocks in order
 of score. A draw deals its rows over the blocks (multinomial for the bootstrap; for shuffled labels the ones, without
 replacement) and, in a task a block, over the block's scores. That is the law of drawing rows, from numpy's generator, and
-no task or driver holds more than a block's scores and a count for each draw and block.
+no task holds more than a block's scores, and the driver two numbers a block.
+
+Studies that are to agree with draws made row by row ask for ``draws="rows"``: Python's generator, all groups in one pass, PARTS tasks
+a group, each with the group's rows and its own share of the draws from the seed.
 """
 
 from __future__ import annotations
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from sourceweave.shared import stored
 from sourceweave.operators.metrics import known
 
-#: Draws times rows up to which rows are drawn one by one by Python's generator.
-MOST_DRAWN = 4_000_000
-#: Distinct scores in a block of a larger sample, about, and the tasks over which the draws of a block are dealt.
+#: Distinct scores in a block, about, and the tasks over which the draws of a block are dealt.
 LEVELS = 50_000
 PARTS = 16
 
@@ -107,14 +105,16 @@ def _drawn_aucs(df: DataFrame, samples: int, seed: int, shuffled: bool) -> DataF
     ones, rows = int(totals["ones"].sum()), (totals["ones"] + totals["zeros"]).to_numpy(np.int64)
     if not 0 < ones < rows.sum():
         return None
-    rngs = [np.random.default_rng([seed, draw]) for draw in range(samples)]
-    dealt = np.stack([_choose(rows, ones, rng) if shuffled else rng.multinomial(int(rows.sum()), rows / rows.sum()) for rng in rngs])
-    sent = spark.sparkContext.broadcast((totals["block"].tolist(), dealt))
+    sent = spark.sparkContext.broadcast((totals["block"].to_numpy(), rows))  # two numbers a block of LEVELS scores
+
+    def share(draw: int, at: int) -> int:
+        """Rows (ones, if shuffled) that a draw deals to a block; every task works it out from the seed."""
+        rng, sizes = np.random.default_rng([seed, draw]), sent.value[1]
+        return int((_choose(sizes, ones, rng) if shuffled else rng.multinomial(int(sizes.sum()), sizes / sizes.sum()))[at])
 
     def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, shares = sent.value
         block, part = int(pdf["block"].iloc[0]), int(pdf["part"].iloc[0])
-        at = blocks.index(block)
+        at = int(np.searchsorted(sent.value[0], block))
         pdf = pdf.sort_values("score")
         own = pdf[["ones", "zeros"]].to_numpy(np.int64).T
         n, cells, out = own.sum(axis=0), own.ravel() / own.sum(), []
@@ -125,10 +125,10 @@ def _drawn_aucs(df: DataFrame, samples: int, seed: int, shuffled: bool) -> DataF
             if draw < 0:
                 y, z = own
             elif shuffled:
-                y = _choose(n, int(shares[draw, at]), rng)
+                y = _choose(n, share(draw, at), rng)
                 z = n - y
             else:
-                y, z = rng.multinomial(int(shares[draw, at]), cells).reshape(2, -1)
+                y, z = rng.multinomial(share(draw, at), cells).reshape(2, -1)
             below = np.cumsum(z) - z
             out.append((draw, block, int(y.sum()), int(z.sum()), float((y * (below + z / 2)).sum())))
         return pd.DataFrame(out, columns=["draw", "block", "ones", "zeros", "won"])
@@ -210,30 +210,32 @@ def _counted(df: DataFrame, samples: int, seed: int, kinds: tuple[str, ...]) ->
     return out.crossJoin(both.select(F.explode("far").alias("far"), "seen").agg(F.round(F.avg((F.col("far") >= F.col("seen")).cast("double")), 4).alias("auc_p")))
 
 
-def resampled(df: DataFrame, key: str, order: str, samples: int = 2000, seed: int = 7, kinds: tuple[str, ...] = ("bootstrap", "permutation")) -> DataFrame:
+def resampled(df: DataFrame, key: str, order: str, samples: int = 2000, seed: int = 7, kinds: tuple[str, ...] = ("bootstrap", "permutation"), draws: str = "counts") -> DataFrame:
     """(key, auc_lo, auc_hi, auc_p) for each of a few groups: the 2.5 % and 97.5 % draws of the AUC, and the share of
     shuffled labels whose AUC is as far from one half. Null below four rows or with one class; bootstrap draws that hold one class are left out.
+
+    ``draws``: "counts", the same at every size, or "rows", Python's generator row by row, for studies that are to agree with draws made
+    that way; a group's rows then go to each of PARTS tasks.
     """
-    sizes = {r[0]: r.n for r in known(df).groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a group
-    large = [k for k, n in sizes.items() if n * samples > MOST_DRAWN]
     groups = df.select(key).distinct()
-    rest = df if not large else df.where(~F.coalesce(F.col(key).isin(*large), F.lit(False)))
-    parts = [_small(rest, key, order, samples, seed, kinds)] if len(large) < len(sizes) else []
-    parts += [_counted(df.where(F.col(key) == k), samples, seed, kinds).select(F.lit(k).alias(key), "auc_lo", "auc_hi", "auc_p") for k in large]
+    if draws == "rows":
+        return groups.join(_small(df, key, order, samples, seed, kinds), key, "left")
+    sizes = known(df).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n >= 4").collect()  # a row a group
+    parts = [_counted(df.where(F.col(key).eqNullSafe(k)), samples, seed, kinds).select(F.lit(k).cast(df.schema[key].dataType).alias(key), "auc_lo", "auc_hi", "auc_p") for k, _ in sizes]
     return groups.join(reduce(DataFrame.union, parts), key, "left") if parts else groups.withColumns({c: F.lit(None).cast("double") for c in ("auc_lo", "auc_hi", "auc_p")})
 
 
-def _one(df: DataFrame, order: str, samples: int, seed: int, kind: str, columns: list[str]) -> DataFrame:
+def _one(df: DataFrame, order: str, samples: int, seed: int, kind: str, draws: str, columns: list[str]) -> DataFrame:
     """:func:`resampled` of a single sample: one row, of nulls where there is nothing to draw from."""
-    found = resampled(df.withColumn("_all", F.lit(0)), "_all", order, samples, seed, (kind,))
+    found = resampled(df.withColumn("_all", F.lit(0)), "_all", order, samples, seed, (kind,), draws)
     return df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(found, "_all", "left").select(*columns)
 
 
-def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
+def bootstrap_interval(df: DataFrame, order: str, samples: int = 2000, seed: int = 7, draws: str = "counts") -> DataFrame:
     """(auc_lo, auc_hi): the 2.5 % and 97.5 % draws of the AUC of one sample, as in :func:`resampled`."""
-    return _one(df, order, samples, seed, "bootstrap", ["auc_lo", "auc_hi"])
+    return _one(df, order, samples, seed, "bootstrap", draws, ["auc_lo", "auc_hi"])
 
 
-def permutation_test(df: DataFrame, order: str, samples: int = 2000, seed: int = 7) -> DataFrame:
+def permutation_test(df: DataFrame, order: str, samples: int = 2000, seed: int = 7, draws: str = "counts") -> DataFrame:
     """(auc_p): the share of shuffled labels of one sample whose AUC is as far from one half, as in :func:`resampled`."""
-    return _one(df, order, samples, seed, "permutation", ["auc_p"])
+    return _one(df, order, samples, seed, "permutation", draws, ["auc_p"])

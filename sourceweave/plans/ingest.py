@@ -114,10 +114,10 @@ SELECT page_id, url, CASE WHEN wall THEN '' ELSE body END AS body, NOT wall AND
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of documents written as CSV, odd ones appended once more, and read again: quotes, line breaks and blanks stay, control characters go."""
+    """Documents written as CSV, odd ones appended once more, and read again: quotes, line breaks and blanks stay, control characters go."""
     docs = _docs(spark, sf_dir)
     made = docs.select(
-        F.concat(F.lit(' "T" '), "doc_id").alias("title"), F.concat(F.substring("text", 1, 200), F.lit('\x01"q", x\ny \x0b')).alias("text"), F.col("source").alias("topic_source"),
+        F.concat(F.lit(' "T" '), "doc_id").alias("title"), F.concat("text", F.lit('\x01"q", x\ny \x0b')).alias("text"), F.col("source").alias("topic_source"),
         *[F.lit(None).cast("string").alias(c) for c in ("publish_date", "url", "publisher", "publisher_url")], (F.col("doc_id") % 2 == 0).alias("url_resolved"), F.lit(None).cast("boolean").alias("body_available"),
     )
     path = shared.scratch_path(spark, "csv")
@@ -127,7 +127,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_CSV = r"""
-WITH r AS (SELECT ' "T" ' || doc_id AS title, source AS topic_source, doc_id % 2 = 0 AS url_resolved, md5(regexp_replace(substr(text, 1, 200), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') || '"q", x' || chr(10) || 'y ') AS m FROM documents)
+WITH r AS (SELECT ' "T" ' || doc_id AS title, source AS topic_source, doc_id % 2 = 0 AS url_resolved, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') || '"q", x' || chr(10) || 'y ') AS m FROM documents)
 SELECT title, topic_source, url_resolved, CAST(CASE WHEN url_resolved THEN 1 ELSE 2 END AS BIGINT) AS n, m AS low, m AS high FROM r
 """
 
@@ -290,10 +290,10 @@ SQL_FIRST_TOPICS = "SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGE
 
 
 def dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dossier's entries of topics that are the documents of a source, by language as their sources."""
+    """The dossier's entries of topics that are the documents of a source, by language as their sources; document 0 is a topic by itself, too small for an entry."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     parts = [(F.col("doc_id") % 12).cast("string"), F.lit("-"), F.col("lang")]
-    rows = docs.where("source <> 'src0' or doc_id = 0").groupBy("source").agg(
+    rows = docs.withColumn("source", F.when(F.col("doc_id") == 0, "alone").otherwise(F.col("source"))).groupBy("source").agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.round(F.avg((F.col("doc_id") % 11 - 4) / 8), 4).alias("mean_sentiment"), (F.sum(F.col("doc_id") % 7) % 100).cast("int").alias("final_score"),
         F.array_sort(F.collect_set(F.concat(*parts))).alias("sources"), F.min_by(F.substring("text", 1, 80), "doc_id").alias("summary"),
     )
@@ -303,7 +303,7 @@ def dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_DOSSIER = """
 WITH r AS (SELECT source, count(*) AS n, round(avg((doc_id % 11 - 4) / 8.0::DOUBLE), 4) AS mean, sum(doc_id % 7) % 100 AS score, list_sort(list(DISTINCT (doc_id % 12) || '-' || lang)) AS s, min_by(substr(text, 1, 80), doc_id) AS summary
-  FROM documents WHERE source <> 'src0' OR doc_id = 0 GROUP BY source HAVING count(*) >= 2),
+  FROM (SELECT * REPLACE (CASE WHEN doc_id = 0 THEN 'alone' ELSE source END AS source) FROM documents) GROUP BY source HAVING count(*) >= 2),
 t AS (SELECT *, array_to_string(s[1:8], ', ') AS named FROM r)
 SELECT source, array_to_string(['SUBJECT: Topic ' || source,
   'SENTIMENT: ' || CASE WHEN mean > 0.2 THEN 'Positive' WHEN mean < -0.2 THEN 'Negative' ELSE 'Neutral' END || ' (Score: ' || round(mean, 2) || ') | CORROBORATION: ' || CAST(score AS INTEGER) || '/100 ' || CASE WHEN score > 70 THEN 'ok' ELSE 'review' END,

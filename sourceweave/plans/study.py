@@ -87,7 +87,7 @@ def rate_methods(scored: DataFrame, samples: int | None = None) -> DataFrame:
     found = metrics.evaluate(scored.where(own), ["method"], float(DEFAULT.flag_threshold)).withColumn("threshold", F.lit(DEFAULT.flag_threshold))
     found = found.unionByName(metrics.evaluate(scored.where(~own), ["method"]))
     if samples:
-        bounds = resampling.resampled(scored, "method", "claim_id", samples)
+        bounds = resampling.resampled(scored, "method", "claim_id", samples, draws="rows")
         found = found.join(bounds, "method").withColumn("near_chance", scores.straddles_chance(F.col("auc_lo"), F.col("auc_hi")))
     return found.orderBy(F.col("roc_auc").desc(), F.col("f1").desc())
 

@@ -73,20 +73,20 @@ def test_resampling_follows_the_generator(spark):
     rows = truth(spark, scores, labels)
     s, y = np.array(scores), np.array(labels)
     draws = sorted(resampling.auc(s[d], y[d]) for d in map(np.array, resampling.bootstrap_draws(14, 100, 7)) if 0 < y[d].sum() < 14)
-    low = resampling.bootstrap_interval(rows, "i", 100).first()
+    low = resampling.bootstrap_interval(rows, "i", 100, draws="rows").first()
     assert (low.auc_lo, low.auc_hi) == (round(draws[int(0.025 * len(draws))], 4), round(draws[int(0.975 * len(draws))], 4))
     seen = abs(resampling.auc(s, y) - 0.5)
     hits = sum(abs(resampling.auc(s, np.array(d)) - 0.5) >= seen for d in resampling.permutation_draws(labels, 100, 7))
-    assert resampling.permutation_test(rows, "i", 100).first().auc_p == hits / 100
+    assert resampling.permutation_test(rows, "i", 100, draws="rows").first().auc_p == hits / 100
     assert resampling.bootstrap_interval(truth(spark, [1, 2, 3], [1, 0, 1]), "i").first().auc_lo is None
+    assert resampling.bootstrap_interval(truth(spark, [1, 2, 3], [1, 0, 1]), "i", draws="rows").first().auc_lo is None
 
 
 def test_resampling_by_counts_has_the_same_law(spark, monkeypatch):
     rng = random.Random(8)
     labels = [int(rng.random() < 0.4) for _ in range(300)]
     rows = truth(spark, [round(rng.gauss(0.12 * y, 1), 1 + i % 2) for i, y in enumerate(labels)], labels)
-    low, p = resampling.bootstrap_interval(rows, "i", 1000).first(), resampling.permutation_test(rows, "i", 1000).first().auc_p
-    monkeypatch.setattr(resampling, "MOST_DRAWN", 0)
+    low, p = resampling.bootstrap_interval(rows, "i", 1000, draws="rows").first(), resampling.permutation_test(rows, "i", 1000, draws="rows").first().auc_p
     for levels in (resampling.LEVELS, 64):  # one block and several
         monkeypatch.setattr(resampling, "LEVELS", levels)
         counted = resampling.bootstrap_interval(rows, "i", 1000).first()
@@ -112,6 +112,37 @@ def test_resampling_of_more_than_a_million_rows(spark):
     assert 0 <= resampling.permutation_test(rows, "i", 40).first().auc_p <= 1
 
 
+@pytest.mark.parametrize("levels", [0, 10**6])
+def test_all_statistics_against_numpy(spark, monkeypatch, levels):
+    """Correlations, areas and means of groups with ties, a null group, a constant group and a group of one class."""
+    monkeypatch.setattr(metrics, "LEVELS", levels)
+    rng = np.random.default_rng(2)
+    rows = [(g, i, float(rng.choice([round(rng.normal(), 1), rng.normal()])), int(rng.integers(0, 2))) for i in range(300) for g in ("a", None)]
+    rows += [("flat", i, 7.1, i % 2) for i in range(9)] + [("ones", i, float(i), 1) for i in range(9)]
+    found = {r.g: r for r in metrics.rank_statistics(metrics.levels(spark.createDataFrame(rows, "g string, i int, score double, label int"), ["g"]), ["g"]).collect()}
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for g in ("a", None):
+        s, y = (np.array([r[k] for r in rows if r[0] == g]) for k in (2, 3))
+        assert found[g].pearson_r == pytest.approx(np.corrcoef(s, y)[0, 1]) and found[g].spearman_rho == pytest.approx(np.corrcoef(rank(s), rank(y))[0, 1])
+        assert (found[g].mean_true, found[g].mean_false) == pytest.approx((s[y == 1].mean(), s[y == 0].mean())) and found[g].roc_auc == pytest.approx(resampling.auc(s, y))
+    assert (found["flat"].pearson_r, found["flat"].spearman_rho, found["flat"].roc_auc) == (None, None, 0.5)
+    assert (found["ones"].pearson_r, found["ones"].roc_auc, found["ones"].mean_false) == (None, None, None)
+
+
+def test_a_score_that_half_of_all_rows_have(spark):
+    """Mid-ranks are looked up by cells, so no task of the join gets the half."""
+    rows = spark.range(4000).selectExpr("id as i", "cast(case when id % 2 = 0 then 5 else id end as double) as score", "cast(id % 3 = 0 as int) as label", "'m' as method")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = metrics.midranks(rows, ["method"])
+        assert found.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0] < 0.45 * 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.midrank for r in found.where("score = 5").collect()} == {3 + (2001 + 1) / 2 - 1}
+
+
 def bundles(spark):
     article = lambda t, d, body=True, stance="neutral", x="": {"title": t, "domain": d, "text": x, "body_available": body, "url_resolved": True, "stance": stance}
     rows = [
@@ -352,8 +383,9 @@ def test_ranks_by_ranges(spark, monkeypatch):
         own = [(t, z) for h, _, t, z in rows if h == g]
         won = [(t < s) + (t == s) / 2 for t, z in own if z == 0] if y else []
         want.setdefault(g, []).extend(won)
-    for ranges in (1, 3, 64):
+    for ranges, levels in ((1, 0), (3, 0), (64, 0), (64, 10**6)):
         monkeypatch.setattr(metrics, "RANGES", ranges)
+        monkeypatch.setattr(metrics, "LEVELS", levels)
         found = {r.g: r.roc_auc for r in metrics.roc_auc(table, ["g"]).collect()}
         assert found == {g: pytest.approx(sum(w) / len(w)) for g, w in want.items()}
         ranks = {r.score: r.midrank for r in metrics.score_ranks(table.where("g = 'a'"), ["g"]).collect()}
@@ -386,14 +418,15 @@ def test_unseen_with_a_key_of_half_of_all_rows(spark):
     assert sorted(r.ord for r in found.collect()) == [i for i in range(3000) if i % 2 == 0 and i != 4 or i == 1]
 
 
-def test_groups_are_resampled_at_once(spark):
+@pytest.mark.parametrize("draws", ["counts", "rows"])
+def test_groups_are_resampled_at_once(spark, draws):
     rng = random.Random(6)
     rows = [(m, i, rng.random(), i % 2) for m in ("a", "b") for i in range(20)] + [("one", i, 1.0, 1) for i in range(6)]
     table = spark.createDataFrame(rows, "method string, i int, score double, label int")
-    found = {r.method: r for r in resampling.resampled(table, "method", "i", 60).collect()}
+    found = {r.method: r for r in resampling.resampled(table, "method", "i", 60, draws=draws).collect()}
     for m in ("a", "b"):
         alone = table.where(F.col("method") == m)
-        low, p = resampling.bootstrap_interval(alone, "i", 60).first(), resampling.permutation_test(alone, "i", 60).first()
+        low, p = resampling.bootstrap_interval(alone, "i", 60, draws=draws).first(), resampling.permutation_test(alone, "i", 60, draws=draws).first()
         assert (found[m].auc_lo, found[m].auc_hi, found[m].auc_p) == (low.auc_lo, low.auc_hi, p.auc_p)
     assert (found["one"].auc_lo, found["one"].auc_p) == (None, None)
     plain = random.Random(3)
