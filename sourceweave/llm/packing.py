@@ -28,8 +28,8 @@ from sourceweave.llm.tokens import byte_symbols
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks whose ids a worker keeps.
-CACHE_ENTRIES = 300_000
+#: Characters of the chunks whose ids a worker keeps, and of the longest of them: longer ones hardly come twice.
+CACHE_CHARS, KEPT_CHARS = 4 << 20, 64
 
 _UNSAFE, _CUT = re.compile(r"\s \s|  "), re.compile(r"(?<=\S) (?=\S)")
 
@@ -57,6 +57,7 @@ class Encoder:
         self.by_chunk = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space")) == ("ByteLevel", True, False) and self.library.normalizer is None
         self.merge = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,17 +71,23 @@ class Encoder:
         if not self.by_chunk or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         chunks = self._chunks(text)
-        if missing := set(chunks).difference(self.cache):
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
-                missing = set(chunks)
-            self._learn(missing)
-        return b"".join(map(self.cache.__getitem__, chunks))
-
-    def _learn(self, chunks: set[str]) -> None:
-        merge, cache = self.merge, self.cache
-        for chunk in chunks:
-            cache[chunk] = array("I", merge(chunk)).tobytes()
+        missing = set(chunks).difference(self.cache)
+        if not missing:
+            return b"".join(map(self.cache.__getitem__, chunks))
+        known = {c: self.cache[c] for c in set(chunks) if c in self.cache} | self._learn(missing)
+        return b"".join(map(known.__getitem__, chunks))
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks; those of the short ones are kept, as many as CACHE_CHARS hold."""
+        merge = self.merge
+        found = {chunk: array("I", merge(chunk)).tobytes() for chunk in chunks}
+        if self.held > CACHE_CHARS:
+            self.cache.clear()
+            self.held = 0
+        short = {c: ids for c, ids in found.items() if len(c) <= KEPT_CHARS}
+        self.cache.update(short)
+        self.held += sum(map(len, short))
+        return found
 
     @staticmethod
     def _chunks(text: str) -> list[str]:

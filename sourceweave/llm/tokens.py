@@ -22,7 +22,8 @@ from sourceweave.llm.common import slices, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE_ENTRIES = 300_000
+#: Characters of the chunks that a worker keeps, and of the longest of them: longer ones hardly come twice.
+CACHE_CHARS, KEPT_CHARS = 4 << 20, 64
 GROUP_CHARS = 4 << 20
 
 #: White space of the vocabulary's patterns, which str.split() takes for granted, and what only str.split() adds.
@@ -62,6 +63,7 @@ class TokenCounter:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         self.none = len(pairs)
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.width + right
@@ -109,13 +111,19 @@ class TokenCounter:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         return chunk.lower()
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+    def _learn(self, chunks: list[str]) -> dict[str, int]:
+        """Counts of chunks; the short ones are kept, as many as CACHE_CHARS hold."""
         split = [self.pattern.findall(self._normal(c)) for c in chunks]
         words = sorted(set().union(*split)) if split else []
         counts = dict(zip(words, self.count_sequences([w.encode("utf-8", "replace") for w in words]).tolist()))
-        self.cache.update(zip(chunks, (sum(map(counts.__getitem__, s)) for s in split)))
+        found = dict(zip(chunks, (sum(map(counts.__getitem__, s)) for s in split)))
+        if self.held > CACHE_CHARS:
+            self.cache.clear()
+            self.held = 0
+        short = {c: n for c, n in found.items() if len(c) <= KEPT_CHARS}
+        self.cache.update(short)
+        self.held += sum(map(len, short))
+        return found
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ONLY_SPLIT.search(text) else text.split()
@@ -149,8 +157,9 @@ class TokenCounter:
             specials.append(len(parts) - 1)
             split.append([c for p in parts for c in self._chunks(p)])
         missing = set().union(*split) if split else set()
-        self._learn(list(missing) if len(self.cache) > CACHE_ENTRIES else list(missing.difference(self.cache)))
-        return [n + sum(map(self.cache.__getitem__, c)) for n, c in zip(specials, split)]
+        known = {c: self.cache[c] for c in missing if c in self.cache}
+        known |= self._learn([c for c in missing if c not in known])
+        return [n + sum(map(known.__getitem__, c)) for n, c in zip(specials, split)]
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
@@ -170,7 +179,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
 
     Special strings inside a text are one token each, as the library's default has it. Null texts count as empty:
     no bytes, no tokens. Null identifiers stay null; rows that repeat are counted each by itself; a very long text is
-    counted whole, a stretch at a time; an empty table gives an empty result; other columns are not read.
+    counted whole, a stretch at a time, which ends at white space (one without any is held whole); an empty table gives an empty result; other columns are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ def texts():
 
 @pytest.mark.parametrize("entries", [300_000, 50])
 def test_counts_are_the_library_s(monkeypatch, entries):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", entries)
+    monkeypatch.setattr(tokens, "CACHE_CHARS", entries)
     path = public_tokenizers.path(tokens.TOKENIZER)
     library = Tokenizer.from_file(path)
     given = texts()
@@ -30,7 +30,7 @@ def test_counts_are_the_library_s(monkeypatch, entries):
 
 @pytest.mark.parametrize("entries", [300_000, 50])
 def test_ids_are_the_library_s(monkeypatch, entries):
-    monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+    monkeypatch.setattr(packing, "CACHE_CHARS", entries)
     path = public_tokenizers.path(packing.TOKENIZER)
     library = Tokenizer.from_file(path)
     given = texts()
@@ -127,3 +127,15 @@ def test_pack(spark, edge_rows):
         assert end <= 2048
     assert sorted(2048 - sum(n for _, n in s) for s in sequences.values()) == best_fit([n for *_, n, _ in want], 2048)
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_caches_are_bounded_by_characters():
+    """Chunks without white space, as Chinese has them, are not kept, and short ones only as many as there is room for."""
+    rng = random.Random(6)
+    chinese = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(1000)) for _ in range(40)]
+    many = [" ".join(f"word{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(60)]
+    for made, run in ((tokens.token_counter(tokens.TOKENIZER), lambda c, t: c.count(t)), (packing.encoder(packing.TOKENIZER), lambda c, t: list(c.encode(t)))):
+        run(made, chinese)
+        assert all(len(c) <= 64 for c in made.cache)
+        run(made, many)
+        assert sum(map(len, made.cache)) <= 2 * max(tokens.CACHE_CHARS, packing.CACHE_CHARS)
