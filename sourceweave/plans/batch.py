@@ -12,7 +12,7 @@ from sourceweave import shared
 from sourceweave.functions import fixed, scores, text, vectors
 from sourceweave.hooks import Embedder, encode_once, hash_words
 from sourceweave.operators import clusters, dedup, export, quality, timebins, topics
-from sourceweave.plans.texts import _quoted
+from sourceweave.plans.texts import _WS, _quoted
 from sourceweave.sources import tables
 from sourceweave.streaming.model import adaptive_k
 
@@ -152,20 +152,30 @@ SELECT ord, CASE WHEN length(t) % 2 = 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS s
 
 
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three phrases of each document's beginning that are nearest to its vector."""
-    docs = tables.scan(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.substring("text", 1, 60).alias("text"))
-    found = topics.keyphrases(docs.withColumn("v", _letters(F.col("text"))), "doc_id", "text", "v", _letters, 3)
+    """The five phrases of each document that are nearest to its vector of hashed words: of its first 512 characters, as a model is shown."""
+    docs = tables.scan(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.short(F.col("text")).alias("text"))
+    embed = hash_words(64)
+    found = topics.keyphrases(docs.withColumn("v", embed(F.col("text"))), "doc_id", "text", "v", embed)
     return found.select("doc_id", F.array_join("phrases", "|").alias("phrases"))
 
 
+# a phrase of one word, or of two in one slot, points along that slot; one of two slots halfway between
 SQL_PHRASES = rf"""
-WITH d AS (SELECT doc_id, lower(substr(text, 1, 60)) AS t FROM documents),
-k AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\pL\pN\pM_]+'), lambda w: length(w) > 1 AND NOT list_contains([{_quoted(fixed.ENGLISH_STOP_WORDS)}], w)) AS w FROM d),
-p AS (SELECT DISTINCT doc_id, t, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase FROM k),
-v AS (SELECT doc_id, phrase, list_transform(['a', 'e', 'i', 'o'], lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE)) AS a, list_transform(['a', 'e', 'i', 'o'], lambda c: CAST(length(phrase) - length(replace(phrase, c, '')) AS DOUBLE)) AS b FROM p),
-s AS (SELECT doc_id, phrase, round(coalesce(list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0), 0), 9) AS near FROM v),
+WITH remainders AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) ORDER BY k) AS t FROM range(256) r(k)),
+d AS (SELECT doc_id, lower(substr(text, 1, 512)) AS t FROM documents),
+k AS (SELECT doc_id, list_filter(regexp_extract_all(t, '[\pL\pN\pM_]+'), lambda w: length(w) > 1 AND NOT list_contains([{_quoted(fixed.ENGLISH_STOP_WORDS)}], w)) AS w FROM d),
+p AS (SELECT DISTINCT doc_id, unnest(list_concat(list_transform(w, lambda x: [x, NULL]), list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]]))) AS pair FROM k),
+b AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(t, '{_WS}+'), lambda x: regexp_replace(x, '^[.,;:!?()"'']+|[.,;:!?()"'']+$', '', 'g')), lambda x: x <> '')) AS word FROM d),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM b UNION SELECT pair[1] FROM p UNION SELECT pair[2] FROM p WHERE pair[2] IS NOT NULL)),
+slots AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 64 AS slot FROM words, remainders),
+n AS MATERIALIZED (SELECT doc_id, slot, count(*) AS n FROM b JOIN slots USING (word) GROUP BY doc_id, slot),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS len FROM n GROUP BY doc_id),
+s AS (
+  SELECT p.doc_id, p.pair[1] || coalesce(' ' || p.pair[2], '') AS phrase,
+    round(coalesce((coalesce(na.n, 0) + CASE WHEN sb.slot <> sa.slot THEN coalesce(nb.n, 0) ELSE 0 END) / l.len / CASE WHEN sb.slot <> sa.slot THEN sqrt(2) ELSE 1 END, 0), 9) AS near
+  FROM p JOIN slots sa ON sa.word = p.pair[1] LEFT JOIN slots sb ON sb.word = p.pair[2] LEFT JOIN n na ON na.doc_id = p.doc_id AND na.slot = sa.slot LEFT JOIN n nb ON nb.doc_id = p.doc_id AND nb.slot = sb.slot LEFT JOIN l ON l.doc_id = p.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, encode(phrase)) AS k FROM s)
-SELECT doc_id, string_agg(phrase, '|' ORDER BY k) AS phrases FROM r WHERE k <= 3 GROUP BY doc_id
+SELECT doc_id, string_agg(phrase, '|' ORDER BY k) AS phrases FROM r WHERE k <= 5 GROUP BY doc_id
 """
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceweave import hooks, shared
 from sourceweave.functions import fixed, scores, text, urls
-from sourceweave.operators import claims, dedup, export, quality, rivals, timebins
+from sourceweave.operators import claims, dedup, export, quality, rivals, timebins, topics
 from sourceweave.plans.study import vector_bundles
 from sourceweave.plans.texts import CUES, RATINGS, _bordered, _count, _cut_sql, _docs, _english, _looks, _quoted, _INFORMATIVE, _SENTENCES, _WS
 from sourceweave.sources import feeds, html, search, tables
@@ -410,20 +410,19 @@ SQL_DECODED = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id %
 
 
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of the beginnings of documents, each beginning encoded once."""
-    docs = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 30).alias("t"))
-    found = hooks.encode_once(docs, "t", hooks.hash_words(4))
-    return found.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(f"v{i}") for i in range(4)])
+    """The vectors of the documents' clustering texts, each text encoded once: a row for each slot that isn't zero."""
+    docs = _docs(spark, sf_dir).select("doc_id", topics.clustering_text(F.substring_index("text", "\n", 1), F.col("text")).alias("t"))
+    found = hooks.encode_once(docs, "t", hooks.hash_words(64)).select("doc_id", F.posexplode("embedding").alias("slot", "value"))
+    return found.where("value <> 0").select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
 SQL_EMBEDDED = rf"""
 WITH remainders AS (SELECT list(list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, k) ORDER BY k) AS t FROM range(256) r(k)),
-w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(substr(text, 1, 30)), '{_WS}+'), lambda x: regexp_replace(x, '^[.,;:!?()"'']+|[.,;:!?()"'']+$', '', 'g')), lambda x: x <> '')) AS word FROM documents),
-b AS (SELECT doc_id, list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS b FROM w),
-c AS (SELECT doc_id, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 4 AS slot FROM b, remainders),
-n AS (SELECT doc_id, count(slot) FILTER (slot = 0) AS a, count(slot) FILTER (slot = 1) AS b, count(slot) FILTER (slot = 2) AS c, count(slot) FILTER (slot = 3) AS d FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id),
-l AS (SELECT *, greatest(1e-300::DOUBLE, sqrt(a * a + b * b + c * c + d * d)) AS len FROM n)
-SELECT doc_id, round(a / len, 6) AS v0, round(b / len, 6) AS v1, round(c / len, 6) AS v2, round(d / len, 6) AS v3 FROM l
+w AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(string_split(text, chr(10))[1] || '. ' || substr(text, 1, 1200)), '{_WS}+'), lambda x: regexp_replace(x, '^[.,;:!?()"'']+|[.,;:!?()"'']+$', '', 'g')), lambda x: x <> '')) AS word FROM documents),
+h AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+s AS MATERIALIZED (SELECT word, CAST(xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 64 AS INTEGER) AS slot FROM h, remainders),
+n AS (SELECT doc_id, slot, count(*) AS n FROM w JOIN s USING (word) GROUP BY doc_id, slot)
+SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM n
 """
 
 PROFILE = ("reachable", "about", "corrections", "staff", "contact", "has_bylines", "labels_ads", "labels_opinion")

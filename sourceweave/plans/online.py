@@ -80,23 +80,29 @@ SELECT CAST(topic AS INTEGER) AS topic, label, {title_sql('label')} AS title FRO
 
 
 def matched_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Public numbers that the first four labels, learnt anew from the odd rows in reverse, take over from those of the even rows."""
+    """Public numbers that all labels, learnt anew from the odd rows in reverse, take over from those of the even rows."""
     means = {}
     for part in (0, 1):
-        own = scan(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").where(f"vec_id % 2 = {part} and label < 4")
-        means[part] = [list(r.centroid) for r in clusters.centroids(own, "label", "embedding").orderBy("label").collect()]  # four rows
+        own = scan(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").where(f"vec_id % 2 = {part}")
+        means[part] = [list(r.centroid) for r in clusters.centroids(own, "label", "embedding").orderBy("label").collect()]  # a row a label
     empty = spark.createDataFrame([], "topic int, term string, tf bigint")
-    before = model.TopicModel(means[0], [1.0] * 4, empty, (), {i: (i + 2) % 4 for i in range(4)})
-    fresh = model.aligned(model.TopicModel(means[1][::-1], [1.0] * 4, empty), before)
+    k = len(means[0])
+    before = model.TopicModel(means[0], [1.0] * k, empty, (), {i: (i + 2) % k for i in range(k)})
+    fresh = model.aligned(model.TopicModel(means[1][::-1], [1.0] * len(means[1]), empty), before)
     return spark.createDataFrame(sorted(fresh.alias.items()), "raw int, public int")
 
 
+# the best assignment of the first raw topics to each set of old ones, as bits, raw topic after raw topic
 SQL_MATCHED = """
-WITH c AS (SELECT part, label, list(m ORDER BY i) AS c FROM (SELECT vec_id % 2 AS part, label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) WHERE label < 4 GROUP BY ALL) GROUP BY ALL),
-s AS (SELECT 3 - f.label AS raw, b.label AS old, list_cosine_similarity(f.c, b.c) AS s FROM c f, c b WHERE f.part = 1 AND b.part = 0),
-p AS (SELECT [a, b, c, d] AS p FROM range(4) t1(a), range(4) t2(b), range(4) t3(c), range(4) t4(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d),
-best AS (SELECT arg_max(p, total) AS p FROM (SELECT p, sum(s) AS total FROM p, s WHERE p[CAST(raw AS INTEGER) + 1] = old GROUP BY p))
-SELECT CAST(raw AS INTEGER) AS raw, CAST((p[CAST(raw AS INTEGER) + 1] + 2) % 4 AS INTEGER) AS public FROM best, range(4) r(raw)
+WITH RECURSIVE c AS (SELECT part, dense_rank() OVER (PARTITION BY part ORDER BY label) - 1 AS nth, count(*) OVER (PARTITION BY part) AS k, c FROM (
+  SELECT part, label, list(m ORDER BY i) AS c FROM (SELECT vec_id % 2 AS part, label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL) GROUP BY ALL)),
+s AS MATERIALIZED (SELECT f.k - 1 - f.nth AS raw, b.nth AS old, b.k, list_cosine_similarity(f.c, b.c) AS s FROM c f, c b WHERE f.part = 1 AND b.part = 0),
+best(raw, used, total, p) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT b.raw + 1, b.used | (1::BIGINT << s.old), max(b.total + s.s), arg_max(list_append(b.p, s.old), b.total + s.s) FROM best b JOIN s ON s.raw = b.raw AND b.used & (1::BIGINT << s.old) = 0 GROUP BY b.raw, b.used | (1::BIGINT << s.old)),
+whole AS (SELECT p, len(p) AS k FROM best ORDER BY raw DESC LIMIT 1)
+SELECT CAST(raw AS INTEGER) AS raw, CAST((p[raw + 1] + 2) % k AS INTEGER) AS public FROM (SELECT p, k, unnest(range(k)) AS raw FROM whole)
 """
 
 
