@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions import fixed, text, urls
-from sourceweave.operators import claims, dedup, quality, rivals, topics
+from sourceweave.operators import claims, dedup, quality, rivals, topics, topk
 from sourceweave.sources.tables import scan
 
 
@@ -262,16 +262,11 @@ SELECT source, round(coalesce(100 * avg(sim), 0), 5) AS score FROM first LEFT JO
 def claim_source_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to each benchmark item by the cosine of their term counts, function words left out.
 
-    Items are the stated queries: their terms are the small side; a document meets an item only through shared terms.
+    Items are the stated queries: they travel to the documents, which are not shuffled.
     """
-    count = lambda df, key: df.select(key, F.explode(text.terms(F.col("text"), fixed.ENGLISH_STOP_WORDS)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    items = count(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id").withColumnRenamed("tf", "qf")
-    docs = count(_docs(spark, sf_dir), "doc_id")
-    norm = lambda df, key, c: df.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"n_{c}"))
-    dots = docs.join(items, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"))
-    sims = dots.join(norm(docs, "doc_id", "tf"), "doc_id").join(norm(items, "item_id", "qf"), "item_id").withColumn("similarity", F.round(F.col("dot") / (F.col("n_tf") * F.col("n_qf")), 6))
-    order = Window.partitionBy("item_id").orderBy(F.col("similarity").desc(), "doc_id")
-    return sims.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("item_id", "rank", "doc_id", "similarity")
+    words = text.terms(F.col("text"), fixed.ENGLISH_STOP_WORDS)
+    found = topk.nearest(_docs(spark, sf_dir), "doc_id", words, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", words, 3)
+    return found.select("item_id", "rank", "doc_id", "similarity")
 
 
 SQL_CLAIMS = rf"""
