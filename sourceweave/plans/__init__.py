@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sourceweave.plans import batch, clusters, evaluation, events, ingest, online, streams, study, texts
+from sourceweave.plans import batch, clusters, evaluation, events, exports, ingest, online, streams, study, texts
 
-MODULES = (clusters, texts, evaluation, events, ingest, online, batch, study, streams)
+MODULES = (clusters, texts, evaluation, events, ingest, online, batch, study, streams, exports)
 
 
 def queries() -> dict:
