@@ -1,4 +1,4 @@
-"""Queries over ``events`` as a stream in several arrivals, some rows of which come an arrival later: sliding windows, and views joined to clicks."""
+"""Queries over streams in several arrivals: sliding windows over ``events`` and views joined to clicks, some rows of which come an arrival later; feeds made of ``pages``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave import shared
+from sourceweave.sources import feed_stream, feeds
+from sourceweave.sources.tables import scan
 from sourceweave.streaming import windows
 
 ARRIVALS = 3
@@ -70,5 +72,27 @@ SELECT v.user_id, v.event_id AS view_id, c.event_id AS click_id, (c.u - v.u) / 1
 FROM kept v JOIN kept c ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.u BETWEEN v.u AND v.u + {WITHIN} * 3600000000
 """
 
-QUERIES = {f.__name__: f for f in (sliding_counts, view_clicks)}
-SQL = {"sliding_counts": SQL_SLIDING, "view_clicks": SQL_CLICKS}
+FEED = 50
+
+
+def streamed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of feeds that are fetched three times, each item once; a fetch still has the items of the one before. A feed has fifty pages."""
+    path = shared.scratch_path(spark, "feeds")
+    arrival, link = F.col("page_id") % ARRIVALS, F.replace("url", F.lit("&"), F.lit("&amp;"))
+    date = F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), arrival.cast("int")), "EEE, dd MMM yyyy")
+    item = F.concat(F.lit("<item><title>Page "), "page_id", F.lit("</title><link>"), link, F.lit("</link><guid>"), F.format_string("%012d", "page_id"), F.lit("</guid><pubDate>"), date, F.lit(" 08:00:00 GMT</pubDate></item>"))
+    pages = shared.stored(scan(spark, sf_dir, "pages", "page_id", "url").select(F.expr(f"page_id div {FEED}").alias("feed"), arrival.alias("arrival"), item.alias("value")), "items")
+    for k in range(ARRIVALS):
+        pages.where(F.col("arrival").isin(k, k - 1)).repartition("feed").select("feed", "value").write.mode("overwrite").partitionBy("feed").text(f"{path}/in")
+        items = feed_stream.streamed(spark, f"{path}/in")
+        windows.arrived(items, f"{path}/out", f"{path}/checkpoint")
+    rows = spark.read.schema(feed_stream.SCHEMA).parquet(f"{path}/out")
+    return feeds.parse_feed(rows, keep=("feed", "guid")).select(F.col("feed").cast("bigint").alias("feed"), F.col("guid").cast("bigint").alias("guid"), "title", "url", "date")
+
+
+SQL_STREAMED = f"""
+SELECT page_id // {FEED} AS feed, page_id AS guid, 'Page ' || page_id AS title, url, strftime(DATE '2024-01-01' + CAST(page_id % {ARRIVALS} AS INTEGER), '%Y-%m-%d') AS date FROM pages
+"""
+
+QUERIES = {f.__name__: f for f in (sliding_counts, view_clicks, streamed_feeds)}
+SQL = {"sliding_counts": SQL_SLIDING, "view_clicks": SQL_CLICKS, "streamed_feeds": SQL_STREAMED}
