@@ -5,8 +5,8 @@ of score. A draw deals its rows over the blocks (multinomial for the bootstrap;
 replacement) and, in a task a block, over the block's scores. That is the law of drawing rows, from numpy's generator, and
 no task holds more than a block's scores, and the driver two numbers a block.
 
-Studies that are to agree with draws made row by row ask for ``draws="rows"``: Python's generator, all groups in one pass, PARTS tasks
-a group, each with the group's rows and its own share of the draws from the seed.
+Studies that are to agree with draws made row by row ask for ``draws="rows"``: Python's generator, all groups in one pass, a task
+a group and kind with the group's rows, which makes the draws from the seed and holds one at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from sourceweave.operators.metrics import known
 #: Distinct scores in a block, about, and the tasks over which the draws of a block are dealt.
 LEVELS = 50_000
 PARTS = 16
+#: Words that are asked of the generator at a time, at least.
+WORDS = 1 << 16
 
 
 def _midranks(values: np.ndarray) -> np.ndarray:
@@ -38,21 +40,28 @@ def auc(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((_midranks(scores)[labels == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(labels) - ones)))
 
 
-def bootstrap_draws(n: int, samples: int, seed: int) -> np.ndarray:
-    """(samples, n) positions, as Python's generator draws them one after the other for a seed.
+def _positions(n: int, samples: int, seed: int) -> Iterator[np.ndarray]:
+    """``samples`` draws of n positions, as Python's generator draws them one after the other for a seed.
 
     That generator is the Mersenne twister: a position below ``n`` is the top bits of a 32-bit word, and words that give too
-    large a number are passed over. The words come in one go here.
+    large a number are passed over. The words come in stretches of a draw, or of WORDS if that is more, so no more is held.
     """
     kind, state, _ = random.Random(seed).getstate()
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
-    bits, wanted, found = n.bit_length(), samples * n, []
-    while wanted > 0:
-        some = words.random_raw(int(wanted * (1 << bits) / n * 1.02) + 64) >> np.uint64(32 - bits)
-        found.append(some[some < n].astype(np.int64)[:wanted])
-        wanted -= len(found[-1])
-    return np.concatenate(found or [np.zeros(0, dtype=np.int64)]).reshape(samples, n)
+    bits, held, at = n.bit_length(), np.zeros(0, dtype=np.int64), 0
+    for _ in range(samples):
+        while len(held) - at < n:
+            missing = n - (len(held) - at)
+            some = words.random_raw(max(WORDS, int(missing * (1 << bits) / n * 1.02) + 64)) >> np.uint64(32 - bits)
+            held, at = np.concatenate([held[at:], some[some < n].astype(np.int64)]), 0
+        yield held[at : at + n]
+        at += n
+
+
+def bootstrap_draws(n: int, samples: int, seed: int) -> np.ndarray:
+    """(samples, n) positions of :func:`_positions`, all at once: for small samples."""
+    return np.array(list(_positions(n, samples, seed)), dtype=np.int64).reshape(samples, n)
 
 
 def permutation_draws(labels: list[int], samples: int, seed: int) -> list[list[int]]:
@@ -147,49 +156,48 @@ def _bounds(rated: DataFrame) -> DataFrame:
     return ordered.select(at(0.025).alias("auc_lo"), at(0.975).alias("auc_hi"))
 
 
-def _rated(scores: np.ndarray, labels: np.ndarray, draws: np.ndarray, samples: int, seed: int, kinds: tuple[str, ...]) -> pd.DataFrame:
-    """(kind, value) of the draws of a small sample: the AUC of a bootstrap draw, and whether a shuffled one is as far from one half."""
-    kind, value = [], []
-    if "bootstrap" in kinds:
-        for picked in bootstrap_draws(len(scores), samples, seed)[draws]:
-            y = labels[picked]
-            if 0 < y.sum() < len(y):
-                kind.append("bootstrap")
-                value.append(auc(scores[picked], y))
-    if "permutation" in kinds:
+def _rated(scores: np.ndarray, labels: np.ndarray, samples: int, seed: int, kind: str) -> pd.DataFrame:
+    """(kind, value) of the draws of a sample: the AUC of a bootstrap draw, or whether a shuffled one is as far from one half. One draw is held at a time."""
+    values, n = [], len(scores)
+    if kind == "bootstrap":
+        distinct, level = np.unique(scores, return_inverse=True)
+        for picked in _positions(n, samples, seed):
+            at, y = level[picked], labels[picked] == 1
+            ones, rows = np.bincount(at[y], minlength=len(distinct)), np.bincount(at, minlength=len(distinct))
+            p = int(ones.sum())
+            if 0 < p < n:
+                values.append(float(((ones * (np.cumsum(rows) - (rows - 1) / 2)).sum() - p * (p + 1) / 2) / (p * (n - p))))
+    else:
         ranks, ones = _midranks(scores), int(labels.sum())
         seen = abs(auc(scores, labels) - 0.5)
-        wanted = set(draws.tolist())
-        rng, now = random.Random(seed), labels.tolist()
-        for draw in range(int(draws.max()) + 1):
+        rng, now = random.Random(seed), bytearray(labels.astype(np.uint8))
+        for _ in range(samples):
             rng.shuffle(now)
-            if draw in wanted:
-                found = (ranks[np.array(now) == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(now) - ones))
-                kind.append("permutation")
-                value.append(float(abs(found - 0.5) >= seen))
-    return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "value": np.array(value, dtype=float)})
+            found = (ranks[np.frombuffer(now, dtype=np.uint8) == 1].sum() - ones * (ones + 1) / 2) / (ones * (n - ones))
+            values.append(float(abs(found - 0.5) >= seen))
+    return pd.DataFrame({"kind": pd.Series([kind] * len(values), dtype=object), "value": np.array(values, dtype=float)})
 
 
 def _small(df: DataFrame, key: str, order: str, samples: int, seed: int, kinds: tuple[str, ...]) -> DataFrame:
-    """(key, auc_lo, auc_hi, auc_p) of samples that are drawn row by row, all at once.
+    """(key, auc_lo, auc_hi, auc_p) of samples that are drawn row by row, all groups at once.
 
-    A task has a sample and a share of its draws: it makes them itself from the seed, so nothing but the rows is sent.
-    Groups below four rows or with one class are left out.
+    A task has a sample and a kind of draws, each of which begins where the one before ended: it makes them itself from the seed, so
+    nothing but the rows is sent, and holds one at a time. Groups below four rows or with one class are left out.
     """
     rows = known(df).select(F.col(key).alias("_key"), "score", F.col("label").cast("int").alias("label"), F.col(order).alias("_order"))
-    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # by a fixed number, or small tables would meet in a few tasks, and their draws take long
+    dealt = rows.withColumn("_kind", F.explode(F.array(*map(F.lit, kinds)))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "_kind")
 
     def rate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
-        scores, labels, part = pdf["score"].to_numpy(float), pdf["label"].to_numpy(int), int(pdf["_part"].iloc[0])
-        draws = np.arange(part, samples, PARTS)
-        if len(scores) < 4 or len(set(labels.tolist())) < 2 or not len(draws):
+        scores, labels = pdf["score"].to_numpy(float), pdf["label"].to_numpy(int)
+        if len(scores) < 4 or len(set(labels.tolist())) < 2 or not samples:
             return pd.DataFrame({"_key": pd.Series([], dtype=object), "kind": pd.Series([], dtype=object), "value": np.zeros(0)})
-        found = _rated(scores, labels, draws, samples, seed, kinds)
+        found = _rated(scores, labels, samples, seed, pdf["_kind"].iloc[0])
         found.insert(0, "_key", pdf["_key"].iloc[0])
         return found
 
-    rated = dealt.groupBy("_key", "_part").applyInPandas(rate, f"_key {df.schema[key].dataType.simpleString()}, kind string, value double")
+    rated = dealt.groupBy("_key", "_kind").applyInPandas(rate, f"_key {df.schema[key].dataType.simpleString()}, kind string, value double")
     booted = F.sort_array(F.collect_list(F.when(F.col("kind") == "bootstrap", F.col("value"))))
     at = lambda q: F.round(F.get("_a", F.floor(F.lit(q) * F.size("_a")).cast("int")), 4)
     summed = rated.groupBy(F.col("_key").alias(key)).agg(booted.alias("_a"), F.round(F.avg(F.when(F.col("kind") == "permutation", F.col("value"))), 4).alias("auc_p"))
@@ -215,7 +223,7 @@ def resampled(df: DataFrame, key: str, order: str, samples: int = 2000, seed: in
     shuffled labels whose AUC is as far from one half. Null below four rows or with one class; bootstrap draws that hold one class are left out.
 
     ``draws``: "counts", the same at every size, or "rows", Python's generator row by row, for studies that are to agree with draws made
-    that way; a group's rows then go to each of PARTS tasks.
+    that way; a group's rows then go to a task for each kind.
     """
     groups = df.select(key).distinct()
     if draws == "rows":
