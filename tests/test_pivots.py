@@ -74,3 +74,17 @@ def test_a_third_of_all_rows_alike(spark):
     rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then array(1D, 0D) else array(cast(id as double), 1D + id * id) end as v")
     found = dedup.semantic_links(rows, "id", "v", 0.99999999)
     assert found.where("class_id = 0").agg({"n_links": "min"}).first()[0] == 999 and found.count() == 3000
+
+
+def test_products_take_turns(spark):
+    """Vectors without structure: all turns together deal the rows that one deals, none deals more than its share, and its shuffle goes."""
+    rng = np.random.default_rng(4)
+    rows = table(spark, rng.normal(size=(1500, 12)))
+    deal, _, copies = pivots._dealer(rows, 0.5, 60, 60)
+    assert copies > 12
+    turns = -(-copies // pivots.COPIES)
+    key = ["cell", "p", "q", "own", "side", "id"]
+    dealt = [sorted(map(tuple, deal(t, turns).select(*key).collect())) for t in range(turns)]
+    assert max(map(len, dealt)) < 2 * pivots.COPIES * 1500
+    assert sorted(sum(dealt, [])) == sorted(map(tuple, pivots.products(rows, 0.5, 60, 60)[0].select(*key).collect()))
+    assert spark.conf.get(pivots.CLEAN_UP) == "false"
