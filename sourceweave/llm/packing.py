@@ -13,7 +13,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -28,18 +27,17 @@ from sourceweave.llm.tokens import byte_symbols
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters of the chunks whose ids a worker keeps, and of the longest of them: longer ones hardly come twice.
+#: Characters of the texts whose ids a worker keeps, and of the longest of them: longer ones hardly come twice.
 CACHE_CHARS, KEPT_CHARS = 4 << 20, 64
 
-_UNSAFE, _CUT = re.compile(r"\s \s|  "), re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Token ids of whole texts as the library gives them, by way of a cache of chunks.
+    """Token ids of whole texts as the library gives them, by way of the vocabulary's pattern and ranks.
 
-    A blank with no white space on one side always begins a token of this family of patterns, so a text may be cut
-    before it. Texts in which a blank stands between other white space, or with a special string, go to the library
-    whole. A chunk new to the cache is split by the vocabulary's pattern and merged by its ranks.
+    A text is split and merged in one call, which is several times as fast as the library. Texts with a special string,
+    and those with runs of white space too long for the pattern, go to the library. Ids of short texts are kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,8 +52,8 @@ class Encoder:
         ranks = {bytes(map(to_byte.__getitem__, token)): n for token, n in self.library.get_vocab(with_added_tokens=False).items()}
         # the pattern is that of the library's byte-level splitter; a vocabulary that splits in another way is left to the library
         splitter = json.loads(self.library.to_str())["pre_tokenizer"] or {}
-        self.by_chunk = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space")) == ("ByteLevel", True, False) and self.library.normalizer is None
-        self.merge = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.by_ranks = (splitter.get("type"), splitter.get("use_regex"), splitter.get("add_prefix_space")) == ("ByteLevel", True, False) and self.library.normalizer is None
+        self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -65,34 +63,30 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for text in texts:
-            yield self._stretch(text) if len(text) <= SLICE else b"".join(map(self._stretch, _stretches(text)))
+            yield self._short(text) if len(text) <= KEPT_CHARS else self._ids(text)
+
+    def _ids(self, text: str) -> bytes:
+        return self._stretch(text) if len(text) <= SLICE else b"".join(map(self._stretch, _stretches(text)))
 
     def _stretch(self, text: str) -> bytes:
-        if not self.by_chunk or _UNSAFE.search(text) or any(s in text for s in self.special):
+        if not self.by_ranks or any(s in text for s in self.special):
+            return self._whole(text)
+        try:
+            return self.merge(text).astype("<u4", copy=False).tobytes()
+        except ValueError:  # the pattern goes back over white space, and gives up on some hundred thousand characters of it in a row
             return self._whole(text)
-        chunks = self._chunks(text)
-        missing = set(chunks).difference(self.cache)
-        if not missing:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        known = {c: self.cache[c] for c in set(chunks) if c in self.cache} | self._learn(missing)
-        return b"".join(map(known.__getitem__, chunks))
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks; those of the short ones are kept, as many as CACHE_CHARS hold."""
-        merge = self.merge
-        found = {chunk: array("I", merge(chunk)).tobytes() for chunk in chunks}
-        if self.held > CACHE_CHARS:
-            self.cache.clear()
-            self.held = 0
-        short = {c: ids for c, ids in found.items() if len(c) <= KEPT_CHARS}
-        self.cache.update(short)
-        self.held += sum(map(len, short))
-        return found
-
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
+
+    def _short(self, text: str) -> bytes:
+        """Ids of a short text, which may well come again; as many are kept as CACHE_CHARS hold."""
+        ids = self.cache.get(text)
+        if ids is None:
+            ids = self._ids(text)
+            if self.held > CACHE_CHARS:
+                self.cache.clear()
+                self.held = 0
+            self.cache[text] = ids
+            self.held += len(text)
+        return ids
 
 
 def _stretches(text: str) -> Iterator[str]:

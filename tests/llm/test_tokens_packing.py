@@ -139,3 +139,30 @@ def test_caches_are_bounded_by_characters():
         assert all(len(c) <= 64 for c in made.cache)
         run(made, many)
         assert sum(map(len, made.cache)) <= 2 * max(tokens.CACHE_CHARS, packing.CACHE_CHARS)
+
+
+def test_a_text_is_merged_in_one_call(monkeypatch):
+    """Each text costs one call, however many words no text before it had."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    library, encoder, calls = Tokenizer.from_file(path), packing.Encoder(path), []
+    merge = encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda text: calls.append(text) or merge(text))
+    given = [" ".join(f"word{1000 * k + n}," for n in range(1000)) for k in range(3)] + ["  twice  blank\n \n" * 10]
+    assert list(encoder.encode(given)) == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(given, add_special_tokens=False)]
+    assert calls == given
+
+
+@pytest.mark.parametrize("space", ["\n", " "])
+def test_long_runs_of_white_space(space):
+    """Runs that the pattern gives up on have the library's ids."""
+    encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    text = "one two" + space * 1_200_000 + "three four"
+    assert list(encoder.encode([text])) == [np.array(encoder.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
+def test_short_texts_are_kept_within_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHARS", 500)
+    encoder = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    given = [f"text {n % 90} of ninety" for n in range(400)] + ["", "<|endoftext|> x", "a " * 40]
+    assert list(encoder.encode(given)) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in given]
+    assert encoder.cache and all(len(t) <= packing.KEPT_CHARS for t in encoder.cache) and sum(map(len, encoder.cache)) <= 500 + packing.KEPT_CHARS
