@@ -6,11 +6,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sourceweave.functions.scores import DEFAULT
-from sourceweave.operators import claims, clusters, dedup, export, metrics, quality, resampling, rivals, sweep, timebins, topics
+from sourceweave.operators import claims, clusters, dedup, export, metrics, pivots, quality, resampling, rivals, sweep, timebins, topics
 from sourceweave.sources import tables
 
 
@@ -477,6 +478,53 @@ def test_copies_are_compared_once(spark):
     assert sorted(r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.99).collect()) == [0, 1]
 
 
+def test_the_greedy_rule_needs_no_join_of_all_vectors(spark, monkeypatch):
+    """Rounds hold rows against those left: rows of earlier rounds go for later ones, and a round with too many near pairs is halved."""
+    monkeypatch.setattr(pivots, "linked", None)
+    rng = np.random.default_rng(8)
+    kinds = rng.normal(size=(40, 3))
+    rows = spark.createDataFrame([(int(3 * i), (kinds[rng.integers(0, 40)] + rng.normal(size=3) * 0.05).tolist(), "x" * int(rng.integers(0, 9))) for i in rng.permutation(150)], "id bigint, v array<double>, text string")
+    want = {r.id for r in dedup.semantic_dedup(rows, "id", "text", dedup.cosine_edges(rows, "id", "v", 0.9)).collect()}
+    assert {r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.9, 8, 3).collect()} == want
+    sized = rows.select("id", "v", F.length("text").alias("n"))
+    assert {r.id for r in dedup.greedy_left(sized, 0.9, 8, 4, most_hits=40).collect()} == want
+    assert spark.conf.get(pivots.CLEAN_UP) == "false"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_settle_as_one_does(seed):
+    """Rows in rounds of random sizes, in memory: what is left is what the rule leaves of all at once."""
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        n, left = int(rng.integers(5, 60)), pd.DataFrame({"id": [], "n": [], "v": []})
+        v = rng.normal(size=(n, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        rows = pd.DataFrame({"id": np.arange(n) * 2, "n": rng.integers(0, 4, n).astype(np.int32), "v": [x.tobytes() for x in v]})
+        pairs = [(2 * i, 2 * j) for i in range(n) for j in range(i + 1, n) if v[i] @ v[j] > 0.5]
+        want = set(rows["id"]) - dedup.greedy_drops(pairs, dict(zip(rows["id"], rows["n"])))
+        cuts = [0, *np.sort(rng.integers(0, n, 3)), n]
+        for part in (rows.iloc[a:b] for a, b in zip(cuts, cuts[1:])):
+            told = dedup._settle(part, dedup._near(part, left, 0.5, 10**6), 0.5)
+            stay, go = set(told["id"][told["stays"]]), set(told["id"][~told["stays"]])
+            assert stay <= set(part["id"]) and go <= set(left["id"])
+            left = pd.concat([left[~left["id"].isin(go)], part[part["id"].isin(stay)]]) if len(left) else part[part["id"].isin(stay)]
+        assert set(left["id"]) == want
+
+
+def test_single_precision_decides_nothing():
+    """Cosines a hair above and below the threshold, which single precision can't tell apart."""
+    edge = 0.85 + np.array([-1e-9, -1e-12, 1e-12, 1e-9])
+    frame = lambda m: pd.DataFrame({"id": range(len(m)), "n": np.ones(len(m), np.int32), "v": [np.array(x).tobytes() for x in m]})
+    found = dedup._near(frame(np.stack([edge, np.sqrt(1 - edge**2)], axis=1)), frame([[1.0, 0.0]]), 0.85, 10)
+    assert found["id"].tolist() == [2, 3]
+
+
+def test_vectors_that_are_not_finite_are_near_nothing(spark):
+    """Copies with NaN or infinity were taken for copies of one class before, and all but the first went."""
+    rows = spark.createDataFrame([(0, [float("nan"), 1.0], "a"), (1, [float("nan"), 1.0], "a"), (2, [float("inf"), 1.0], "a"), (3, [float("inf"), 1.0], "a"), (4, [1.0, 1.0], "a"), (5, [1.0, 1.0], "a")], "id bigint, v array<double>, text string")
+    assert sorted(r.id for r in dedup.semantic_first(rows, "id", "text", "v", 0.9).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_draws_by_rows_are_held_one_at_a_time():
     """2,000 draws of 20,000 rows: all at once they were 0.3 GB and more; values are those of all draws at once."""
     rng = np.random.default_rng(1)
